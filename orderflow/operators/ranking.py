@@ -44,10 +44,11 @@ def value_counts_beyond(df: DataFrame, parts: Sequence[str], value: str,
         vc = join_null_safe(vc, bounds, parts, "inner")
         lo, hi = F.col("__lo"), F.col("__hi")
     else:
-        stats = vc.agg(F.min(v).alias("lo"), F.max(v).alias("hi"), F.sum("n_equal").alias("n"))
-        lo = stats.select("lo").scalar()
-        hi = stats.select("hi").scalar()
-        vc = vc.withColumn("n_group", stats.select("n").scalar())
+        # One scalar subquery carrying all three figures.
+        stats = vc.agg(F.struct(F.min(v).alias("lo"), F.max(v).alias("hi"),
+                                F.sum("n_equal").alias("n")).alias("s")).scalar()
+        lo, hi = stats.getField("lo"), stats.getField("hi")
+        vc = vc.withColumn("n_group", stats.getField("n"))
     raw_bucket = F.when(hi > lo, F.width_bucket(v, lo, hi, F.lit(buckets))).otherwise(F.lit(1))
     bucket = F.least(raw_bucket, F.lit(buckets))
     key = bucket if descending else -bucket

@@ -23,18 +23,22 @@ _SORT = "__tc_sort"
 
 
 def trailing_count(df: DataFrame, keys: Sequence[str], t_col: str, width: int,
-                   out_col: str) -> DataFrame:
+                   out_col: str, weight: str | None = None, strict: bool = False) -> DataFrame:
     """Add ``out_col`` = rows with the same ``keys`` and ``t`` in ``[t - width, t]``.
 
     ``t_col`` must be an integral column (for example epoch microseconds).
+    With ``weight`` the rows' weights are summed instead of counted; with
+    ``strict`` the frame is ``[t - width, t)`` (earlier rows only).
     """
     keys = list(keys)
     span = width + 1
+    w_expr = F.col(weight).cast("long") if weight else F.lit(1).cast("long")
+    df = df.withColumn("__tc_w", w_expr)
     data = (df.withColumn(_KIND, F.lit(0))
               .withColumn(_BUCKET, F.floor(F.col(t_col) / F.lit(span)))
               .withColumn(_SORT, F.col(t_col).cast("long")))
     shifted = (df.filter(F.col(t_col).isNotNull())
-                 .select(*keys,
+                 .select(*keys, "__tc_w",
                          F.lit(1).alias(_KIND),
                          (F.floor(F.col(t_col) / F.lit(span)) + 1).alias(_BUCKET),
                          (F.col(t_col).cast("long") + F.lit(width)).alias(_SORT)))
@@ -42,14 +46,16 @@ def trailing_count(df: DataFrame, keys: Sequence[str], t_col: str, width: int,
 
     part = Window.partitionBy(*keys, _BUCKET)
     ordered = part.orderBy(_SORT)
-    is_data = (F.col(_KIND) == 0).cast("long")
-    is_shift = (F.col(_KIND) == 1).cast("long")
-    data_upto = F.sum(is_data).over(ordered.rangeBetween(Window.unboundedPreceding, Window.currentRow))
+    is_data = F.when(F.col(_KIND) == 0, F.col("__tc_w")).otherwise(0)
+    is_shift = F.when(F.col(_KIND) == 1, F.col("__tc_w")).otherwise(0)
+    upper = -1 if strict else Window.currentRow
+    data_upto = F.coalesce(
+        F.sum(is_data).over(ordered.rangeBetween(Window.unboundedPreceding, upper)), F.lit(0))
     shift_before = F.coalesce(
         F.sum(is_shift).over(ordered.rangeBetween(Window.unboundedPreceding, -1)), F.lit(0))
     shift_total = F.sum(is_shift).over(part)
     counted = both.withColumn(out_col, data_upto + shift_total - shift_before)
-    return counted.filter(F.col(_KIND) == 0).drop(_KIND, _BUCKET, _SORT)
+    return counted.filter(F.col(_KIND) == 0).drop(_KIND, _BUCKET, _SORT, "__tc_w")
 
 
 def sliding_window_counts(df: DataFrame, key: str, ts_col: str,

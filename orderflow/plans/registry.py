@@ -65,3 +65,7 @@ def _dim_time(ctx: OrderContext) -> DataFrame:
 @register("mart_fact_orders", O.FACT_ORDERS)
 def _fact_orders(ctx: OrderContext) -> DataFrame:
     return marts.fact_orders(stg_ops.staging_orders(ctx.processed, extra=("product_id", "quantity", "payment_method")))
+
+
+# Further catalogues register themselves on import (they need ``register``).
+from orderflow.plans import catalog_ops  # noqa: E402,F401
