@@ -62,6 +62,7 @@ def investigate(orders: DataFrame) -> DataFrame:
         "order_id", ens.alias("ensemble_score"), gnn.alias("gnn_score"),
         tri.alias("triage"), evidence.alias("evidence"), dec.alias("decision"),
         rules.final_label(ens, F.lit(rules.FRAUD_SCORE_THRESHOLD), dec).alias("final_is_fraud"),
+        "amount",
     )
 
 

@@ -1,24 +1,26 @@
-"""Exact ranks without a single-partition or single-key window.
+"""Exact ranks and cumulative sums by value, without a single-partition or
+single-key window.
 
 ``RANK() OVER (PARTITION BY p ORDER BY v DESC)`` is ``1 + #{rows in p with a
-greater v}``. That count is built from aggregates:
+greater v}``, and PR curves, ROC-AUC, KS statistics and quantiles all reduce
+to such "sum of weights beyond this value" figures. They are built from
+aggregates:
 
-1. counts per distinct (p, v), combined map-side;
+1. sums of weights per distinct (p, v), combined map-side;
 2. v is cut into ``buckets`` equal-width ranges per p;
 3. totals per (p, bucket), and a running sum over the at most ``buckets``
-   rows of each p, give the rows in higher buckets;
+   rows of each p, give the weight in earlier buckets;
 4. a running sum inside each (p, bucket) over distinct values gives the rest.
 
 Every window is bounded by the bucket count or by the distinct values in one
-value range of one group, never by the size of a group. The result is joined
-back on (p, v).
+value range of one group, never by the size of a group.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from orderflow.operators.common import join_null_safe
@@ -26,45 +28,61 @@ from orderflow.operators.common import join_null_safe
 DEFAULT_BUCKETS = 4096
 
 
-def value_counts_beyond(df: DataFrame, parts: Sequence[str], value: str,
+def cumulative_by_value(df: DataFrame, parts: Sequence[str], value: str,
+                        weights: Mapping[str, Column] | None = None,
                         descending: bool = True, buckets: int = DEFAULT_BUCKETS) -> DataFrame:
-    """Per distinct (parts, value): ``n_equal``, ``n_beyond`` and ``n_group``.
+    """Per distinct (parts, value): for each weight ``w`` the columns
+    ``w_eq`` (sum at this value), ``w_beyond`` (sum strictly before it in the
+    given direction) and ``w_total`` (sum over the group); plus ``__bucket``
+    (the value range of the row, ordered in the same direction).
 
-    ``n_beyond`` counts rows of the same group strictly before the value in
-    the given direction (greater for descending, smaller for ascending).
-    NULL values are left out, as ranking frames here never contain them.
+    NULL values are left out. The default weight is ``n`` = row count.
     """
     parts = list(parts)
+    weights = dict(weights or {"n": F.lit(1)})
+    wnames = list(weights)
     vc = (df.filter(F.col(value).isNotNull())
-            .groupBy(*parts, value).agg(F.count(F.lit(1)).alias("n_equal")))
+            .groupBy(*parts, value)
+            .agg(*[F.sum(c.cast("long")).alias(f"{w}_eq") for w, c in weights.items()]))
     v = F.col(value).cast("double")
+    totals = [F.sum(f"{w}_eq").alias(f"{w}_total") for w in wnames]
     if parts:
-        bounds = vc.groupBy(*parts).agg(F.min(v).alias("__lo"), F.max(v).alias("__hi"),
-                                         F.sum("n_equal").alias("n_group"))
+        bounds = vc.groupBy(*parts).agg(F.min(v).alias("__lo"), F.max(v).alias("__hi"), *totals)
         vc = join_null_safe(vc, bounds, parts, "inner")
         lo, hi = F.col("__lo"), F.col("__hi")
     else:
-        # One scalar subquery carrying all three figures.
-        stats = vc.agg(F.struct(F.min(v).alias("lo"), F.max(v).alias("hi"),
-                                F.sum("n_equal").alias("n")).alias("s")).scalar()
+        # One scalar subquery carrying every group figure.
+        stats = vc.agg(F.struct(F.min(v).alias("lo"), F.max(v).alias("hi"), *totals).alias("s")).scalar()
         lo, hi = stats.getField("lo"), stats.getField("hi")
-        vc = vc.withColumn("n_group", stats.getField("n"))
+        for w in wnames:
+            vc = vc.withColumn(f"{w}_total", stats.getField(f"{w}_total"))
     raw_bucket = F.when(hi > lo, F.width_bucket(v, lo, hi, F.lit(buckets))).otherwise(F.lit(1))
-    bucket = F.least(raw_bucket, F.lit(buckets))
-    key = bucket if descending else -bucket
-    vc = vc.withColumn("__b", key.cast("long"))
+    bucket = F.least(raw_bucket, F.lit(buckets)).cast("long")
+    vc = vc.withColumn("__bucket", -bucket if descending else bucket)
 
-    per_bucket = vc.groupBy(*parts, "__b").agg(F.sum("n_equal").alias("__bn"))
-    wb = Window.partitionBy(*parts).orderBy(F.col("__b").desc()) \
-               .rowsBetween(Window.unboundedPreceding, -1)
-    per_bucket = per_bucket.withColumn("__before_bucket", F.coalesce(F.sum("__bn").over(wb), F.lit(0)))
-    vc = join_null_safe(vc, per_bucket.select(*parts, "__b", "__before_bucket"), parts + ["__b"], "inner")
+    per_bucket = vc.groupBy(*parts, "__bucket").agg(*[F.sum(f"{w}_eq").alias(f"__{w}_bs") for w in wnames])
+    wb = Window.partitionBy(*parts).orderBy("__bucket").rowsBetween(Window.unboundedPreceding, -1)
+    per_bucket = per_bucket.select(*parts, "__bucket", *[
+        F.coalesce(F.sum(f"__{w}_bs").over(wb), F.lit(0)).alias(f"__{w}_before") for w in wnames])
+    vc = join_null_safe(vc, per_bucket, parts + ["__bucket"], "inner")
 
     order = F.col(value).desc() if descending else F.col(value).asc()
-    wi = Window.partitionBy(*parts, "__b").orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
-    vc = vc.withColumn("n_beyond",
-                       F.col("__before_bucket") + F.coalesce(F.sum("n_equal").over(wi), F.lit(0)))
-    return vc.select(*parts, value, "n_equal", "n_beyond", "n_group")
+    wi = Window.partitionBy(*parts, "__bucket").orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+    for w in wnames:
+        vc = vc.withColumn(f"{w}_beyond",
+                           F.col(f"__{w}_before") + F.coalesce(F.sum(f"{w}_eq").over(wi), F.lit(0)))
+    keep = [*parts, value, "__bucket"]
+    for w in wnames:
+        keep += [f"{w}_eq", f"{w}_beyond", f"{w}_total"]
+    return vc.select(*keep)
+
+
+def value_counts_beyond(df: DataFrame, parts: Sequence[str], value: str,
+                        descending: bool = True, buckets: int = DEFAULT_BUCKETS) -> DataFrame:
+    """Per distinct (parts, value): ``n_equal``, ``n_beyond`` and ``n_group``."""
+    c = cumulative_by_value(df, parts, value, None, descending, buckets)
+    return c.select(*parts, value, F.col("n_eq").alias("n_equal"), F.col("n_beyond"),
+                    F.col("n_total").alias("n_group"))
 
 
 def with_rank(df: DataFrame, parts: Sequence[str], value: str, out_col: str,
@@ -75,14 +93,28 @@ def with_rank(df: DataFrame, parts: Sequence[str], value: str, out_col: str,
     return join_null_safe(df, ranked, list(parts) + [value], "left")
 
 
-def with_pct_rank_average(df: DataFrame, value: str, out_col: str, default: float = 0.5) -> DataFrame:
+def with_pct_rank_average(df: DataFrame, value: str, out_col: str, default: float = 0.5,
+                          parts: Sequence[str] = ()) -> DataFrame:
     """Average-tie rank divided by the count of non-NULL values; NULL -> default.
 
     Matches pandas ``Series.rank(pct=True)`` followed by ``fillna(default)``.
     The result is ``(2 * n_less + n_equal + 1) / (2 * n)`` as one division.
     """
-    counts = value_counts_beyond(df, [], value, descending=False)
+    counts = value_counts_beyond(df, parts, value, descending=False)
     pct = ((F.col("n_beyond") * 2 + F.col("n_equal") + 1).cast("double")
            / (F.col("n_group") * 2).cast("double"))
-    joined = df.join(counts.select(value, pct.alias(out_col)), on=[value], how="left")
+    joined = join_null_safe(df, counts.select(*parts, value, pct.alias(out_col)), list(parts) + [value], "left")
     return joined.withColumn(out_col, F.coalesce(F.col(out_col), F.lit(default)))
+
+
+def with_position(df: DataFrame, value: str, tie_key: str, out_col: str = "position") -> DataFrame:
+    """0-based position in ascending (value, tie_key) order.
+
+    Rows with the same value are ordered by ``tie_key`` in a window over that
+    value only (a tie group); everything else comes from the cumulative counts.
+    """
+    counts = value_counts_beyond(df, [], value, descending=False).select(value, "n_beyond")
+    joined = df.join(counts, value, "left")
+    tie = Window.partitionBy(value).orderBy(tie_key)
+    return (joined.withColumn(out_col, F.col("n_beyond") + F.row_number().over(tie) - 1)
+                  .drop("n_beyond"))

@@ -69,3 +69,5 @@ def _fact_orders(ctx: OrderContext) -> DataFrame:
 
 # Further catalogues register themselves on import (they need ``register``).
 from orderflow.plans import catalog_ops  # noqa: E402,F401
+from orderflow.plans import catalog_ml  # noqa: E402,F401
+from orderflow.plans import catalog_more  # noqa: E402,F401
