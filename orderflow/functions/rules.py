@@ -56,6 +56,16 @@ EVIDENCE_TEXT = {
                          "possible stolen card or account takeover."),
     "location_ok": "OK: Billing location matches IP geolocation.",
 }
+REASONING_TEXT = {
+    "triage_block": ("Both models report critical risk (Ensemble: {e}, GNN: {g}). "
+                     "Immediate block — no investigation needed."),
+    "triage_approve": "Both models confirm very low risk (Ensemble: {e}, GNN: {g}). Auto-approved.",
+    "rule_block": ("Rule-based fallback: Multiple WARNING signals combined with elevated "
+                   "model scores (Ensemble: {e}, GNN: {g}). Blocking."),
+    "rule_approve": ("Rule-based fallback: Established account signals outweigh model flags. "
+                     "Scores below threshold (Ensemble: {e}, GNN: {g})."),
+    "rule_review": "Rule-based fallback: Evidence is contradictory. Sending to human review queue.",
+}
 EVIDENCE_AGE_WARNING_BELOW = 7
 EVIDENCE_AGE_SIGNAL_BELOW = 30
 EVIDENCE_VELOCITY_WARNING_ABOVE = 10
@@ -190,6 +200,18 @@ def decision(evidence_arr, ensemble, gnn) -> Column:
             .otherwise("HUMAN_REVIEW"))
 
 
+def reasoning(triage_col, decision_col, ensemble_2dp, gnn_2dp) -> Column:
+    """Decision text; the scores are passed already rounded to two decimals."""
+    t, d = _c(triage_col), _c(decision_col)
+    e, g = _c(ensemble_2dp).cast("string"), _c(gnn_2dp).cast("string")
+    r = REASONING_TEXT
+    return (F.when(t == "FINAL_BLOCK", _fmt(r["triage_block"], e=e, g=g))
+            .when(t == "FINAL_APPROVE", _fmt(r["triage_approve"], e=e, g=g))
+            .when(d == "FINAL_BLOCK", _fmt(r["rule_block"], e=e, g=g))
+            .when(d == "FINAL_APPROVE", _fmt(r["rule_approve"], e=e, g=g))
+            .otherwise(F.lit(r["rule_review"])))
+
+
 def top_drivers(velocity, location_mismatch, amount) -> Column:
     v, m, a = _c(velocity), _c(location_mismatch), _c(amount)
     found = F.array_compact(F.array(

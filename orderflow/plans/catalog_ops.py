@@ -333,7 +333,8 @@ AGENT_CTE = P + """, ipsig AS (
          s.ip_users > 5 AS is_proxy, p.account_age_days AS age, p.device_type AS dev,
          CAST(count(*) OVER (PARTITION BY p.user_id ORDER BY epoch_us(p.timestamp)
               RANGE BETWEEN 3599999999 PRECEDING AND CURRENT ROW) AS INT) AS vel,
-         p.location_mismatch = 1 AS mis, p.amount
+         p.location_mismatch = 1 AS mis, p.amount,
+         p.timestamp AS ts, s.ip_fraud_orders AS f, s.ip_orders AS n
   FROM processed p LEFT JOIN ipsig s USING (ip_address)
 ), agent AS (
   SELECT order_id, ens AS ensemble_score, gnn AS gnn_score,
@@ -356,7 +357,7 @@ AGENT_CTE = P + """, ipsig AS (
               WHEN (age < 7 OR is_proxy OR vel > 10 OR mis) AND (ens > 0.5 OR gnn > 0.5) THEN 'FINAL_BLOCK'
               WHEN (age >= 30 OR NOT is_proxy OR dev <> 'unknown' OR vel <= 5 OR NOT mis) AND ens < 0.6 AND gnn < 0.6
                    THEN 'FINAL_APPROVE'
-              ELSE 'HUMAN_REVIEW' END AS decision, amount
+              ELSE 'HUMAN_REVIEW' END AS decision, amount, ts, f, n
   FROM ain
 )"""
 

@@ -71,3 +71,5 @@ def _fact_orders(ctx: OrderContext) -> DataFrame:
 from orderflow.plans import catalog_ops  # noqa: E402,F401
 from orderflow.plans import catalog_ml  # noqa: E402,F401
 from orderflow.plans import catalog_more  # noqa: E402,F401
+from orderflow.plans import catalog_forecast  # noqa: E402,F401
+from orderflow.plans import catalog_graph  # noqa: E402,F401
