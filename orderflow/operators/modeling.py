@@ -20,8 +20,8 @@ from orderflow.session import cut_lineage
 
 FOLDS = 5
 SEED = 42
-GBT_ITER = 20
-RF_TREES = 20
+GBT_ITER = 10
+RF_TREES = 10
 NO_MODEL_SCORE = 0.5
 
 
@@ -86,7 +86,8 @@ def challenger(nodes: DataFrame, cols: Sequence[str] = ("amount_std", "hop1_mean
                key: str = "order_id", label: str = "is_fraud") -> DataFrame:
     """Logistic model on neighbour features; score 0.5 when it cannot be fitted
     (a single class)."""
-    filled = nodes.fillna(0.0, subset=list(cols)).withColumn(label, F.col(label).cast("double"))
+    # The fit iterates and the scoring pass reads the same rows: cut the lineage once.
+    filled = cut_lineage(nodes.fillna(0.0, subset=list(cols)).withColumn(label, F.col(label).cast("double")))
     classes = filled.agg(F.countDistinct(label)).first()[0]
     if classes < 2:
         return filled.select(key, F.lit(NO_MODEL_SCORE).alias("challenger_score"))
