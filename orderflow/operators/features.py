@@ -126,7 +126,8 @@ def engineer(tx: DataFrame) -> DataFrame:
     high_value = (amount > p95).cast("int")
     mismatch = F.col("location_mismatch").cast("int")
     velocity = F.col("orders_per_user_1m").cast("int")
-    return df.select(
+    # The matrix feeds training, drift, statistics and scoring: materialize once.
+    return cut_lineage(df.select(
         "order_id", "split", F.col("is_fraud").cast("int").alias("is_fraud"),
         amount.alias("order_amount"),
         velocity.alias("orders_per_user_last_minute"),
@@ -143,7 +144,7 @@ def engineer(tx: DataFrame) -> DataFrame:
         F.coalesce(F.col("known_fraud_address"), F.lit(0)).cast("int").alias("known_fraud_address"),
         (velocity * amount).alias("velocity_amount_interaction"),
         (mismatch * high_value).alias("location_highvalue_risk"),
-    )
+    ))
 
 
 def rounded(features: DataFrame) -> DataFrame:

@@ -17,6 +17,7 @@ from pyspark.sql.types import DecimalType
 
 from orderflow.functions.exact import ratio_round
 from orderflow.functions.timeparts import dow_sunday0
+from orderflow.session import cut_lineage
 
 BIG = DecimalType(38, 0)
 HORIZON_HOURS = 24
@@ -54,15 +55,16 @@ def _intdiv(a: Column, b: Column) -> Column:
 
 
 def hourly_actuals(stg: DataFrame) -> DataFrame:
-    return stg.groupBy(F.date_trunc("hour", "order_timestamp").alias("hour_bucket"), "category").agg(
+    """(hour, category) counts and revenue; checkpointed, as the fit, the spine
+    and the comparison all read it (one row per category-hour)."""
+    return cut_lineage(stg.groupBy(F.date_trunc("hour", "order_timestamp").alias("hour_bucket"), "category").agg(
         F.count(F.lit(1)).alias("actual_orders"),
-        F.sum("order_amount").cast(DecimalType(18, 2)).alias("actual_revenue_usd"))
+        F.sum("order_amount").cast(DecimalType(18, 2)).alias("actual_revenue_usd")))
 
 
-def spine_sums(stg: DataFrame) -> Column:
+def spine_sums(actuals: DataFrame) -> Column:
     """Sums of the design over every hour of the span (one scalar struct)."""
-    bounds = stg.agg(F.date_trunc("hour", F.min("order_timestamp")).alias("lo"),
-                     F.date_trunc("hour", F.max("order_timestamp")).alias("hi"))
+    bounds = actuals.agg(F.min("hour_bucket").alias("lo"), F.max("hour_bucket").alias("hi"))
     spine = bounds.select(F.explode(F.sequence("lo", "hi", F.expr("INTERVAL 1 HOUR"))).alias("t"))
     h = F.hour("t").cast("long")
     w = dow_sunday0("t").isin(0, 6).cast("long")
@@ -72,10 +74,10 @@ def spine_sums(stg: DataFrame) -> Column:
     return s.scalar()
 
 
-def fit_seasonal(stg: DataFrame) -> DataFrame:
+def fit_seasonal(stg: DataFrame, actuals: DataFrame | None = None) -> DataFrame:
     """Per category: determinant terms of the normal equations (exact integers)."""
-    x = spine_sums(stg)
-    act = hourly_actuals(stg)
+    act = actuals if actuals is not None else hourly_actuals(stg)
+    x = spine_sums(act)
     h = F.hour("hour_bucket").cast("long")
     w = dow_sunday0("hour_bucket").isin(0, 6).cast("long")
     y = F.col("actual_orders")

@@ -24,6 +24,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from orderflow.operators.common import join_null_safe
+from orderflow.session import cut_lineage
 
 DEFAULT_BUCKETS = 4096
 
@@ -41,9 +42,11 @@ def cumulative_by_value(df: DataFrame, parts: Sequence[str], value: str,
     parts = list(parts)
     weights = dict(weights or {"n": F.lit(1)})
     wnames = list(weights)
-    vc = (df.filter(F.col(value).isNotNull())
-            .groupBy(*parts, value)
-            .agg(*[F.sum(c.cast("long")).alias(f"{w}_eq") for w, c in weights.items()]))
+    # The distinct-value table is read four times below; cut its lineage so the
+    # upstream plan runs once (reliable checkpoint in the shared folder).
+    vc = cut_lineage(df.filter(F.col(value).isNotNull())
+                     .groupBy(*parts, value)
+                     .agg(*[F.sum(c.cast("long")).alias(f"{w}_eq") for w, c in weights.items()]))
     v = F.col(value).cast("double")
     totals = [F.sum(f"{w}_eq").alias(f"{w}_total") for w in wnames]
     if parts:

@@ -99,8 +99,8 @@ FORECAST_CTE = FIT_CTE + ", " + horizon_sql(f"{NOW} - INTERVAL {BACKTEST_HOURS}
                   "coalesce(a.actual_orders, 0)", 4, 14))
 
 
-def demand_forecast(ctx: OrderContext) -> DataFrame:
-    fit = fc.fit_seasonal(ctx.staging)
+def demand_forecast(ctx: OrderContext, actuals: DataFrame | None = None) -> DataFrame:
+    fit = fc.fit_seasonal(ctx.staging, actuals)
     origin1 = ctx.as_of - F.make_dt_interval(hours=F.lit(BACKTEST_HOURS))
     run1 = fc.horizon(fit, origin1, origin1)
     run2 = fc.horizon(fit, ctx.as_of, ctx.as_of)
@@ -108,7 +108,8 @@ def demand_forecast(ctx: OrderContext) -> DataFrame:
 
 
 def fva_frame(ctx: OrderContext) -> DataFrame:
-    return fc.forecast_vs_actuals(fc.hourly_actuals(ctx.staging), demand_forecast(ctx))
+    act = fc.hourly_actuals(ctx.staging)
+    return fc.forecast_vs_actuals(act, demand_forecast(ctx, act))
 
 
 @register("ml_seasonal_forecast", _w(FIT_CTE, f"""

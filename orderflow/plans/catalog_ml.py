@@ -14,6 +14,7 @@ from orderflow.plans import oracle as O
 from orderflow.plans.catalog_ops import AGENT_CTE
 from orderflow.plans.context import OrderContext
 from orderflow.plans.registry import register
+from orderflow.session import cut_lineage
 
 
 def _w(ctes: str, select: str) -> str:
@@ -286,8 +287,8 @@ EVAL_CTE = AGENT_CTE + """, ev AS (
 
 def scored_frame(ctx: OrderContext) -> DataFrame:
     inv = agent.investigate(agent.agent_inputs(ctx.processed))
-    return inv.select(F.col("final_is_fraud").cast("int").alias("y_true"),
-                      F.col("gnn_score").alias("y_score"), "amount")
+    return cut_lineage(inv.select(F.col("final_is_fraud").cast("int").alias("y_true"),
+                                  F.col("gnn_score").alias("y_score"), "amount"))
 
 
 @register("ml_pr_auc_roc_auc", _w(EVAL_CTE, """

@@ -17,6 +17,7 @@ from orderflow.functions.exact import mean_double, ratio_round, scaled_int
 from orderflow.functions.timeparts import dow_sunday0, whole_days
 from orderflow.operators.aggregates import count_if, median_exact, mode_smallest, sum_if
 from orderflow.operators.ranking import with_rank
+from orderflow.session import cut_lineage
 
 MONEY = DecimalType(18, 2)
 
@@ -89,6 +90,8 @@ def dim_products(stg: DataFrame, as_of: Column) -> DataFrame:
              .withColumn("avg_velocity_per_user", ratio_round("__vel_sum", "total_orders", 2, 10))
              .drop("__vel_sum")
              .withColumn("product_risk_tier", rules.product_risk_tier("fraud_rate_pct")))
+    # One row per product, read by both rankings and the final join.
+    stats = cut_lineage(stats)
     stats = with_rank(stats, ["category"], "total_orders", "rank_in_category", descending=True)
     stats = with_rank(stats, [], "total_revenue_usd", "revenue_rank_overall", descending=True)
     return stats.withColumn("dbt_updated_at", as_of)
