@@ -14,7 +14,6 @@ from orderflow.functions import rules
 from orderflow.operators.velocity import trailing_count
 
 HOUR_US = 3_600_000_000
-DAY_US = 24 * HOUR_US
 # A proxy/VPN exit shows up as one IP used by many distinct users.
 PROXY_MIN_USERS = 5
 

@@ -8,8 +8,6 @@ statistics are aggregates joined back by key.
 
 from __future__ import annotations
 
-from decimal import Decimal
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DecimalType
@@ -169,9 +167,3 @@ def standardize(features: DataFrame, cols=FEATURE_COLS) -> DataFrame:
         out.append(((F.col(c).cast("double") - s.getField(f"m_{c}")) / sd).alias(c))
     return filled.select(*out)
 
-
-def money(c: Column) -> Column:
-    return c.cast(DecimalType(18, 2))
-
-
-ZERO = Decimal(0)

@@ -15,11 +15,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DecimalType
 
-from orderflow.functions.exact import ratio_round
+from orderflow.functions.exact import BIG, exact_ratio_round, ratio_round
 from orderflow.functions.timeparts import dow_sunday0
 from orderflow.session import cut_lineage
 
-BIG = DecimalType(38, 0)
 HORIZON_HOURS = 24
 BAND_UPPER = 115   # percent of the prediction
 BAND_LOWER = 85
@@ -31,29 +30,6 @@ def _big(c) -> Column:
     return (c if isinstance(c, Column) else F.col(c)).cast(BIG)
 
 
-def exact_ratio_round(num: Column, den: Column, scale: int, precision: int = 18) -> Column:
-    """round(num / den, scale) half away from zero, by exact integer division
-    (the terms are beyond double precision). NULL when ``den`` is 0."""
-    sign = F.when(den < 0, F.lit(-1)).otherwise(F.lit(1)).cast(BIG)
-    n, d = (num.cast(BIG) * sign).cast(BIG), (den.cast(BIG) * sign).cast(BIG)
-    mag = (F.abs(n) * F.lit(2 * 10 ** scale).cast(BIG) + d).cast(BIG)
-    q = _intdiv(mag, (d * F.lit(2).cast(BIG)).cast(BIG))
-    signed = F.when(n < 0, -q).otherwise(q)
-    step = F.lit(1).cast(DecimalType(1, 0)) if scale == 0 else \
-        F.lit("0." + "0" * (scale - 1) + "1").cast(DecimalType(scale, scale))
-    return F.when(d != 0, (signed.cast(DecimalType(20, 0)) * step).cast(DecimalType(precision, scale)))
-
-
-def _intdiv(a: Column, b: Column) -> Column:
-    """floor(a / b) for non-negative DECIMAL(38,0) a and positive b.
-
-    The decimal quotient is rounded at six places, which can only round up
-    across an integer, so one correction step makes the floor exact.
-    """
-    q = F.floor(a / b).cast(BIG)
-    return F.when(q * b > a, q - 1).otherwise(q).cast("long")
-
-
 def hourly_actuals(stg: DataFrame) -> DataFrame:
     """(hour, category) counts and revenue; checkpointed, as the fit, the spine
     and the comparison all read it (one row per category-hour)."""

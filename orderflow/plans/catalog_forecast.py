@@ -9,6 +9,8 @@ from orderflow.operators import forecast as fc
 from orderflow.plans import oracle as O
 from orderflow.plans.context import OrderContext
 from orderflow.plans.registry import register
+
+xr = O.xr
 from orderflow.sources import sinks
 
 NOW = "(SELECT as_of FROM clock)"
@@ -19,16 +21,6 @@ def _w(ctes: str, select: str) -> str:
     return O.with_ctes(ctes, select)
 
 
-def xr(num: str, den: str, scale: int, precision: int = 18) -> str:
-    """Exact round(num / den, scale) half away from zero with HUGEINT division."""
-    sgn = f"(CASE WHEN ({den}) < 0 THEN -1 ELSE 1 END)"
-    n, d = f"(CAST({num} AS HUGEINT) * {sgn})", f"(CAST({den} AS HUGEINT) * {sgn})"
-    q = f"((abs({n}) * {2 * 10 ** scale} + {d}) // (2 * {d}))"
-    step = "1" if scale == 0 else "0." + "0" * (scale - 1) + "1"
-    return (f"CASE WHEN ({den}) <> 0 THEN CAST(CAST(CASE WHEN {n} < 0 THEN -{q} ELSE {q} END AS DECIMAL(20,0)) "
-            f"* {step} AS DECIMAL({precision},{scale})) END")
-
-
 def det3(a, b, c, d, e, f, g, h, i) -> str:
     return f"(({a}) * (({e}) * ({i}) - ({f}) * ({h})) - ({b}) * (({d}) * ({i}) - ({f}) * ({g})) + ({c}) * (({d}) * ({h}) - ({e}) * ({g})))"
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from orderflow.functions.exact import ratio_round
+from orderflow.functions.exact import mean_fixed, ratio_round
 from orderflow.operators import agent, drift, evaluation, features, stats
 from orderflow.operators import staging as stg_ops
 from orderflow.operators.features import FEATURE_COLS, r6
@@ -151,16 +151,21 @@ def _kfa(ctx: OrderContext) -> DataFrame:
 
 
 @register("jn_user_stats_lookup", _w(FEAT_CTE, f"""
-SELECT sp.order_id, {R6('coalesce(us.u_mean, gs.g_mean)')} AS user_mean, {R6('coalesce(us.u_std, gs.g_std)')} AS user_std
-FROM sp LEFT JOIN us USING (user_id) LEFT JOIN gs USING (split)"""))
+SELECT sp.order_id, coalesce(um.m, gm.m) AS user_mean, {R6('coalesce(us.u_std, gs.g_std)')} AS user_std
+FROM sp LEFT JOIN us USING (user_id) LEFT JOIN gs USING (split)
+LEFT JOIN (SELECT user_id, {O.mean6('order_amount')} AS m FROM tr GROUP BY user_id) um USING (user_id)
+LEFT JOIN (SELECT split, {O.mean6('order_amount')} AS m FROM sp GROUP BY split) gm USING (split)"""))
 def _user_stats_lookup(ctx: OrderContext) -> DataFrame:
     sp = features.chrono_split(transactions(ctx))
     train = sp.filter(F.col("split") == "train")
     g = sp.groupBy("split").agg(
         F.avg(F.col("order_amount").cast("double")).alias("__g_mean"),
         F.coalesce(F.stddev_samp(F.col("order_amount").cast("double")), F.lit(1.0)).alias("__g_std"))
-    j = sp.join(features.user_amount_stats(train), "user_id", "left").join(F.broadcast(g), "split", "left")
-    return j.select("order_id", r6(F.coalesce("__u_mean", "__g_mean")).alias("user_mean"),
+    um = train.groupBy("user_id").agg(mean_fixed("order_amount").alias("__um"))
+    gm = sp.groupBy("split").agg(mean_fixed("order_amount").alias("__gm"))
+    j = (sp.join(features.user_amount_stats(train), "user_id", "left").join(F.broadcast(g), "split", "left")
+           .join(um, "user_id", "left").join(F.broadcast(gm), "split", "left"))
+    return j.select("order_id", F.coalesce("__um", "__gm").alias("user_mean"),
                     r6(F.coalesce("__u_std", "__g_std")).alias("user_std"))
 
 
@@ -174,12 +179,12 @@ def _standardize(ctx: OrderContext) -> DataFrame:
     return features.rounded(features.standardize(feature_frame(ctx)))
 
 
-@register("jn_profile_enrich", _w(SPLIT_CTE + """, prof AS (
+@register("jn_profile_enrich", _w(SPLIT_CTE + f""", prof AS (
   SELECT user_id, max(account_age_days) AS account_age_days, avg(CAST(order_amount AS DOUBLE)) AS avg_order_value_usd,
-         stddev_samp(CAST(order_amount AS DOUBLE)) AS std_order_value_usd
+         stddev_samp(CAST(order_amount AS DOUBLE)) AS std_order_value_usd, {O.mean6('order_amount')} AS mean6
   FROM tr GROUP BY user_id)""", f"""
 SELECT t.order_id, coalesce(p.account_age_days, 30) AS account_age,
-       {R6('coalesce(p.avg_order_value_usd, CAST(t.order_amount AS DOUBLE))')} AS user_mean,
+       coalesce(p.mean6, CAST(t.order_amount AS DECIMAL(20,6))) AS user_mean,
        {R6('coalesce(p.std_order_value_usd, 1.0)')} AS user_std,
        t.orders_per_user_1m * 4 AS orders_last_hour,
        {R6('(CAST(t.order_amount AS DOUBLE) - coalesce(p.avg_order_value_usd, CAST(t.order_amount AS DOUBLE))) / coalesce(p.std_order_value_usd, 1.0)')} AS amount_zscore
@@ -189,22 +194,25 @@ def _profile(ctx: OrderContext) -> DataFrame:
     prof = sp.filter(F.col("split") == "train").groupBy("user_id").agg(
         F.max("account_age_days").alias("p_age"),
         F.avg(F.col("order_amount").cast("double")).alias("p_mean"),
-        F.stddev_samp(F.col("order_amount").cast("double")).alias("p_std"))
+        F.stddev_samp(F.col("order_amount").cast("double")).alias("p_std"),
+        mean_fixed("order_amount").alias("p_mean6"))
     t = sp.filter(F.col("split") == "test").join(prof, "user_id", "left")
     amount = F.col("order_amount").cast("double")
     mean = F.coalesce("p_mean", amount)
     std = F.coalesce("p_std", F.lit(1.0))
-    return t.select("order_id", F.coalesce("p_age", F.lit(30)).alias("account_age"), r6(mean).alias("user_mean"),
+    mean6 = F.coalesce("p_mean6", F.col("order_amount").cast("decimal(20,6)"))
+    return t.select("order_id", F.coalesce("p_age", F.lit(30)).alias("account_age"), mean6.alias("user_mean"),
                     r6(std).alias("user_std"), (F.col("orders_per_user_1m") * 4).alias("orders_last_hour"),
                     r6((amount - mean) / std).alias("amount_zscore"))
 
 
 @register("agg_user_mean_std", _w(O.STG, f"""
-SELECT user_id, {R6('avg(CAST(order_amount AS DOUBLE))')} AS mean_amount,
+SELECT user_id, {O.mean6('order_amount')} AS mean_amount,
        {R6('coalesce(stddev_samp(CAST(order_amount AS DOUBLE)), 1.0)')} AS std_amount FROM stg GROUP BY user_id"""))
 def _mean_std(ctx: OrderContext) -> DataFrame:
     s = features.user_amount_stats(ctx.staging)
-    return s.select("user_id", r6(F.col("__u_mean")).alias("mean_amount"), r6(F.col("__u_std")).alias("std_amount"))
+    m = ctx.staging.groupBy("user_id").agg(mean_fixed("order_amount").alias("mean_amount"))
+    return s.join(m, "user_id").select("user_id", "mean_amount", r6(F.col("__u_std")).alias("std_amount"))
 
 
 @register("win_group_count", _w(O.STG, """
@@ -244,21 +252,21 @@ LONG_TRAIN_CTE = FEAT_CTE + f""", ftr AS (
 
 
 @register("agg_distribution_stats", _w(LONG_TRAIN_CTE, f"""
-SELECT feature, {R6('avg(value)')} AS mean, {R6('stddev_samp(value)')} AS std, {R6('min(value)')} AS min,
+SELECT feature, {O.mean6('value')} AS mean, {R6('stddev_samp(value)')} AS std, {R6('min(value)')} AS min,
        {R6('max(value)')} AS max, {R6('quantile_cont(value, 0.25)')} AS quantile_25,
        {R6('quantile_cont(value, 0.5)')} AS quantile_50, {R6('quantile_cont(value, 0.75)')} AS quantile_75
 FROM lt GROUP BY feature"""))
 def _dist_stats(ctx: OrderContext) -> DataFrame:
     f = feature_frame(ctx).filter(F.col("split") == "train")
     long = stats.unpivot(f, [], DIST_COLS)
-    m = long.groupBy("feature").agg(F.avg("value").alias("mean"), F.stddev_samp("value").alias("std"),
+    m = long.groupBy("feature").agg(mean_fixed("value").alias("mean"), F.stddev_samp("value").alias("std"),
                                     F.min("value").alias("min"), F.max("value").alias("max"))
     q = stats.quantiles_exact(long, ["feature"], "value", [0.25, 0.5, 0.75])
     qw = q.groupBy("feature").pivot("q", [0.25, 0.5, 0.75]).agg(F.first("quantile"))
     qw = qw.toDF("feature", "quantile_25", "quantile_50", "quantile_75")
     j = m.join(qw, "feature", "left")
-    return j.select("feature", *[r6(F.col(c)).alias(c) for c in
-                                 ("mean", "std", "min", "max", "quantile_25", "quantile_50", "quantile_75")])
+    return j.select("feature", "mean", *[r6(F.col(c)).alias(c) for c in
+                                         ("std", "min", "max", "quantile_25", "quantile_50", "quantile_75")])
 
 
 # -- evaluation -----------------------------------------------------------------------
@@ -370,10 +378,11 @@ def _long(ctx: OrderContext) -> DataFrame:
 
 
 @register("drift_mean_shift", _w(LONG_CTE, f"""
-SELECT *, round(abs(cur_mean - ref_mean) / (ref_mean + 1e-8) * 100, 6) AS mean_diff_pct FROM (
-SELECT feature, round(avg(CASE WHEN is_ref = 1 THEN value END), 6) AS ref_mean,
+SELECT *, round(abs(CAST(cur_mean AS DOUBLE) - CAST(ref_mean AS DOUBLE)) / (CAST(ref_mean AS DOUBLE) + 1e-8) * 100, 6)
+       AS mean_diff_pct FROM (
+SELECT feature, {O.mean6('CASE WHEN is_ref = 1 THEN value END')} AS ref_mean,
        round(stddev_samp(CASE WHEN is_ref = 1 THEN value END), 6) AS ref_std,
-       round(avg(CASE WHEN is_ref = 0 THEN value END), 6) AS cur_mean,
+       {O.mean6('CASE WHEN is_ref = 0 THEN value END')} AS cur_mean,
        round(stddev_samp(CASE WHEN is_ref = 0 THEN value END), 6) AS cur_std
 FROM lg GROUP BY feature) m"""))
 def _mean_shift(ctx: OrderContext) -> DataFrame:

@@ -12,7 +12,6 @@ from orderflow.functions.exact import ratio_round
 from orderflow.operators import agent
 from orderflow.operators import staging as stg_ops
 from orderflow.operators.aggregates import count_if, median_exact, mode_smallest
-from orderflow.operators.features import r6
 from orderflow.operators.velocity import attach_sliding_velocity, sliding_window_counts
 from orderflow.plans import marts
 from orderflow.plans import oracle as O
@@ -492,5 +491,3 @@ def _cases(ctx: OrderContext) -> DataFrame:
     inv = agent.investigate(agent.agent_inputs(ctx.processed)).filter(F.col("triage") == "INVESTIGATE")
     return inv.agg(F.count(F.lit(1)).alias("cases"), F.countDistinct("order_id").alias("distinct_orders"))
 
-
-__all__ = ["r6"]

@@ -7,8 +7,6 @@ date-partitioned archive they prune partitions and reach the Parquet scan.
 
 from __future__ import annotations
 
-from decimal import Decimal
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DecimalType
@@ -126,5 +124,3 @@ def recent_table(processed: DataFrame, as_of: Column, hours: int = 24, limit: in
         out = out.orderBy(F.col("timestamp").desc(), F.col("order_id")).limit(limit)
     return out
 
-
-MONEY_STEP = Decimal("0.01")

@@ -107,6 +107,22 @@ def rnd(num: str, den: str, scale: int, precision: int = 10) -> str:
             f"AS DECIMAL(20,0)) * {step} AS DECIMAL({precision},{scale})) END")
 
 
+def xr(num: str, den: str, scale: int, precision: int = 18) -> str:
+    """Exact round(num / den, scale) half away from zero with HUGEINT division."""
+    sgn = f"(CASE WHEN ({den}) < 0 THEN -1 ELSE 1 END)"
+    n, d = f"(CAST({num} AS HUGEINT) * {sgn})", f"(CAST({den} AS HUGEINT) * {sgn})"
+    q = f"((abs({n}) * {2 * 10 ** scale} + {d}) // (2 * {d}))"
+    step = "1" if scale == 0 else "0." + "0" * (scale - 1) + "1"
+    return (f"CASE WHEN ({den}) <> 0 THEN CAST(CAST(CASE WHEN {n} < 0 THEN -{q} ELSE {q} END AS DECIMAL(20,0)) "
+            f"* {step} AS DECIMAL({precision},{scale})) END")
+
+
+def mean6(col: str) -> str:
+    """Exact mean rounded to six decimals (see functions.exact.mean_fixed)."""
+    units = f"CAST(SUM(CAST({col} AS DECIMAL(38,6))) * 1000000 AS HUGEINT)"
+    return f"CAST(CAST({xr(units, f'count({col})', 0, 38)} AS DECIMAL(38,0)) * 0.000001 AS DECIMAL(20,6))"
+
+
 def mean(total: str, count: str) -> str:
     return f"CASE WHEN ({count}) <> 0 THEN CAST({total} AS DOUBLE) / CAST({count} AS DOUBLE) END"
 
