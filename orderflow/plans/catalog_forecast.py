@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from orderflow.operators import forecast as fc
 from orderflow.plans import oracle as O
 from orderflow.plans.context import OrderContext
-from orderflow.plans.registry import register
+from orderflow.plans.catalog_base import register
 
 xr = O.xr
 from orderflow.sources import sinks

@@ -13,7 +13,7 @@ from orderflow.operators.velocity import trailing_count
 from orderflow.plans import oracle as O
 from orderflow.plans.catalog_ops import AGENT_CTE
 from orderflow.plans.context import OrderContext
-from orderflow.plans.registry import register
+from orderflow.plans.catalog_base import register
 from orderflow.session import cut_lineage
 
 

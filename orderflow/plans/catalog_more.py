@@ -17,7 +17,7 @@ from orderflow.plans import marts
 from orderflow.plans import oracle as O
 from orderflow.plans.catalog_ops import AGENT_CTE
 from orderflow.plans.context import OrderContext
-from orderflow.plans.registry import register
+from orderflow.plans.catalog_base import register
 from orderflow.sources import ingest, sinks
 from orderflow.streaming import order_stream
 

@@ -13,7 +13,7 @@ from orderflow.plans import dashboards as dash
 from orderflow.plans import marts
 from orderflow.plans import oracle as O
 from orderflow.plans.context import OrderContext
-from orderflow.plans.registry import register
+from orderflow.plans.catalog_base import register
 
 P = O.PROCESSED
 NOW = "(SELECT as_of FROM clock)"

@@ -1,33 +1,16 @@
-"""Named queries: ``(spark, sf_dir) -> DataFrame`` plus their oracle SQL."""
+"""All registered queries. Importing this module imports every catalogue."""
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 
 from orderflow.operators import staging as stg_ops
 from orderflow.plans import marts
 from orderflow.plans import oracle as O
+from orderflow.plans.catalog_base import ORACLE, QUERIES, Query, register
 from orderflow.plans.context import OrderContext
 
-Query = Callable[[SparkSession, str], DataFrame]
-
-QUERIES: dict[str, Query] = {}
-ORACLE: dict[str, str] = {}
-
-
-def register(name: str, sql: str | None = None):
-    def deco(fn: Callable[[OrderContext], DataFrame]) -> Callable[[OrderContext], DataFrame]:
-        def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-            return fn(OrderContext(spark, sf_dir))
-        run.__name__ = name
-        run.__doc__ = fn.__doc__
-        QUERIES[name] = run
-        if sql is not None:
-            ORACLE[name] = sql
-        return fn
-    return deco
+__all__ = ["ORACLE", "QUERIES", "Query", "register"]
 
 
 # -- staging and marts -------------------------------------------------------
@@ -67,7 +50,7 @@ def _fact_orders(ctx: OrderContext) -> DataFrame:
     return marts.fact_orders(stg_ops.staging_orders(ctx.processed, extra=("product_id", "quantity", "payment_method")))
 
 
-# Further catalogues register themselves on import (they need ``register``).
+# Further catalogues register themselves on import.
 from orderflow.plans import catalog_ops  # noqa: E402,F401
 from orderflow.plans import catalog_ml  # noqa: E402,F401
 from orderflow.plans import catalog_more  # noqa: E402,F401

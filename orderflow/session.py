@@ -14,6 +14,23 @@ from pyspark.sql import DataFrame, SparkSession
 # Conf keys this package relies on.
 CHECKPOINT_CONF = "spark.checkpoint.dir"
 
+# Settings for a large cluster reading ~100 TB (passed to spark-submit by the
+# operator; nothing here sets them on a live cluster). Shuffle partitions start
+# high and AQE coalesces them to ~256 MB; skewed join partitions are split;
+# scan splits stay at 512 MB so a task's input fits executor memory.
+CLUSTER_CONF = {
+    "spark.sql.adaptive.enabled": "true",
+    "spark.sql.adaptive.coalescePartitions.enabled": "true",
+    "spark.sql.adaptive.advisoryPartitionSizeInBytes": "256m",
+    "spark.sql.adaptive.skewJoin.enabled": "true",
+    "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "4",
+    "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "512m",
+    "spark.sql.shuffle.partitions": "40000",
+    "spark.sql.files.maxPartitionBytes": "512m",
+    "spark.sql.autoBroadcastJoinThreshold": "64m",
+    "spark.sql.session.timeZone": "UTC",
+}
+
 
 def build_session(master: str = "local[8]", shuffle_partitions: int = 8,
                   app_name: str = "orderflow") -> SparkSession:
