@@ -1,13 +1,22 @@
 """Per-key trailing counts over event time without one partition per key.
 
 A window partitioned by user alone puts a hot user (a bot, or the NULL-user
-bucket) in one task. Here the partition key is (key, time bucket) with
-bucket width = frame width + 1, so a frame ``[t - width, t]`` touches only its
-own bucket and the one before. Each row is also sent to the next bucket as a
-*shifted* marker ``s = t + width``; there it is counted when ``s >= t``. That
-gives 2N rows, no pairs, and an answer equal to
-``count(*) OVER (PARTITION BY key ORDER BY t RANGE BETWEEN width PRECEDING AND CURRENT ROW)``
-(ties included, as a RANGE frame includes peers).
+bucket) in one task. Here the frame ``(t - span, t]`` (``span = width + 1``)
+is cut into ``m`` sub-buckets of width ``B = span / m``, and the window is
+partitioned by (key, sub-bucket):
+
+* rows of the query's own sub-bucket: a running count inside (key, bucket);
+* the ``m - 1`` sub-buckets fully inside the frame: their totals, from a
+  per-(key, bucket) aggregate exploded to the ``m - 1`` buckets it serves and
+  joined back (no window over a key);
+* the sub-bucket ``m`` back, cut by the frame start: every row is also sent,
+  as a *marker* ``s = t + span``, to the bucket ``m`` ahead, where it counts
+  for a query ``t`` exactly when ``s > t``.
+
+That is 2N rows plus a small aggregate, no pairs, and the result equals
+``count(*) OVER (PARTITION BY key ORDER BY t RANGE BETWEEN width PRECEDING AND
+CURRENT ROW)`` (ties included, as a RANGE frame includes peers). A task holds
+one key's rows within ``B``, not within the whole frame.
 """
 
 from __future__ import annotations
@@ -17,13 +26,25 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from orderflow.operators.common import join_null_safe
+
 _KIND = "__tc_kind"
 _BUCKET = "__tc_bucket"
 _SORT = "__tc_sort"
+_W = "__tc_w"
+DEFAULT_SUB_BUCKETS = 12
+
+
+def _sub_buckets(span: int, wanted: int) -> int:
+    for m in range(min(wanted, span), 0, -1):
+        if span % m == 0:
+            return m
+    return 1
 
 
 def trailing_count(df: DataFrame, keys: Sequence[str], t_col: str, width: int,
-                   out_col: str, weight: str | None = None, strict: bool = False) -> DataFrame:
+                   out_col: str, weight: str | None = None, strict: bool = False,
+                   sub_buckets: int = DEFAULT_SUB_BUCKETS) -> DataFrame:
     """Add ``out_col`` = rows with the same ``keys`` and ``t`` in ``[t - width, t]``.
 
     ``t_col`` must be an integral column (for example epoch microseconds).
@@ -32,30 +53,40 @@ def trailing_count(df: DataFrame, keys: Sequence[str], t_col: str, width: int,
     """
     keys = list(keys)
     span = width + 1
-    w_expr = F.col(weight).cast("long") if weight else F.lit(1).cast("long")
-    df = df.withColumn("__tc_w", w_expr)
+    m = _sub_buckets(span, sub_buckets)
+    size = span // m
+    t = F.col(t_col).cast("long")
+    df = df.withColumn(_W, F.col(weight).cast("long") if weight else F.lit(1).cast("long"))
     data = (df.withColumn(_KIND, F.lit(0))
-              .withColumn(_BUCKET, F.floor(F.col(t_col) / F.lit(span)))
-              .withColumn(_SORT, F.col(t_col).cast("long")))
-    shifted = (df.filter(F.col(t_col).isNotNull())
-                 .select(*keys, "__tc_w",
-                         F.lit(1).alias(_KIND),
-                         (F.floor(F.col(t_col) / F.lit(span)) + 1).alias(_BUCKET),
-                         (F.col(t_col).cast("long") + F.lit(width)).alias(_SORT)))
-    both = data.unionByName(shifted, allowMissingColumns=True)
+              .withColumn(_BUCKET, F.floor(t / F.lit(size)))
+              .withColumn(_SORT, t))
+    markers = (df.filter(F.col(t_col).isNotNull())
+                 .select(*keys, _W, F.lit(1).alias(_KIND),
+                         (F.floor(t / F.lit(size)) + m).alias(_BUCKET),
+                         (t + F.lit(span)).alias(_SORT)))
+    both = data.unionByName(markers, allowMissingColumns=True)
 
     part = Window.partitionBy(*keys, _BUCKET)
     ordered = part.orderBy(_SORT)
-    is_data = F.when(F.col(_KIND) == 0, F.col("__tc_w")).otherwise(0)
-    is_shift = F.when(F.col(_KIND) == 1, F.col("__tc_w")).otherwise(0)
+    own = F.when(F.col(_KIND) == 0, F.col(_W)).otherwise(0)
+    mark = F.when(F.col(_KIND) == 1, F.col(_W)).otherwise(0)
     upper = -1 if strict else Window.currentRow
-    data_upto = F.coalesce(
-        F.sum(is_data).over(ordered.rangeBetween(Window.unboundedPreceding, upper)), F.lit(0))
-    shift_before = F.coalesce(
-        F.sum(is_shift).over(ordered.rangeBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    shift_total = F.sum(is_shift).over(part)
-    counted = both.withColumn(out_col, data_upto + shift_total - shift_before)
-    return counted.filter(F.col(_KIND) == 0).drop(_KIND, _BUCKET, _SORT, "__tc_w")
+    own_upto = F.coalesce(F.sum(own).over(ordered.rangeBetween(Window.unboundedPreceding, upper)), F.lit(0))
+    mark_upto = F.coalesce(
+        F.sum(mark).over(ordered.rangeBetween(Window.unboundedPreceding, Window.currentRow)), F.lit(0))
+    mark_total = F.sum(mark).over(part)
+    counted = (both.withColumn(out_col, own_upto + mark_total - mark_upto)
+                   .filter(F.col(_KIND) == 0))
+    if m > 1:
+        totals = (data.filter(F.col(_BUCKET).isNotNull())
+                      .groupBy(*keys, _BUCKET).agg(F.sum(_W).alias("__tc_n")))
+        middle = (totals.select(*keys, F.col("__tc_n"),
+                                F.explode(F.sequence(F.col(_BUCKET) + 1, F.col(_BUCKET) + m - 1)).alias(_BUCKET))
+                        .groupBy(*keys, _BUCKET).agg(F.sum("__tc_n").alias("__tc_mid")))
+        counted = (join_null_safe(counted, middle, keys + [_BUCKET], "left")
+                   .withColumn(out_col, F.col(out_col) + F.coalesce(F.col("__tc_mid"), F.lit(0)))
+                   .drop("__tc_mid"))
+    return counted.drop(_KIND, _BUCKET, _SORT, _W)
 
 
 def sliding_window_counts(df: DataFrame, key: str, ts_col: str,

@@ -26,12 +26,14 @@ def test_trailing_count_matches_range_frame(spark):
         rows.append((i, key, t, rnd.randint(0, 1)))
     df = spark.createDataFrame(rows, "id long, k string, t long, w int")
     width = 59_999_999
-    got = {r.id: r.c for r in trailing_count(df, ["k"], "t", width, "c").collect()}
-    got_s = {r.id: r.c for r in trailing_count(df, ["k"], "t", width, "c", weight="w", strict=True).collect()}
-    for i, k, t, _ in rows:
-        same = [(t2, w2) for _, k2, t2, w2 in rows if k2 == k]
-        assert got[i] == sum(1 for t2, _ in same if t - width <= t2 <= t)
-        assert got_s[i] == sum(w2 for t2, w2 in same if t - width <= t2 < t)
+    for m in (1, 6, 12):
+        got = {r.id: r.c for r in trailing_count(df, ["k"], "t", width, "c", sub_buckets=m).collect()}
+        got_s = {r.id: r.c for r in trailing_count(df, ["k"], "t", width, "c", weight="w", strict=True,
+                                                   sub_buckets=m).collect()}
+        for i, k, t, _ in rows:
+            same = [(t2, w2) for _, k2, t2, w2 in rows if k2 == k]
+            assert got[i] == sum(1 for t2, _ in same if t - width <= t2 <= t), (m, i)
+            assert got_s[i] == sum(w2 for t2, w2 in same if t - width <= t2 < t), (m, i)
 
 
 def test_pct_rank_and_position(spark):
