@@ -14,7 +14,7 @@ from pyspark.sql.types import DecimalType
 
 from orderflow.functions.timeparts import is_late_night_model
 from orderflow.session import cut_lineage
-from orderflow.operators.ranking import value_counts_beyond, with_pct_rank_average
+from orderflow.operators.ranking import global_position, with_pct_rank_average
 from orderflow.operators.velocity import trailing_count
 
 # The model's feature list, in order.
@@ -53,17 +53,15 @@ def chrono_split(df: DataFrame, ts_col: str = "order_timestamp", key: str = "ord
                  train_fraction: float = TRAIN_FRACTION) -> DataFrame:
     """``split`` = 'train' for the first ``floor(fraction * n)`` rows by (time, key).
 
-    The input is read three times (value counts, join-back, tie order), so it
-    is checkpointed once; n comes from the value-count table.
+    Positions come from an exact global row number over a range partitioning
+    (no single-task window, even for a timestamp shared by many rows).
     """
-    us = cut_lineage(df.withColumn("__us", F.unix_micros(F.col(ts_col))))
-    counts = value_counts_beyond(us, [], "__us", descending=False).select("__us", "n_beyond", "n_group")
-    tie = Window.partitionBy("__us").orderBy(key)
-    pos = us.join(counts, "__us", "left").withColumn("__pos", F.col("n_beyond") + F.row_number().over(tie) - 1)
+    us = df.withColumn("__us", F.unix_micros(F.col(ts_col)))
+    pos = global_position(us, ["__us", key], "__pos")
+    n = pos.agg(F.count(F.lit(1))).scalar()
     pct = int(round(train_fraction * 100))
-    cut = F.floor(F.col("n_group") * pct / 100)
-    return (pos.withColumn("split", F.when(F.col("__pos") < cut, "train").otherwise("test"))
-               .drop("__us", "__pos", "n_beyond", "n_group"))
+    cut = F.floor(n * pct / 100)
+    return pos.withColumn("split", F.when(F.col("__pos") < cut, "train").otherwise("test")).drop("__us", "__pos")
 
 
 def label_dictionary(train: DataFrame, col: str) -> DataFrame:

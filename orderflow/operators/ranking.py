@@ -110,14 +110,28 @@ def with_pct_rank_average(df: DataFrame, value: str, out_col: str, default: floa
     return joined.withColumn(out_col, F.coalesce(F.col(out_col), F.lit(default)))
 
 
-def with_position(df: DataFrame, value: str, tie_key: str, out_col: str = "position") -> DataFrame:
-    """0-based position in ascending (value, tie_key) order.
-
-    Rows with the same value are ordered by ``tie_key`` in a window over that
-    value only (a tie group); everything else comes from the cumulative counts.
+def global_position(df: DataFrame, order_cols: Sequence[str], out_col: str = "position",
+                    partitions: int | None = None) -> DataFrame:
+    """0-based position of every row in ascending ``order_cols`` order (which
+    must be unique per row), without a single-partition window.
+
+    Rows are range-partitioned on the full sort key, so even a value shared
+    by a third of the rows is split across partitions by the tie key. Each
+    range partition numbers its own rows, and a per-partition count table
+    (one row per partition) supplies the offsets.
     """
-    counts = value_counts_beyond(df, [], value, descending=False).select(value, "n_beyond")
-    joined = df.join(counts, value, "left")
-    tie = Window.partitionBy(value).orderBy(tie_key)
-    return (joined.withColumn(out_col, F.col("n_beyond") + F.row_number().over(tie) - 1)
-                  .drop("n_beyond"))
+    n = partitions or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ranged = df.repartitionByRange(n, *order_cols).withColumn("__pid", F.spark_partition_id())
+    ranged = cut_lineage(ranged)  # pin the partition ids to the written rows
+    local = ranged.withColumn("__local", F.row_number().over(Window.partitionBy("__pid").orderBy(*order_cols)))
+    sizes = ranged.groupBy("__pid").agg(F.count(F.lit(1)).alias("__size"))
+    offsets = sizes.withColumn("__offset", F.coalesce(F.sum("__size").over(
+        Window.orderBy("__pid").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    # One row per partition: a broadcast bounded by the partition count.
+    joined = local.join(F.broadcast(offsets.select("__pid", "__offset")), "__pid")
+    return joined.withColumn(out_col, F.col("__offset") + F.col("__local") - 1).drop("__pid", "__local", "__offset")
+
+
+def with_position(df: DataFrame, value: str, tie_key: str, out_col: str = "position") -> DataFrame:
+    """0-based position in ascending (value, tie_key) order."""
+    return global_position(df, [value, tie_key], out_col)
