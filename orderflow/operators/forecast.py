@@ -168,8 +168,8 @@ def training_windows(panel: DataFrame) -> DataFrame:
     j = span.join(panel.select("group", "time_idx", "volume"), ["group", "time_idx"])
     enc = F.col("time_idx") < F.col("origin")
     return j.groupBy("group", "origin").agg(
-        F.sum(enc.cast("int")).alias("encoder_length"),
-        F.sum((~enc).cast("int")).alias("decoder_length"),
+        F.sum(enc.cast("int")).cast("int").alias("encoder_length"),
+        F.sum((~enc).cast("int")).cast("int").alias("decoder_length"),
         F.sum(F.when(enc, F.col("volume")).otherwise(0)).alias("encoder_volume"),
         F.sum(F.when(~enc, F.col("volume")).otherwise(0)).alias("decoder_volume"),
         F.min("time_idx").alias("first_idx"), F.max("time_idx").alias("last_idx"))

@@ -403,9 +403,9 @@ def _shadow(ctx: OrderContext) -> DataFrame:
 
 
 @register("feed_alerts", _w(P, """
-SELECT order_id, risk_level, to_json(struct_pack(
+SELECT order_id, risk_level, CAST(to_json(struct_pack(
   title := '🚨 ' || risk_level || ' Risk Fraud Detected', order_id := order_id,
-  fraud_score := CAST(fraud_score AS VARCHAR), risk_level := risk_level, reasoning := reasoning)) AS payload
+  fraud_score := CAST(fraud_score AS VARCHAR), risk_level := risk_level, reasoning := reasoning)) AS VARCHAR) AS payload
 FROM processed WHERE risk_level IN ('CRITICAL', 'HIGH')"""))
 def _alerts(ctx: OrderContext) -> DataFrame:
     return agent.alerts(ctx.processed)
