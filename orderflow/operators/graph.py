@@ -101,6 +101,8 @@ def connected_components(orders: DataFrame, key: str = "order_id") -> DataFrame:
             new = new.persist()
         changed = new.join(labels.withColumnRenamed("label", "old"), key) \
                      .filter(F.col("label") != F.col("old")).limit(1).count()
+        if labels.is_cached:
+            labels.unpersist()
         labels = new
         i += 1
         if changed == 0:

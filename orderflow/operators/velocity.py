@@ -7,8 +7,9 @@ partitioned by (key, sub-bucket):
 
 * rows of the query's own sub-bucket: a running count inside (key, bucket);
 * the ``m - 1`` sub-buckets fully inside the frame: their totals, from a
-  per-(key, bucket) aggregate exploded to the ``m - 1`` buckets it serves and
-  joined back (no window over a key);
+  per-(key, bucket) aggregate whose rows are sent as *summary* rows to the
+  ``m - 1`` buckets they serve, in the same window input (no join, no window
+  over a key);
 * the sub-bucket ``m`` back, cut by the frame start: every row is also sent,
   as a *marker* ``s = t + span``, to the bucket ``m`` ahead, where it counts
   for a query ``t`` exactly when ``s > t``.
@@ -26,8 +27,6 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from orderflow.operators.common import join_null_safe
-
 _KIND = "__tc_kind"
 _BUCKET = "__tc_bucket"
 _SORT = "__tc_sort"
@@ -56,36 +55,41 @@ def trailing_count(df: DataFrame, keys: Sequence[str], t_col: str, width: int,
     m = _sub_buckets(span, sub_buckets)
     size = span // m
     t = F.col(t_col).cast("long")
+    payload = [c for c in df.columns if c not in keys]
     df = df.withColumn(_W, F.col(weight).cast("long") if weight else F.lit(1).cast("long"))
-    data = (df.withColumn(_KIND, F.lit(0))
-              .withColumn(_BUCKET, F.floor(t / F.lit(size)))
-              .withColumn(_SORT, t))
-    markers = (df.filter(F.col(t_col).isNotNull())
-                 .select(*keys, _W, F.lit(1).alias(_KIND),
-                         (F.floor(t / F.lit(size)) + m).alias(_BUCKET),
-                         (t + F.lit(span)).alias(_SORT)))
-    both = data.unionByName(markers, allowMissingColumns=True)
+    data = df.withColumn(_BUCKET, F.floor(t / F.lit(size)))
+    # Data rows and markers come from one scan: each row is exploded into
+    # itself (kind 0) and its marker (kind 1, payload nulled, bucket + m).
+    kinds = F.when(t.isNull(), F.array(F.lit(0))).otherwise(F.array(F.lit(0), F.lit(1)))
+    both = data.withColumn(_KIND, F.explode(kinds))
+    is_data = F.col(_KIND) == 0
+    both = both.select(
+        *keys, F.col(_W), F.col(_KIND),
+        F.when(is_data, F.col(_BUCKET)).otherwise(F.col(_BUCKET) + m).alias(_BUCKET),
+        F.when(is_data, t).otherwise(t + F.lit(span)).alias(_SORT),
+        *[F.when(is_data, F.col(c)).alias(c) for c in payload])
+    if m > 1:
+        # Bucket totals (map-side combined), each sent to the m - 1 later
+        # buckets whose frames cover it completely.
+        summary = (data.filter(F.col(_BUCKET).isNotNull())
+                       .groupBy(*keys, _BUCKET).agg(F.sum(_W).alias(_W))
+                       .select(*keys, _W, F.lit(2).alias(_KIND), F.lit(None).cast("long").alias(_SORT),
+                               F.explode(F.sequence(F.col(_BUCKET) + 1, F.col(_BUCKET) + m - 1)).alias(_BUCKET)))
+        both = both.unionByName(summary, allowMissingColumns=True)
 
     part = Window.partitionBy(*keys, _BUCKET)
     ordered = part.orderBy(_SORT)
     own = F.when(F.col(_KIND) == 0, F.col(_W)).otherwise(0)
     mark = F.when(F.col(_KIND) == 1, F.col(_W)).otherwise(0)
+    full = F.when(F.col(_KIND) == 2, F.col(_W)).otherwise(0)
     upper = -1 if strict else Window.currentRow
     own_upto = F.coalesce(F.sum(own).over(ordered.rangeBetween(Window.unboundedPreceding, upper)), F.lit(0))
     mark_upto = F.coalesce(
         F.sum(mark).over(ordered.rangeBetween(Window.unboundedPreceding, Window.currentRow)), F.lit(0))
     mark_total = F.sum(mark).over(part)
-    counted = (both.withColumn(out_col, own_upto + mark_total - mark_upto)
+    full_total = F.sum(full).over(part)
+    counted = (both.withColumn(out_col, own_upto + mark_total - mark_upto + full_total)
                    .filter(F.col(_KIND) == 0))
-    if m > 1:
-        totals = (data.filter(F.col(_BUCKET).isNotNull())
-                      .groupBy(*keys, _BUCKET).agg(F.sum(_W).alias("__tc_n")))
-        middle = (totals.select(*keys, F.col("__tc_n"),
-                                F.explode(F.sequence(F.col(_BUCKET) + 1, F.col(_BUCKET) + m - 1)).alias(_BUCKET))
-                        .groupBy(*keys, _BUCKET).agg(F.sum("__tc_n").alias("__tc_mid")))
-        counted = (join_null_safe(counted, middle, keys + [_BUCKET], "left")
-                   .withColumn(out_col, F.col(out_col) + F.coalesce(F.col("__tc_mid"), F.lit(0)))
-                   .drop("__tc_mid"))
     return counted.drop(_KIND, _BUCKET, _SORT, _W)
 
 
