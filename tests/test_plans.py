@@ -1,5 +1,5 @@
-"""Plan shape: no registered batch query may contain a cartesian product or a
-nested-loop join, and scans must carry pruned schemas."""
+"""Plan shape: no registered batch query may contain a cartesian product, a
+nested-loop join or a Python UDF evaluation, and scans carry pruned schemas."""
 
 from __future__ import annotations
 
@@ -13,7 +13,7 @@ from orderflow.plans.registry import ORACLE, QUERIES
 
 from conftest import SF_SMALL
 
-FORBIDDEN = ("CartesianProduct", "BroadcastNestedLoopJoin")
+FORBIDDEN = ("CartesianProduct", "BroadcastNestedLoopJoin", "BatchEvalPython", "ArrowEvalPython")
 SUBSET = ("mart_fraud_daily", "mart_dim_products", "jn_star_fact", "jn_blocklist_anti", "rule_decision",
           "feat_matrix", "drift_ks_wasserstein", "ml_threshold_cost", "graph_neighbor_features",
           "mart_forecast_vs_actuals", "ts_training_windows", "rag_topk_cosine", "jn_velocity_range")
