@@ -25,11 +25,3 @@ def mode_smallest(col) -> Column:
     """Most frequent non-NULL value; ties go to the smallest value."""
     return F.mode(_c(col), True)
 
-
-def median_exact(col, scale: int = 3) -> Column:
-    """Exact continuous median (``PERCENTILE_CONT(0.5)``).
-
-    The median of values with s decimals has at most s + 1 decimals, so
-    rounding the interpolated double to ``scale`` recovers it exactly.
-    """
-    return F.round(F.percentile(_c(col), F.lit(0.5)), scale).cast(DecimalType(18, scale))

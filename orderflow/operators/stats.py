@@ -34,6 +34,16 @@ def quantiles_exact(df: DataFrame, parts: Sequence[str], value: str, qs: Sequenc
     return g.select(*parts, "q", (F.col("__lo") + (F.col("__hi") - F.col("__lo")) * frac).alias("quantile"))
 
 
+def group_median(df: DataFrame, parts: Sequence[str], value: str, out_col: str, scale: int = 3) -> DataFrame:
+    """(parts..., out_col): exact continuous median per group, DECIMAL(18, scale).
+
+    The median of values with s decimals has at most s + 1 decimals, so the
+    interpolated double rounded to ``scale`` is exact.
+    """
+    q = quantiles_exact(df, parts, value, [0.5])
+    return q.select(*parts, F.round(F.col("quantile"), scale).cast(f"decimal(18,{scale})").alias(out_col))
+
+
 def unpivot(df: DataFrame, id_cols: Sequence[str], value_cols: Sequence[str],
             name: str = "feature", value: str = "value") -> DataFrame:
     """Long format (id..., feature, value double) with one ``stack`` per row."""

@@ -11,7 +11,8 @@ from pyspark.sql import functions as F
 from orderflow.functions.exact import ratio_round
 from orderflow.operators import agent
 from orderflow.operators import staging as stg_ops
-from orderflow.operators.aggregates import count_if, median_exact, mode_smallest
+from orderflow.operators.aggregates import count_if, mode_smallest
+from orderflow.operators.stats import group_median
 from orderflow.operators.velocity import attach_sliding_velocity, sliding_window_counts
 from orderflow.plans import marts
 from orderflow.plans import oracle as O
@@ -371,7 +372,7 @@ def _distinct_users(ctx: OrderContext) -> DataFrame:
 
 @register("agg_median", _w(O.STG, f"SELECT category, {O.median('order_amount')} AS median_order_value_usd FROM stg GROUP BY category"))
 def _median(ctx: OrderContext) -> DataFrame:
-    return ctx.staging.groupBy("category").agg(median_exact("order_amount").alias("median_order_value_usd"))
+    return group_median(ctx.staging, ["category"], "order_amount", "median_order_value_usd")
 
 
 @register("agg_mode", _w(O.STG + ", " + O.mode_smallest("device_type", "category", "stg", "m")

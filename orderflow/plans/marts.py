@@ -15,7 +15,9 @@ from pyspark.sql.types import DecimalType
 from orderflow.functions import rules
 from orderflow.functions.exact import mean_double, ratio_round, scaled_int
 from orderflow.functions.timeparts import dow_sunday0, whole_days
-from orderflow.operators.aggregates import count_if, median_exact, mode_smallest, sum_if
+from orderflow.operators.aggregates import count_if, mode_smallest, sum_if
+from orderflow.operators.common import join_null_safe
+from orderflow.operators.stats import group_median
 from orderflow.operators.ranking import with_rank
 from orderflow.session import cut_lineage
 
@@ -76,7 +78,6 @@ def dim_products(stg: DataFrame, as_of: Column) -> DataFrame:
         mean_double(F.sum("order_amount"), F.count(F.lit(1))).alias("avg_order_value_usd"),
         F.min("order_amount").alias("min_order_value_usd"),
         F.max("order_amount").alias("max_order_value_usd"),
-        median_exact("order_amount").alias("median_order_value_usd"),
         count_if(_fraud()).alias("fraud_order_count"),
         sum_if(_fraud(), "order_amount").alias("total_fraud_exposure_usd"),
         F.min("order_timestamp").alias("first_order_at"),
@@ -90,6 +91,9 @@ def dim_products(stg: DataFrame, as_of: Column) -> DataFrame:
              .withColumn("avg_velocity_per_user", ratio_round("__vel_sum", "total_orders", 2, 10))
              .drop("__vel_sum")
              .withColumn("product_risk_tier", rules.product_risk_tier("fraud_rate_pct")))
+    # Exact medians from cumulative counts (no per-group value map in one task).
+    stats = join_null_safe(stats, group_median(stg, ["product_name", "category"], "order_amount",
+                                               "median_order_value_usd"), ["product_name", "category"], "left")
     # One row per product, read by both rankings and the final join.
     stats = cut_lineage(stats)
     stats = with_rank(stats, ["category"], "total_orders", "rank_in_category", descending=True)
@@ -107,7 +111,6 @@ def dim_users(stg: DataFrame, as_of: Column, lookback_days: int = rules.LOOKBACK
         F.sum("order_amount").cast(MONEY).alias("total_spend_usd"),
         mean_double(F.sum("order_amount"), F.count(F.lit(1))).alias("avg_order_value_usd"),
         F.max("order_amount").alias("max_single_order_usd"),
-        median_exact("order_amount").alias("median_order_value_usd"),
         count_if(_fraud()).alias("fraud_order_count"),
         mean_double(F.sum("fraud_score"), F.count("fraud_score")).alias("avg_fraud_score"),
         F.max("fraud_score").alias("max_fraud_score"),
@@ -121,6 +124,8 @@ def dim_users(stg: DataFrame, as_of: Column, lookback_days: int = rules.LOOKBACK
         count_if(recent).alias("orders_last_30d"),
         sum_if(recent, "order_amount").alias("spend_last_30d_usd"),
     )
+    stats = join_null_safe(stats, group_median(stg, ["user_id"], "order_amount", "median_order_value_usd"),
+                           ["user_id"], "left")
     stats = (stats
              .withColumn("days_as_customer", whole_days("last_order_at", "first_order_at"))
              .withColumn("fraud_rate_pct", ratio_round(F.col("fraud_order_count") * 100, "total_orders", 2, 10)))

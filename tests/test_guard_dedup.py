@@ -8,7 +8,8 @@ from decimal import Decimal
 from pyspark.sql import functions as F
 
 from orderflow.operators import staging
-from orderflow.operators.aggregates import median_exact, mode_smallest
+from orderflow.operators.aggregates import mode_smallest
+from orderflow.operators.stats import group_median
 from orderflow.operators.ranking import with_rank
 
 T0 = dt.datetime(2024, 1, 1, 12, 0, 0)
@@ -42,9 +43,10 @@ def test_mode_ties_and_nulls(spark):
 
 
 def test_median_even_count(spark):
-    df = spark.createDataFrame([(Decimal("1.00"),), (Decimal("2.01"),), (Decimal("3.00"),), (Decimal("10.00"),)],
-                               "a decimal(12,2)")
-    assert df.agg(median_exact("a").alias("m")).first().m == Decimal("2.505")
+    df = spark.createDataFrame([("g", Decimal("1.00")), ("g", Decimal("2.01")), ("g", Decimal("3.00")),
+                                ("g", Decimal("10.00")), ("h", Decimal("7.00"))], "k string, a decimal(12,2)")
+    got = {r.k: r.m for r in group_median(df, ["k"], "a", "m").collect()}
+    assert got == {"g": Decimal("2.505"), "h": Decimal("7.000")}
 
 
 def test_rank_with_ties_per_group(spark):
