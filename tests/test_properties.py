@@ -89,6 +89,8 @@ def test_components_match_union_find(spark):
             ("o4", "u9", "unknown"), ("o5", "u9", None),                      # joined by user only
             ("o6", "u6", "unknown"),                                           # isolated ('unknown' links nothing)
             ("o7", "u7", "ipC"), ("o8", "u8", "ipC")]                          # a pair
+    # a long chain alternating user and IP links (diameter ~60)
+    rows += [(f"c{i:03d}", f"cu{i // 2}", f"cip{(i + 1) // 2}") for i in range(120)]
     df = spark.createDataFrame(rows, "order_id string, user_id string, ip_address string")
     comp = {r.order_id: r.component for r in graph.connected_components(df).collect()}
     parent = {o: o for o, _, _ in rows}
