@@ -120,9 +120,16 @@ def _stream_velocity(ctx: OrderContext) -> DataFrame:
                        .select("order_id", "user_id", "timestamp", "orders_per_user_1m")
 
 
-@register("stream_guard_split")
+@register("stream_guard_split", O.with_ctes(O.RAW, """
+SELECT order_id, user_id, product_id, product_name, category, CAST(amount AS DOUBLE) AS amount, quantity,
+       payment_method, ip_address, device_type, location_mismatch, timestamp,
+       CASE WHEN NOT coalesce(amount > 0 AND amount < 100000, false) THEN 'NULL_OR_BAD_AMOUNT'
+            WHEN user_id IS NULL THEN 'NULL_USER' ELSE 'NULL_OR_FUTURE_TIMESTAMP' END AS reject_reason
+FROM raw WHERE NOT coalesce(amount > 0 AND amount < 100000 AND user_id IS NOT NULL
+                            AND timestamp <= CAST(now() AS TIMESTAMP), false)"""))
 def _stream_guard(ctx: OrderContext) -> DataFrame:
-    return sinks.read_sink(ctx.spark, stream_outputs(ctx, "guard").dead_letter)
+    # Rejected rows bypass the stateful step, so the dead letter is exactly the guard's complement.
+    return sinks.read_sink(ctx.spark, stream_outputs(ctx, "guard").dead_letter).drop("batch_id")
 
 
 @register("stream_multi_sink")
@@ -137,7 +144,23 @@ def _stream_watermark(ctx: OrderContext) -> DataFrame:
     return rows.select("window_start", "window_end", "user_id", "orders_per_user_1m").distinct()
 
 
-@register("stream_sliding_count")
+STREAM_VALID = O.RAW + """, v AS (
+  SELECT * FROM raw WHERE coalesce(amount > 0 AND amount < 100000 AND user_id IS NOT NULL
+                                   AND timestamp <= CAST(now() AS TIMESTAMP), false)
+), sl AS (
+  SELECT user_id, CAST(floor(epoch_us(timestamp) / 30000000) AS BIGINT) AS s FROM v
+), w AS (
+  SELECT user_id, ws, count(*) AS n FROM (SELECT user_id, s AS ws FROM sl UNION ALL SELECT user_id, s - 1 FROM sl) t
+  GROUP BY user_id, ws
+)"""
+
+
+# One availableNow batch, then a no-data batch at watermark = max event time - 1 minute:
+# exactly the windows ending at or before the watermark have been emitted.
+@register("stream_sliding_count", O.with_ctes(STREAM_VALID, """
+SELECT make_timestamp(ws * 30000000) AS window_start, make_timestamp(ws * 30000000 + 60000000) AS window_end,
+       user_id, n AS orders_per_user_1m FROM w
+WHERE make_timestamp(ws * 30000000 + 60000000) <= (SELECT max(timestamp) FROM v) - INTERVAL 1 MINUTE"""))
 def _stream_sliding(ctx: OrderContext) -> DataFrame:
     root = run_root(ctx, "sliding")
     return order_stream.run_sliding_counts(ctx.spark, replay_source(ctx, root), root)
