@@ -52,12 +52,17 @@ def stream_outputs(ctx: OrderContext, name: str) -> order_stream.StreamOutputs:
 
 @register("src_json_decode", _w(O.RAW, """
 SELECT order_id, user_id, product_id, product_name, category, CAST(amount AS DOUBLE) AS amount, quantity,
-       payment_method, ip_address, device_type, location_mismatch, timestamp FROM raw"""))
+       payment_method, ip_address, device_type, location_mismatch, timestamp FROM raw"""))  # noqa: E501
 def _decode(ctx: OrderContext) -> DataFrame:
     return ingest.decode_orders(ingest.encode_orders(ctx.raw))
 
 
-@register("src_order_stream")
+DECODED_SQL = _w(O.RAW, """
+SELECT order_id, user_id, product_id, product_name, category, CAST(amount AS DOUBLE) AS amount, quantity,
+       payment_method, ip_address, device_type, location_mismatch, timestamp FROM raw""")
+
+
+@register("src_order_stream", DECODED_SQL)
 def _order_stream(ctx: OrderContext) -> DataFrame:
     root = run_root(ctx, "src-stream")
     src = replay_source(ctx, root)
@@ -78,7 +83,14 @@ def _tx_layout(ctx: OrderContext) -> DataFrame:
     return ingest.transactions_layout(stg)
 
 
-@register("src_transactions_csv")
+@register("src_transactions_csv", _w(STG_TX, """
+SELECT order_id AS "Transaction ID", user_id AS "Customer ID", CAST(order_amount AS DOUBLE) AS "Transaction Amount",
+       date_trunc('millisecond', order_timestamp) AS "Transaction Date", payment_method AS "Payment Method",
+       category AS "Product Category", quantity AS "Quantity", CAST(NULL AS INT) AS "Customer Age",
+       CAST(NULL AS VARCHAR) AS "Customer Location", device_type AS "Device Used", ip_address AS "IP Address",
+       'USA' AS "Shipping Address", CASE WHEN location_mismatch THEN 'mismatch' ELSE 'USA' END AS "Billing Address",
+       account_age_days AS "Account Age Days", CAST(hour(order_timestamp) AS INT) AS "Transaction Hour",
+       CAST(is_fraud AS INT) AS "Is Fraudulent" FROM stg"""))
 def _tx_csv(ctx: OrderContext) -> DataFrame:
     path = os.path.join(run_root(ctx, "tx-csv"), "transactions")
     _tx_layout(ctx).write.mode("overwrite").option("header", "true").csv(path)
@@ -196,7 +208,7 @@ def _snk_archive(ctx: OrderContext) -> DataFrame:
               .agg(F.count(F.lit(1)).alias("rows"))
 
 
-@register("snk_console_preview")
+@register("snk_console_preview", _w(P, "SELECT * FROM processed ORDER BY timestamp DESC, order_id LIMIT 20"))
 def _snk_console(ctx: OrderContext) -> DataFrame:
     # The console sink prints; its content is the scored stream, previewed newest first.
     return ctx.processed.orderBy(F.col("timestamp").desc(), F.col("order_id")).limit(20)
@@ -211,14 +223,18 @@ def _snk_dead(ctx: OrderContext) -> DataFrame:
     return ctx.rejected.select("order_id", "amount", "user_id", "timestamp", "reject_reason")
 
 
-@register("snk_event_logs")
+@register("snk_event_logs", _w(P + """, ipsig AS (
+  SELECT ip_address, count(*) AS n, SUM(CAST(is_fraud AS BIGINT)) AS f FROM processed GROUP BY ip_address)""", """
+SELECT p.timestamp, p.order_id, CAST(p.fraud_score AS DOUBLE) AS champion_score,
+       CAST(s.f AS DOUBLE) / CAST(s.n AS DOUBLE) AS challenger_score
+FROM processed p JOIN ipsig s USING (ip_address)"""))
 def _snk_logs(ctx: OrderContext) -> DataFrame:
     path = os.path.join(run_root(ctx, "logs"), "shadow_log")
     p = ctx.processed
     sig = agent.ip_signals(p)
     shadow = p.join(sig, "ip_address").select(
         F.col("timestamp"), "order_id", F.col("fraud_score").cast("double").alias("champion_score"),
-        (F.col("ip_fraud_orders") / F.col("ip_orders")).alias("challenger_score"))
+        (F.col("ip_fraud_orders").cast("double") / F.col("ip_orders").cast("double")).alias("challenger_score"))
     sinks.append_log(shadow, path)
     return ctx.spark.read.parquet(path)
 
@@ -233,7 +249,12 @@ def _snk_ref(ctx: OrderContext) -> DataFrame:
     return ctx.spark.read.option("header", "true").option("inferSchema", "false").csv(path)
 
 
-@register("mat_views_tables")
+@register("mat_views_tables", _w(O.STG, """
+SELECT 'stg_orders' AS model, count(*) AS rows FROM stg
+UNION ALL SELECT 'fct_fraud_orders', count(*) FROM stg WHERE is_fraud
+UNION ALL SELECT 'dim_products', count(*) FROM (SELECT DISTINCT product_name, category FROM stg) p
+UNION ALL SELECT 'dim_users', count(*) FROM (SELECT DISTINCT user_id FROM stg) u
+UNION ALL SELECT 'fct_fraud_daily_summary', count(*) FROM (SELECT DISTINCT order_date FROM stg) d"""))
 def _mat(ctx: OrderContext) -> DataFrame:
     loc = run_root(ctx, "warehouse")
     built = sinks.materialize_views({
