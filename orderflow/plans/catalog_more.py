@@ -50,18 +50,16 @@ def stream_outputs(ctx: OrderContext, name: str) -> order_stream.StreamOutputs:
 
 # -- sources ------------------------------------------------------------------------
 
-@register("src_json_decode", _w(O.RAW, """
-SELECT order_id, user_id, product_id, product_name, category, CAST(amount AS DOUBLE) AS amount, quantity,
-       payment_method, ip_address, device_type, location_mismatch, timestamp FROM raw"""))  # noqa: E501
-def _decode(ctx: OrderContext) -> DataFrame:
-    return ingest.decode_orders(ingest.encode_orders(ctx.raw))
-
-
 DECODED_SQL = _w(O.RAW, """
 SELECT order_id, user_id, product_id, product_name, category, CAST(amount AS DOUBLE) AS amount, quantity,
        payment_method, ip_address, device_type, location_mismatch, timestamp FROM raw""")
 
 
+@register("src_json_decode", DECODED_SQL)
+def _decode(ctx: OrderContext) -> DataFrame:
+    return ingest.decode_orders(ingest.encode_orders(ctx.raw))
+
+
 @register("src_order_stream", DECODED_SQL)
 def _order_stream(ctx: OrderContext) -> DataFrame:
     root = run_root(ctx, "src-stream")
