@@ -106,7 +106,7 @@ def engineer(tx: DataFrame) -> DataFrame:
 
     dev_dict = label_dictionary(train, "device_type")
     df = (df.withColumn("device_type", F.col("device_type").cast("string"))
-            .join(F.broadcast(dev_dict), "device_type", "left")
+            .join(dev_dict, "device_type", "left")
             .withColumn("device_type_enc", F.coalesce(F.col("device_type_enc"), F.lit(-1))))
 
     # Split-level figures: two rows, a bounded broadcast.
