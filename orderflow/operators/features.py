@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DecimalType
 
+from orderflow.functions.scalars import one_row
 from orderflow.functions.timeparts import is_late_night_model
 from orderflow.session import cut_lineage
 from orderflow.operators.ranking import global_position, with_pct_rank_average
@@ -59,7 +60,7 @@ def chrono_split(df: DataFrame, ts_col: str = "order_timestamp", key: str = "ord
     """
     us = df.withColumn("__us", F.unix_micros(F.col(ts_col)))
     pos = global_position(us, ["__us", key], "__pos")
-    n = pos.agg(F.count(F.lit(1))).scalar()
+    n = F.lit(one_row(pos.agg(F.count(F.lit(1)).alias("n"))).n)
     pct = int(round(train_fraction * 100))
     cut = F.floor(n * pct / 100)
     return pos.withColumn("split", F.when(F.col("__pos") < cut, "train").otherwise("test")).drop("__us", "__pos")
@@ -120,7 +121,7 @@ def engineer(tx: DataFrame) -> DataFrame:
     df = with_pct_rank_average(df, "order_amount", "amount_pct_rank", parts=["split"])
 
     # Exact 95th percentile from cumulative counts (no global value map in one task).
-    p95 = quantiles_exact(train, [], "order_amount", [HIGH_VALUE_QUANTILE]).select("quantile").scalar()
+    p95 = F.lit(one_row(quantiles_exact(train, [], "order_amount", [HIGH_VALUE_QUANTILE]).select("quantile")).quantile)
     fraud_addresses = train.filter(F.col("is_fraud")).select("ip_address").distinct() \
                            .withColumn("known_fraud_address", F.lit(1))
     df = df.join(fraud_addresses, "ip_address", "left")
@@ -165,11 +166,11 @@ def standardize(features: DataFrame, cols=FEATURE_COLS) -> DataFrame:
     train = filled.filter(F.col("split") == "train")
     stats = train.agg(*[F.avg(c).alias(f"m_{c}") for c in cols],
                       *[F.stddev_pop(c).alias(f"s_{c}") for c in cols])
-    s = stats.select(F.struct(*stats.columns)).scalar()
+    s = one_row(stats)
     out = [F.col("order_id"), F.col("split"), F.col("is_fraud")]
     for c in cols:
-        sd = s.getField(f"s_{c}")
-        sd = F.when(sd == 0, F.lit(1.0)).otherwise(sd)
-        out.append(((F.col(c).cast("double") - s.getField(f"m_{c}")) / sd).alias(c))
+        sd = s[f"s_{c}"]
+        sd = 1.0 if not sd else sd
+        out.append(((F.col(c).cast("double") - F.lit(s[f"m_{c}"])) / F.lit(sd)).alias(c))
     return filled.select(*out)
 

@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DecimalType
 
 from orderflow.functions.exact import BIG, exact_ratio_round, ratio_round
+from orderflow.functions.scalars import one_row
 from orderflow.functions.timeparts import dow_sunday0
 from orderflow.session import cut_lineage
 
@@ -38,16 +39,15 @@ def hourly_actuals(stg: DataFrame) -> DataFrame:
         F.sum("order_amount").cast(DecimalType(18, 2)).alias("actual_revenue_usd")))
 
 
-def spine_sums(actuals: DataFrame) -> Column:
+def spine_sums(actuals: DataFrame) -> dict[str, Column]:
     """Sums of the design over every hour of the span (one scalar struct)."""
     bounds = actuals.agg(F.min("hour_bucket").alias("lo"), F.max("hour_bucket").alias("hi"))
     spine = bounds.select(F.explode(F.sequence("lo", "hi", F.expr("INTERVAL 1 HOUR"))).alias("t"))
     h = F.hour("t").cast("long")
     w = dow_sunday0("t").isin(0, 6).cast("long")
-    s = spine.agg(F.struct(F.count(F.lit(1)).alias("n"), F.sum(h).alias("sh"), F.sum(w).alias("sw"),
-                           F.sum(h * h).alias("shh"), F.sum(h * w).alias("shw"), F.sum(w * w).alias("sww"))
-                  .alias("s"))
-    return s.scalar()
+    r = one_row(spine.agg(F.count(F.lit(1)).alias("n"), F.sum(h).alias("sh"), F.sum(w).alias("sw"),
+                          F.sum(h * h).alias("shh"), F.sum(h * w).alias("shw"), F.sum(w * w).alias("sww")))
+    return {k: F.lit(int(r[k] or 0)).cast(BIG) for k in ("n", "sh", "sw", "shh", "shw", "sww")}
 
 
 def fit_seasonal(stg: DataFrame, actuals: DataFrame | None = None) -> DataFrame:
@@ -58,8 +58,8 @@ def fit_seasonal(stg: DataFrame, actuals: DataFrame | None = None) -> DataFrame:
     w = dow_sunday0("hour_bucket").isin(0, 6).cast("long")
     y = F.col("actual_orders")
     ys = act.groupBy("category").agg(F.sum(y).alias("sy"), F.sum(y * h).alias("shy"), F.sum(y * w).alias("swy"))
-    n, sh, sw = _big(x.getField("n")), _big(x.getField("sh")), _big(x.getField("sw"))
-    shh, shw, sww = _big(x.getField("shh")), _big(x.getField("shw")), _big(x.getField("sww"))
+    n, sh, sw = x["n"], x["sh"], x["sw"]
+    shh, shw, sww = x["shh"], x["shw"], x["sww"]
     sy, shy, swy = _big("sy"), _big("shy"), _big("swy")
 
     def det3(a, b, c, d, e, f, g, hh, i):
@@ -143,8 +143,8 @@ def daily_panel(orders: DataFrame, customer: DataFrame) -> DataFrame:
     o = orders.select(F.to_date("o_orderdate").alias("date"), "o_custkey")
     c = customer.select(F.col("c_custkey").alias("o_custkey"), F.col("c_mktsegment").alias("group"))
     counts = o.join(c, "o_custkey").groupBy("group", "date").agg(F.count(F.lit(1)).alias("volume"))
-    first = o.agg(F.min("date")).scalar()
-    last = o.agg(F.max("date")).scalar()
+    b = one_row(o.agg(F.min("date").alias("first"), F.max("date").alias("last")))
+    first, last = F.lit(b.first), F.lit(b.last)
     spine = (counts.select("group").distinct()
              .select("group", F.explode(F.sequence(first, last)).alias("date")))
     panel = spine.join(counts, ["group", "date"], "left").fillna(0, subset=["volume"])
@@ -158,7 +158,7 @@ def training_windows(panel: DataFrame) -> DataFrame:
     before the origin, decoder up to 30 days from it, all at or before the
     cut-off (max time index - 30). Built as a bounded range join: each origin
     spans at most 120 day offsets."""
-    cutoff = panel.agg(F.max("time_idx")).scalar() - CUTOFF_BACK
+    cutoff = F.lit(one_row(panel.agg(F.max("time_idx").alias("m"))).m - CUTOFF_BACK)
     origins = (panel.select("group", F.col("time_idx").alias("origin"))
                .filter((F.col("origin") >= ENCODER_MIN) & (F.col("origin") <= cutoff)))
     span = origins.select("group", "origin",

@@ -19,6 +19,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from orderflow.functions.scalars import one_row
 from orderflow.session import cut_lineage
 
 UNKNOWN_IP = "unknown"
@@ -36,10 +37,10 @@ def incidence(orders: DataFrame, key: str = "order_id", ip: str = "ip_address",
 
 def standardized_amount(orders: DataFrame, amount: str = "order_amount") -> DataFrame:
     """(amount - mean) / population std over all orders (std 0 -> 1)."""
-    s = orders.agg(F.struct(F.avg(F.col(amount).cast("double")).alias("m"),
-                            F.stddev_pop(F.col(amount).cast("double")).alias("s")).alias("x")).scalar()
-    sd = F.when(s.getField("s") > 0, s.getField("s")).otherwise(F.lit(1.0))
-    return orders.withColumn("x", (F.col(amount).cast("double") - s.getField("m")) / sd)
+    s = one_row(orders.agg(F.avg(F.col(amount).cast("double")).alias("m"),
+                           F.stddev_pop(F.col(amount).cast("double")).alias("s")))
+    sd = F.lit(s.s if s.s else 1.0)
+    return orders.withColumn("x", (F.col(amount).cast("double") - F.lit(s.m)) / sd)
 
 
 def _group_sums(df: DataFrame, keys: list[str], value: str, prefix: str) -> DataFrame:

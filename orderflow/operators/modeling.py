@@ -16,6 +16,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from orderflow.functions.scalars import one_row
 from orderflow.session import cut_lineage
 
 FOLDS = 5
@@ -27,9 +28,8 @@ NO_MODEL_SCORE = 0.5
 
 def class_weights(df: DataFrame, label: str = "is_fraud") -> DataFrame:
     """``weight`` = n / (2 * n_class): balanced weights from one aggregate."""
-    c = df.agg(F.struct(F.count(F.lit(1)).alias("n"),
-                        F.sum(F.col(label).cast("long")).alias("pos")).alias("s")).scalar()
-    n, pos = c.getField("n"), c.getField("pos")
+    c = one_row(df.agg(F.count(F.lit(1)).alias("n"), F.sum(F.col(label).cast("long")).alias("pos")))
+    n, pos = F.lit(float(c.n)), F.lit(float(c.pos or 0))
     neg = n - pos
     w = F.when(F.col(label) == 1, n / (F.lit(2.0) * pos)).otherwise(n / (F.lit(2.0) * neg))
     return df.withColumn("weight", w.cast("double"))

@@ -23,6 +23,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from orderflow.functions.scalars import one_row
 from orderflow.operators.common import join_null_safe
 from orderflow.session import cut_lineage
 
@@ -54,11 +55,11 @@ def cumulative_by_value(df: DataFrame, parts: Sequence[str], value: str,
         vc = join_null_safe(vc, bounds, parts, "inner")
         lo, hi = F.col("__lo"), F.col("__hi")
     else:
-        # One scalar subquery carrying every group figure.
-        stats = vc.agg(F.struct(F.min(v).alias("lo"), F.max(v).alias("hi"), *totals).alias("s")).scalar()
-        lo, hi = stats.getField("lo"), stats.getField("hi")
+        # The group figures of the (checkpointed) value table, as literals.
+        stats = one_row(vc.agg(F.min(v).alias("lo"), F.max(v).alias("hi"), *totals))
+        lo, hi = F.lit(stats.lo).cast("double"), F.lit(stats.hi).cast("double")
         for w in wnames:
-            vc = vc.withColumn(f"{w}_total", stats.getField(f"{w}_total"))
+            vc = vc.withColumn(f"{w}_total", F.lit(stats[f"{w}_total"] or 0).cast("long"))
     raw_bucket = F.when(hi > lo, F.width_bucket(v, lo, hi, F.lit(buckets))).otherwise(F.lit(1))
     bucket = F.least(raw_bucket, F.lit(buckets)).cast("long")
     vc = vc.withColumn("__bucket", -bucket if descending else bucket)

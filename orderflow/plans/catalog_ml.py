@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from orderflow.functions.exact import mean_fixed, ratio_round
+from orderflow.functions.scalars import one_row
 from orderflow.operators import agent, drift, evaluation, features, stats
 from orderflow.operators import staging as stg_ops
 from orderflow.operators.features import FEATURE_COLS, r6
@@ -334,7 +335,7 @@ FROM (SELECT CAST(SUM(CASE WHEN y_score < t AND y_true = 0 THEN 1 ELSE 0 END) AS
       FROM ev, (SELECT threshold AS t FROM best_cost) b) c"""))
 def _confusion(ctx: OrderContext) -> DataFrame:
     scored = scored_frame(ctx)
-    thr = evaluation.best_cost_threshold(scored).select("threshold").scalar()
+    thr = F.lit(one_row(evaluation.best_cost_threshold(scored).select("threshold")).threshold)
     return evaluation.confusion(scored, thr)
 
 

@@ -14,6 +14,7 @@ from pyspark.sql.types import DecimalType
 
 from orderflow.functions import rules
 from orderflow.functions.exact import mean_double, ratio_round, scaled_int
+from orderflow.functions.scalars import one_row, ts_literal
 from orderflow.functions.timeparts import dow_sunday0, whole_days
 from orderflow.operators.aggregates import count_if, mode_smallest, sum_if
 from orderflow.operators.common import join_null_safe
@@ -177,7 +178,7 @@ def dim_time(stg: DataFrame) -> DataFrame:
     """
     spine = hour_spine(stg)
     t = F.col("full_timestamp")
-    first = stg.agg(F.date_trunc("hour", F.min("order_timestamp"))).scalar()
+    first = ts_literal(one_row(stg.agg(F.unix_micros(F.date_trunc("hour", F.min("order_timestamp"))).alias("us"))).us)
     hour = F.hour(t)
     dow = dow_sunday0(t)
     return spine.select(
@@ -205,7 +206,8 @@ def fact_orders(stg_plus: DataFrame) -> DataFrame:
     ``stg_plus`` is the staging frame carrying ``product_id``, ``quantity`` and
     ``payment_method`` as well (see ``staging_orders(..., extra=...)``).
     """
-    first = stg_plus.agg(F.date_trunc("hour", F.min("order_timestamp"))).scalar()
+    first = ts_literal(one_row(stg_plus.agg(
+        F.unix_micros(F.date_trunc("hour", F.min("order_timestamp"))).alias("us"))).us)
     hour = F.date_trunc("hour", F.col("order_timestamp"))
     return stg_plus.select(
         "order_id", "user_id", "product_id", "product_name", "category",

@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import DecimalType
 
+from orderflow.functions.scalars import one_row, ts_literal
 from orderflow.operators.velocity import trailing_count
 from orderflow.sources.tables import table
 
@@ -114,7 +115,9 @@ def raw_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
 def as_of_clock(raw: DataFrame) -> Column:
     """Reproducible ``NOW()``: newest timestamp before the far-future rows.
 
-    Returned as a scalar-subquery column, so it stays lazy and distributed.
+    Fetched once and used as a literal, so time filters fold into constants
+    and can prune a date-partitioned archive.
     """
-    return (raw.filter(F.col("timestamp") < F.lit(AS_OF_BEFORE).cast("timestamp"))
-               .agg(F.max("timestamp")).scalar())
+    r = one_row(raw.filter(F.col("timestamp") < F.lit(AS_OF_BEFORE).cast("timestamp"))
+                   .agg(F.unix_micros(F.max("timestamp")).alias("us")))
+    return ts_literal(r.us)
