@@ -8,7 +8,7 @@ statistics are aggregates joined back by key.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DecimalType
 
@@ -67,9 +67,13 @@ def chrono_split(df: DataFrame, ts_col: str = "order_timestamp", key: str = "ord
 
 
 def label_dictionary(train: DataFrame, col: str) -> DataFrame:
-    """Sorted distinct values -> 0-based index (a categorical's dictionary)."""
-    distinct = train.select(F.col(col).cast("string").alias(col)).distinct()
-    return distinct.withColumn(f"{col}_enc", (F.row_number().over(Window.orderBy(col)) - 1).cast("int"))
+    """Sorted distinct values -> 0-based index (a categorical's dictionary).
+
+    Numbered by a range-partitioned global position, so even a high-cardinality
+    column is never ordered in one task.
+    """
+    distinct = train.select(F.col(col).cast("string").alias(col)).filter(F.col(col).isNotNull()).distinct()
+    return global_position(distinct, [col], f"{col}_enc").withColumn(f"{col}_enc", F.col(f"{col}_enc").cast("int"))
 
 
 def user_amount_stats(train: DataFrame, user: str = "user_id", amount: str = "order_amount") -> DataFrame:

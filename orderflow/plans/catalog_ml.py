@@ -44,7 +44,7 @@ SPLIT_CTE = STG_FEAT + """, sp AS (
 
 FEAT_CTE = SPLIT_CTE + """, dev AS (
   SELECT device_type, CAST(ROW_NUMBER() OVER (ORDER BY device_type) - 1 AS INT) AS device_type_enc
-  FROM (SELECT DISTINCT CAST(device_type AS VARCHAR) AS device_type FROM tr) d
+  FROM (SELECT DISTINCT CAST(device_type AS VARCHAR) AS device_type FROM tr WHERE device_type IS NOT NULL) d
 ), us AS (
   SELECT user_id, avg(CAST(order_amount AS DOUBLE)) AS u_mean,
          CASE WHEN coalesce(stddev_samp(CAST(order_amount AS DOUBLE)), 1.0) = 0 THEN 1.0
