@@ -7,11 +7,35 @@ from functools import wraps
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from orderflow.llm import quality_gbt, rule_ensemble, setsketch, suffix_dedup, token_count, unigram
+from orderflow.llm import mixing, pivot_search, quality_gbt, ring, rule_ensemble, setsketch, suffix_dedup, token_count, unigram, warc
 from orderflow.llm.workers import let_workers_import
 from orderflow.sources.tables import table
 
+OP2_SQL = """
+WITH v AS (
+  SELECT vec_id, [CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT) FOR x IN embedding] AS v FROM embeddings
+  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL
+    AND len([x FOR x IN embedding IF x IS NULL OR NOT isfinite(x)]) = 0),
+pairs AS (
+  SELECT q.vec_id AS query_id, c.vec_id,
+         CAST(list_sum([a * c.v[i] FOR a, i IN q.v]) AS BIGINT) AS score
+  FROM v q JOIN v c ON q.vec_id <> c.vec_id WHERE q.vec_id % 50 = 0),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM pairs)
+SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM ranked WHERE rank <= 5
+"""
+
+OP6_SQL = """
+WITH p AS (SELECT page_id, encode(coalesce(html, '')) AS payload FROM pages),
+d AS (SELECT page_id, octet_length(payload) AS payload_bytes, sha256(payload) AS payload_digest FROM p),
+f AS (SELECT *, CASE WHEN payload_bytes >= 100 THEN min(page_id) OVER (PARTITION BY payload_digest) ELSE page_id END AS first FROM d)
+SELECT page_id, CAST(payload_bytes AS BIGINT) AS payload_bytes, payload_digest,
+       CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN page_id <> first THEN first END AS refers_to
+FROM f
+"""
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
 
@@ -34,6 +58,12 @@ def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.find_repeats(table(spark, sf_dir, "documents")).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
 
 
+@query("op2_exact_top_k", OP2_SQL)
+def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = pivot_search.integer_vectors(table(spark, sf_dir, "embeddings"))
+    return pivot_search.top_k(vectors, vectors.filter(F.col("vec_id") % 50 == 0))
+
+
 @query("op3_quality_classifier")
 def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
@@ -50,6 +80,24 @@ def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     return setsketch.near_duplicates(table(spark, sf_dir, "documents"), setsketch.Near(words=3, percent=85))
 
 
+@query("op6_warc", OP6_SQL)
+def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = warc.archive_folder(spark)
+    manifest = warc.write_archives(warc.record_plan(table(spark, sf_dir, "pages")), folder)
+    return warc.read_archives(manifest, folder).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+@query("op7_sharding")
+def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ring.shard(table(spark, sf_dir, "documents"))
+
+
+@query("op8_source_mix")
+def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "source", mixing.word_tokens().alias("n_tokens"))
+    return mixing.mix(docs, tokens=F.col("n_tokens")).select("doc_id", "source", "n_tokens", "mix_pass", "mix_block", "mix_position")
+
+
 @query("op9_sentencepiece")
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     return unigram.encode_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"), with_ids=False)
