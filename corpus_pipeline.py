@@ -1,4 +1,11 @@
-"""From raw documents to training tokens: five stages over the whole ``documents`` table."""
+"""From raw documents to training tokens: five stages over the whole ``documents`` table.
+
+Each stage takes what the one before kept, as Parquet in the shared folder. All
+but the last return the columns of ``documents``.
+
+A null or empty text fails the quality rules; rows without an id are linked
+with nothing by the near-duplicate stage and go on; extra columns go along.
+"""
 
 from __future__ import annotations
 
@@ -8,28 +15,65 @@ import uuid
 
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
-from pyspark.sql import DataFrame, SparkSession  # noqa: E402
+import public_tokenizers  # noqa: E402
+from pyspark.sql import DataFrame, SparkSession, Window  # noqa: E402
+from pyspark.sql import functions as F  # noqa: E402
 
-from orderflow.llm import quality_gbt  # noqa: E402
+from orderflow.llm import mixing, quality_gbt, setsketch, suffix_dedup, unigram  # noqa: E402
+from orderflow.llm.workers import let_workers_import  # noqa: E402
 from orderflow.session import ensure_checkpoint_dir  # noqa: E402
 from orderflow.sources.tables import table  # noqa: E402
 
-# Stages that SQL cannot express (fitted models, sketches, segmentation) are
-# tested against brute force instead.
+# SQL cannot express fitted trees, sketches, segmentation; the stages are tested
+# against brute force instead.
 ORACLE_SQL = None
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the documents that pass the base rules and the fitted trees."""
+    """Documents that pass the base rules and the fitted trees."""
+    let_workers_import(spark)
     return quality_gbt.keep_good(docs, quality_gbt.fit(docs, table(spark, sf_dir, "labels")))
 
 
-STAGES = [("quality_rules", quality_rules)]
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One row of each group of near duplicates (five words, similarity 0.8), that of the smallest id."""
+    let_workers_import(spark)
+    found = setsketch.near_duplicates(docs, setsketch.Near(words=5, percent=80))
+    kept = found.filter("kept AND doc_id IS NOT NULL").select(F.col("doc_id").alias("__kept")).distinct()
+    first = F.row_number().over(Window.partitionBy("__kept").orderBy(F.xxhash64("text"), "text"))
+    one = docs.join(kept, docs.doc_id == kept["__kept"]).withColumn("__row", first).filter(F.col("__row") == 1)
+    return one.select(*docs.columns).unionByName(docs.filter(docs.doc_id.isNull()))
+
+
+def suffix_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, without the passages that a document of smaller id holds."""
+    let_workers_import(spark)
+    return suffix_dedup.remove_repeats(docs)
+
+
+def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Every document at least once, small sources more often, up to the repetition limit."""
+    return mixing.mix(docs).select(*docs.columns)
+
+
+def sentencepiece_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Ids of the pieces of every row's text."""
+    let_workers_import(spark)
+    return unigram.encode_documents(docs, public_tokenizers.path("piece_bpe_32k.model"))
+
+
+STAGES = [
+    ("quality_rules", quality_rules),
+    ("near_dedup", near_dedup),
+    ("suffix_dedup", suffix_dedup_stage),
+    ("source_mix", source_mix),
+    ("sentencepiece", sentencepiece_ids),
+]
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages; each result is written as Parquet to the shared folder and read again."""
-    folder = os.path.join(ensure_checkpoint_dir(spark), f"corpus-{uuid.uuid4().hex}")
+    folder = f"{ensure_checkpoint_dir(spark).rstrip('/')}/corpus-{uuid.uuid4().hex}"
     docs = table(spark, sf_dir, "documents")
     for k, (name, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
