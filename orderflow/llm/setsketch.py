@@ -332,7 +332,7 @@ def near_duplicates(docs: DataFrame, near: Near = Near(), id_col: str = "doc_id"
         tried = tried.unionByName(pairs)
         parts = _merge(parts, cut_lineage(verified(pairs, docs, near)))
 
-    known = signs.join(classes.select(*same, "class_id"), same, "left")
+    known = signs.join(classes.select(*same, "class_id"), same, "left").withColumn("class_id", F.when(F.col("doc_id").isNotNull(), F.col("class_id")))
     out = known.join(parts, known.class_id == parts.node, "left")
     component = F.coalesce("part", "class_id", "doc_id")
     return out.select("doc_id", "n_shingles", F.coalesce("class_id", "doc_id").alias("class_id"), component.alias("component_id"),
