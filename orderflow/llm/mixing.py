@@ -33,6 +33,7 @@ from orderflow.session import cut_lineage
 
 REPEAT_LIMIT = 1.5
 BLOCK_ROWS = 1024
+BROADCAST_ROWS = 50_000         # tables of sources or blocks up to this are broadcast (a few MB)
 LEVELS, ROUNDS = 15, 8          # 15 exponents a job are four halvings; eight jobs are 32
 SEED = 17
 
@@ -86,8 +87,9 @@ def mix(docs: DataFrame, repeat_limit: float | None = REPEAT_LIMIT, entropy_shar
         id_col: str = "doc_id", source_col: str = "source", text_col: str = "text", tokens: Column | None = None, seed: int = SEED) -> DataFrame:
     """All columns of ``docs`` and mix_tokens, mix_pass (from 0), mix_block, mix_position: a row for
     each time that a document is read. ``mix_position`` runs from 0 to 1 over a source's
-    budget; sorted by it, the sources interleave at their weights."""
-    columns = docs.columns
+    budget; sorted by it, the sources interleave at their weights. Columns of these names are
+    replaced."""
+    columns = [c for c in docs.columns if c not in ("mix_tokens", "mix_pass", "mix_block", "mix_position")]
     rows = docs.withColumns({"__src": _source(source_col), "mix_tokens": tokens if tokens is not None else word_tokens(text_col)})
     key = F.xxhash64(F.lit(seed), F.col(id_col).cast("string"), "mix_tokens")
     totals = cut_lineage(rows.groupBy("__src").agg(F.count("*").alias("rows"), F.sum("mix_tokens").alias("tokens")))
@@ -97,26 +99,27 @@ def mix(docs: DataFrame, repeat_limit: float | None = REPEAT_LIMIT, entropy_shar
     whole = totals.filter("tokens > 0").agg(F.sum(power).alias("z"), F.max(F.col("tokens") / power).alias("least")).first()
     scale = (budget / whole.z if budget is not None else whole.least) if whole.z else 0.0
     share = F.round(F.lit(scale) * power).cast("long")
-    plan = totals.select("__src", "rows", "tokens", F.ceil(F.col("rows") / BLOCK_ROWS).cast("int").alias("blocks"), share.alias("share"))
-    plan = plan.withColumn("passes", F.when(F.col("tokens") > 0, F.floor(F.col("share") / F.col("tokens"))).otherwise(1).cast("int"))
-    plan = cut_lineage(plan.withColumn("part", F.when(F.col("tokens") > 0, F.col("share") - F.col("passes") * F.col("tokens")).otherwise(0)))
-
-    # How many blocks a source has decides a row's block: the sources' table is
-    # joined by AQE (it has a row for each source).
-    dealt = rows.join(plan.select("__src", "blocks", "passes", "part", "share", "tokens"), "__src")
-    dealt = dealt.withColumn("mix_block", F.pmod(key, F.col("blocks")).cast("int"))
-    last = F.col("passes") - F.when(F.col("part") > 0, 0).otherwise(1)
-    block_sizes = dealt.groupBy("__src", "mix_block").agg(F.sum("mix_tokens").alias("block_tokens"), F.first("passes").alias("passes"), F.first("part").alias("part"), F.first("tokens").alias("tokens"))
+    plan = totals.select("__src", F.col("rows").alias("__rows"), F.col("tokens").alias("__tokens"), F.ceil(F.col("rows") / BLOCK_ROWS).cast("int").alias("__blocks"), share.alias("__share"))
+    plan = plan.withColumn("__passes", F.when(F.col("__tokens") > 0, F.floor(F.col("__share") / F.col("__tokens"))).otherwise(1).cast("int"))
+    plan = cut_lineage(plan.withColumn("__part", F.when(F.col("__tokens") > 0, F.col("__share") - F.col("__passes") * F.col("__tokens")).otherwise(0)))
+
+    # A row for each source: broadcast if there are few enough of them, else joined.
+    counts = plan.agg(F.count("*").alias("sources"), F.sum(F.col("__blocks") * (F.col("__passes") + 1)).alias("blocks")).first()
+    small = lambda df, n: F.broadcast(df) if (n or 0) <= BROADCAST_ROWS else df
+    dealt = rows.join(small(plan.select("__src", "__blocks", "__passes", "__part", "__share", "__tokens"), counts.sources), "__src")
+    dealt = dealt.withColumn("mix_block", F.pmod(key, F.col("__blocks")).cast("int"))
+    last = F.col("__passes") - F.when(F.col("__part") > 0, 0).otherwise(1)
+    block_sizes = dealt.groupBy("__src", "mix_block").agg(F.sum("mix_tokens").alias("__block_tokens"), F.first("__passes").alias("__passes"), F.first("__part").alias("__part"), F.first("__tokens").alias("__tokens"))
     passes = block_sizes.filter(last >= 0).withColumn("mix_pass", F.explode(F.sequence(F.lit(0), last)))
     order = F.xxhash64(F.lit(seed), "mix_pass", "mix_block")
-    before = F.sum("block_tokens").over(Window.partitionBy("__src", "mix_pass").orderBy(order, "mix_block").rowsBetween(Window.unboundedPreceding, -1))
-    room = F.when(F.col("mix_pass") < F.col("passes"), F.col("tokens")).otherwise(F.col("part"))
-    reached = (passes.withColumn("before", F.coalesce(before, F.lit(0))).withColumn("room", room)
-               .filter((F.col("before") < F.col("room")) | (F.col("tokens") == 0)).select("__src", "mix_block", "mix_pass", "before", "room"))
+    before = F.sum("__block_tokens").over(Window.partitionBy("__src", "mix_pass").orderBy(order, "mix_block").rowsBetween(Window.unboundedPreceding, -1))
+    room = F.when(F.col("mix_pass") < F.col("__passes"), F.col("__tokens")).otherwise(F.col("__part"))
+    reached = (passes.withColumn("__before", F.coalesce(before, F.lit(0))).withColumn("__room", room)
+               .filter((F.col("__before") < F.col("__room")) | (F.col("__tokens") == 0)).select("__src", "mix_block", "mix_pass", "__before", "__room"))
 
-    met = dealt.join(reached, ["__src", "mix_block"])
+    met = dealt.join(small(reached, counts.blocks), ["__src", "mix_block"])
     inside = Window.partitionBy("__src", "mix_pass", "mix_block").orderBy(F.xxhash64(F.lit(seed), "mix_pass", F.col(id_col).cast("string")), F.col(id_col), "mix_tokens")
-    end = F.col("before") + F.sum("mix_tokens").over(inside.rowsBetween(Window.unboundedPreceding, 0))
-    position = (F.col("mix_pass") * F.col("tokens") + F.col("__end") - F.col("mix_tokens")) / F.greatest(F.col("share"), F.lit(1))
-    return (met.withColumn("__end", end).filter(F.col("__end") <= F.col("room"))
+    end = F.col("__before") + F.sum("mix_tokens").over(inside.rowsBetween(Window.unboundedPreceding, 0))
+    position = (F.col("mix_pass") * F.col("__tokens") + F.col("__end") - F.col("mix_tokens")) / F.greatest(F.col("__share"), F.lit(1))
+    return (met.withColumn("__end", end).filter(F.col("__end") <= F.col("__room"))
             .select(*columns, "mix_tokens", "mix_pass", "mix_block", position.alias("mix_position")))

@@ -35,7 +35,7 @@ def ring_points(docs: DataFrame, shards: int, virtual: int) -> list[tuple[int, i
     points = (docs.sparkSession.range(shards * virtual)
               .select(F.pmod(F.xxhash64(F.lit("point"), point), F.lit(SLOTS)).alias("slot"), point)
               .groupBy("slot").agg(F.min("id").alias("id")).collect())
-    return sorted((int(r.slot), int(r.id) % shards) for r in points)
+    return sorted((int(r.slot), int(r.id) // virtual) for r in points)
 
 
 def constant_array(values: list[int], kind: str) -> Column:
@@ -46,18 +46,27 @@ def constant_array(values: list[int], kind: str) -> Column:
 def place(counts: list[int], owner: list[int], capacity: list[int]) -> list[tuple[int, int, int, int, int]]:
     """Where the rows of each arc go: (arc, first rank, last rank, shard, slot of the first rank)."""
     free, filled = list(capacity), [0] * len(capacity)
-    carried: list[tuple[int, int, int]] = []
+    over: list[tuple[int, int, int]] = []       # (arc, first rank, rows) that the owner can't take
     out = []
-    for turn in range(2):       # two turns of the ring: everything finds room
+
+    def take(shard: int, origin: int, first: int, n: int) -> int:
+        here = min(n, free[shard])
+        if here:
+            out.append((origin, first, first + here - 1, shard, filled[shard]))
+            free[shard] -= here
+            filled[shard] += here
+        return here
+
+    for arc, shard in enumerate(owner):         # own rows first
+        here = take(shard, arc, 0, counts[arc])
+        over.append((arc, here, counts[arc] - here))
+    carried: list[tuple[int, int, int]] = []
+    for turn in range(2):                       # two turns of the ring: everything finds room
         for arc, shard in enumerate(owner):
-            queue = ([(arc, 0, counts[arc])] if turn == 0 else []) + carried
+            queue = carried + ([over[arc]] if turn == 0 else [])
             carried = []
             for origin, first, n in queue:
-                here = min(n, free[shard])
-                if here:
-                    out.append((origin, first, first + here - 1, shard, filled[shard]))
-                    free[shard] -= here
-                    filled[shard] += here
+                here = take(shard, origin, first, n)
                 if n > here:
                     carried.append((origin, first + here, n - here))
     if carried:
