@@ -1,7 +1,7 @@
 """Lazily built, shared inputs of the order pipeline for one data folder.
 
-Nothing here runs a job; each attribute is a DataFrame (or a scalar-subquery
-column) that downstream queries extend.
+Each attribute is a DataFrame that downstream queries extend; ``as_of`` runs one
+small job (the newest event) and is a literal from then on.
 """
 
 from __future__ import annotations
@@ -27,7 +27,7 @@ class OrderContext:
 
     @cached_property
     def as_of(self) -> Column:
-        return adapter.as_of_clock(self.raw)
+        return adapter.as_of_clock(self.spark, self.sf_dir)
 
     @cached_property
     def processed(self) -> DataFrame:

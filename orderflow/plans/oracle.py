@@ -18,7 +18,7 @@ e AS (
 ), base AS (
   SELECT concat('ORD-', CAST(event_id AS VARCHAR)) AS order_id,
          CASE WHEN k = 13 THEN CAST(NULL AS VARCHAR) ELSE concat('user_', CAST(user_id AS VARCHAR)) END AS user_id,
-         concat('PROD-', CAST(p_partkey AS VARCHAR)) AS product_id,
+         'PROD-' || CAST(k AS VARCHAR) AS product_id,
          p_name AS product_name, p_type AS category,
          CASE WHEN k = 17 THEN CAST(-value AS DECIMAL(12,2))
               WHEN k % 10 = 0 THEN CAST(CAST(value AS DECIMAL(12,2)) * 25 AS DECIMAL(12,2))
@@ -31,7 +31,7 @@ e AS (
          CAST((user_id * 37) % 400 AS INT) AS account_age_days,
          CASE WHEN k = 19 THEN ts + INTERVAL '3650' DAY ELSE ts END AS timestamp,
          CAST(floor((epoch_us(ts) - 1704067200000000) / 1440) AS BIGINT) AS burst_us
-  FROM e JOIN part ON p_partkey = k
+  FROM e LEFT JOIN part ON p_partkey = k
 ), dup AS (
   SELECT * FROM base
   UNION ALL
@@ -51,7 +51,8 @@ e AS (
          + CAST(0.03 AS DECIMAL(6,4)) * least(orders_per_user_1m, 10) AS DECIMAL(6,4))) AS DECIMAL(6,4)) AS fraud_score
   FROM vel
 ), clock AS (
-  SELECT max(timestamp) AS as_of FROM raw WHERE timestamp < TIMESTAMP '2025-01-01 00:00:00'
+  SELECT max(ts + CASE WHEN event_id % 50 = 0 THEN INTERVAL '1' SECOND ELSE INTERVAL '0' SECOND END) AS as_of
+  FROM e WHERE coalesce(k <> 19, true)
 )"""
 
 REASONING = """coalesce(nullif(concat_ws('; ',

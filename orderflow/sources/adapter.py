@@ -20,7 +20,6 @@ from orderflow.operators.velocity import trailing_count
 from orderflow.sources.tables import table
 
 # Fixed values of the fixture mapping.
-PROPS_K_MAX = 99                    # props {"k": 0..99}; joins part on p_partkey = k
 NULL_USER_K = 13
 NEGATIVE_AMOUNT_K = 17
 FUTURE_K = 19
@@ -32,7 +31,6 @@ MISMATCH_EVERY = 5                  # event_id % 5 = 0 -> location mismatch
 CLOCK_EPOCH_US = 1704067200000000   # 2024-01-01T00:00:00Z
 CLOCK_COMPRESSION = 1440            # one day of event time -> one burst minute
 VELOCITY_WIDTH_US = 59_999_999
-AS_OF_BEFORE = "2025-01-01 00:00:00"
 PAYMENT_METHODS = ("Credit Card", "UPI", "PayPal", "Debit Card")
 DEVICE_TYPES = ("mobile", "desktop", "tablet")
 
@@ -57,12 +55,8 @@ def fixture_score(location_mismatch: Column, amount: Column, ts: Column, velocit
 def raw_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Scored order rows before the data-quality guard (the stream's input)."""
     ev = table(spark, sf_dir, "events")
-    # part is joined on a code in 0..99 and p_partkey is its key, so the
-    # filtered side has at most 100 rows: a bounded broadcast, and the join
-    # never shuffles the event side on a 100-value key.
-    part = (table(spark, sf_dir, "part")
-            .filter(F.col("p_partkey").between(0, PROPS_K_MAX))
-            .select("p_partkey", "p_name", "p_type"))
+    # An order without a known product keeps its row, with no name and category.
+    part = table(spark, sf_dir, "part").select("p_partkey", "p_name", "p_type")
     e = ev.select(
         "event_id", "user_id", "value",
         F.col("ts").cast("timestamp").alias("ts"),
@@ -73,12 +67,12 @@ def raw_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
               .when(k % INFLATE_EVERY_K == 0,
                     (F.col("value").cast(AMOUNT_TYPE) * INFLATE_FACTOR).cast(AMOUNT_TYPE))
               .otherwise(F.col("value").cast(AMOUNT_TYPE)))
-    base = e.join(F.broadcast(part), e.k == part.p_partkey).select(
+    base = e.join(part, e.k == part.p_partkey, "left").select(
         "event_id",
         F.concat(F.lit("ORD-"), F.col("event_id").cast("string")).alias("order_id"),
         F.when(k == NULL_USER_K, F.lit(None).cast("string"))
          .otherwise(F.concat(F.lit("user_"), F.col("user_id").cast("string"))).alias("user_id"),
-        F.concat(F.lit("PROD-"), F.col("p_partkey").cast("string")).alias("product_id"),
+        F.concat(F.lit("PROD-"), k.cast("string")).alias("product_id"),
         F.col("p_name").alias("product_name"),
         F.col("p_type").alias("category"),
         amount.alias("amount"),
@@ -112,12 +106,13 @@ def raw_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def as_of_clock(raw: DataFrame) -> Column:
-    """Reproducible ``NOW()``: newest timestamp before the far-future rows.
+def as_of_clock(spark: SparkSession, sf_dir: str) -> Column:
+    """Reproducible ``NOW()``: the newest order that the fixture did not push ahead.
 
-    Fetched once and used as a literal, so time filters fold into constants
-    and can prune a date-partitioned archive.
+    Read from the events alone and used as a literal, so time filters fold into
+    constants and can prune a date-partitioned archive.
     """
-    r = one_row(raw.filter(F.col("timestamp") < F.lit(AS_OF_BEFORE).cast("timestamp"))
-                   .agg(F.unix_micros(F.max("timestamp")).alias("us")))
+    k = F.get_json_object("props", "$.k").try_cast("int")
+    sent = F.unix_micros(F.col("ts").cast("timestamp")) + F.when(F.col("event_id") % RESEND_EVERY == 0, 1_000_000).otherwise(0)
+    r = one_row(table(spark, sf_dir, "events").filter(F.coalesce(k != FUTURE_K, F.lit(True))).agg(F.max(sent).alias("us")))
     return ts_literal(r.us)

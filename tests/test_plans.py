@@ -37,6 +37,6 @@ def test_no_cross_products(spark, name):
 def test_scan_prunes_columns(spark):
     text = plan_text(QUERIES["agg_orders_per_minute"](spark, SF_SMALL))
     assert "ReadSchema: struct<p_partkey:bigint>" in text
-    assert "PushedFilters: [IsNotNull(p_partkey), GreaterThanOrEqual(p_partkey,0), LessThanOrEqual(p_partkey,99)]" in text
+    assert "GreaterThanOrEqual(p_partkey" not in text and "LessThanOrEqual(p_partkey" not in text
     # The panel needs only timestamps, so the velocity window is pruned away.
     assert "Window" not in text
