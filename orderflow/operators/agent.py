@@ -87,7 +87,7 @@ def drop_blocked(processed: DataFrame, ttl_hours: int = 24) -> DataFrame:
     us = (processed.withColumn("__us", F.unix_micros("timestamp"))
                    .withColumn("__crit", (F.col("risk_level") == "CRITICAL").cast("long")))
     width = ttl_hours * HOUR_US - 1
-    counted = trailing_count(us, ["ip_address"], "__us", width, "__blocks", weight="__crit", strict=True)
+    counted = trailing_count(us, ["ip_address"], "__us", width, "__blocks", weight="__crit", strict=True, sub_buckets=12)
     return counted.filter(F.col("__blocks") == 0).drop("__us", "__crit", "__blocks")
 
 

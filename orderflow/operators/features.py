@@ -15,8 +15,8 @@ from pyspark.sql.types import DecimalType
 from orderflow.functions.scalars import one_row
 from orderflow.functions.timeparts import is_late_night_model
 from orderflow.session import cut_lineage
-from orderflow.operators.ranking import global_position, with_pct_rank_average
-from orderflow.operators.stats import quantiles_exact
+from orderflow.operators.ranking import attach_pct_rank, cumulative_by_value, global_position
+from orderflow.operators.stats import quantiles_of_counts
 from orderflow.operators.velocity import trailing_count
 
 # The model's feature list, in order.
@@ -104,9 +104,9 @@ def engineer(tx: DataFrame) -> DataFrame:
     orders_per_user_1m, location_mismatch, device_type, account_age_days,
     ip_address, is_fraud.
     """
-    # The split frame feeds eight statistics; a reliable checkpoint (shared
-    # folder) keeps each of them from re-running the upstream pipeline.
-    df = cut_lineage(chrono_split(tx))
+    # The split frame feeds eight statistics; its rows are checkpointed where
+    # they are numbered, so none of them runs the upstream pipeline again.
+    df = chrono_split(tx)
     train = df.filter(F.col("split") == "train")
 
     dev_dict = label_dictionary(train, "device_type")
@@ -122,10 +122,14 @@ def engineer(tx: DataFrame) -> DataFrame:
 
     us = df.withColumn("__us", F.unix_micros("order_timestamp"))
     df = trailing_count(us, ["split", "user_id"], "__us", HOUR_US - 1, "orders_per_user_last_hour").drop("__us")
-    df = with_pct_rank_average(df, "order_amount", "amount_pct_rank", parts=["split"])
-
-    # Exact 95th percentile from cumulative counts (no global value map in one task).
-    p95 = F.lit(one_row(quantiles_exact(train, [], "order_amount", [HIGH_VALUE_QUANTILE]).select("quantile")).quantile)
+    # One table of cumulative counts serves the percent ranks and the exact 95th
+    # percentile of the train rows.
+    counts = cumulative_by_value(df.select("split", "order_amount"), ["split"], "order_amount", descending=False)
+    beyond = counts.select("split", "order_amount", F.col("n_eq").alias("n_equal"), "n_beyond", F.col("n_total").alias("n_group"))
+    df = attach_pct_rank(df, beyond, "order_amount", "amount_pct_rank", parts=["split"])
+    train_counts = counts.filter(F.col("split") == "train")
+    high = quantiles_of_counts(train_counts, [], "order_amount", [HIGH_VALUE_QUANTILE]).collect()  # one row, or none without train rows
+    p95 = F.lit(high[0].quantile if high else None).cast("double")
     fraud_addresses = train.filter(F.col("is_fraud")).select("ip_address").distinct() \
                            .withColumn("known_fraud_address", F.lit(1))
     df = df.join(fraud_addresses, "ip_address", "left")
@@ -135,8 +139,9 @@ def engineer(tx: DataFrame) -> DataFrame:
     high_value = (amount > p95).cast("int")
     mismatch = F.col("location_mismatch").cast("int")
     velocity = F.col("orders_per_user_1m").cast("int")
-    # The matrix feeds training, drift, statistics and scoring: materialize once.
-    return cut_lineage(df.select(
+    # Lazy, so a query for one column builds only that column; who reads the
+    # matrix more than once checkpoints it.
+    return df.select(
         "order_id", "split", F.col("is_fraud").cast("int").alias("is_fraud"),
         amount.alias("order_amount"),
         velocity.alias("orders_per_user_last_minute"),
@@ -153,7 +158,7 @@ def engineer(tx: DataFrame) -> DataFrame:
         F.coalesce(F.col("known_fraud_address"), F.lit(0)).cast("int").alias("known_fraud_address"),
         (velocity * amount).alias("velocity_amount_interaction"),
         (mismatch * high_value).alias("location_highvalue_risk"),
-    ))
+    )
 
 
 def rounded(features: DataFrame) -> DataFrame:
@@ -166,7 +171,7 @@ def rounded(features: DataFrame) -> DataFrame:
 
 def standardize(features: DataFrame, cols=FEATURE_COLS) -> DataFrame:
     """(x - train mean) / train population std (zero std -> 1), NULL -> 0 first."""
-    filled = features.fillna(0, subset=list(cols))
+    filled = cut_lineage(features.fillna(0, subset=list(cols)))
     train = filled.filter(F.col("split") == "train")
     stats = train.agg(*[F.avg(c).alias(f"m_{c}") for c in cols],
                       *[F.stddev_pop(c).alias(f"s_{c}") for c in cols])

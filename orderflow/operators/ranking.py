@@ -7,13 +7,14 @@ to such "sum of weights beyond this value" figures. They are built from
 aggregates:
 
 1. sums of weights per distinct (p, v), combined map-side;
-2. v is cut into ``buckets`` equal-width ranges per p;
-3. totals per (p, bucket), and a running sum over the at most ``buckets``
-   rows of each p, give the weight in earlier buckets;
-4. a running sum inside each (p, bucket) over distinct values gives the rest.
-
-Every window is bounded by the bucket count or by the distinct values in one
-value range of one group, never by the size of a group.
+2. these rows are range-partitioned by (p, v) on sampled bounds, so ranges hold
+   alike many rows however the values are spread: a value held by a third of
+   all input rows is one row here, and an outlier moves no bound;
+3. totals per (p, range), and a running sum over the ranges that p touches,
+   give the weight in earlier ranges;
+4. a running sum inside each (p, range) gives the rest.
+
+Every window is bounded by the number of ranges or by one range.
 """
 
 from __future__ import annotations
@@ -23,58 +24,44 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from orderflow.functions.scalars import one_row
 from orderflow.operators.common import join_null_safe
 from orderflow.session import cut_lineage
 
-DEFAULT_BUCKETS = 4096
-
 
 def cumulative_by_value(df: DataFrame, parts: Sequence[str], value: str,
                         weights: Mapping[str, Column] | None = None,
-                        descending: bool = True, buckets: int = DEFAULT_BUCKETS) -> DataFrame:
+                        descending: bool = True, ranges: int | None = None) -> DataFrame:
     """Per distinct (parts, value): for each weight ``w`` the columns
     ``w_eq`` (sum at this value), ``w_beyond`` (sum strictly before it in the
     given direction) and ``w_total`` (sum over the group); plus ``__bucket``
     (the value range of the row, ordered in the same direction).
 
-    NULL values are left out. The default weight is ``n`` = row count.
+    NULL values are left out. The default weight is ``n`` = row count; the
+    default number of ranges is ``spark.sql.shuffle.partitions``.
     """
     parts = list(parts)
     weights = dict(weights or {"n": F.lit(1)})
     wnames = list(weights)
-    # The distinct-value table is read four times below; cut its lineage so the
-    # upstream plan runs once (reliable checkpoint in the shared folder).
-    vc = cut_lineage(df.filter(F.col(value).isNotNull())
-                     .groupBy(*parts, value)
-                     .agg(*[F.sum(c.cast("long")).alias(f"{w}_eq") for w, c in weights.items()]))
-    v = F.col(value).cast("double")
-    totals = [F.sum(f"{w}_eq").alias(f"{w}_total") for w in wnames]
-    if parts:
-        bounds = vc.groupBy(*parts).agg(F.min(v).alias("__lo"), F.max(v).alias("__hi"), *totals)
-        vc = join_null_safe(vc, bounds, parts, "inner")
-        lo, hi = F.col("__lo"), F.col("__hi")
-    else:
-        # The group figures of the (checkpointed) value table, as literals.
-        stats = one_row(vc.agg(F.min(v).alias("lo"), F.max(v).alias("hi"), *totals))
-        lo, hi = F.lit(stats.lo).cast("double"), F.lit(stats.hi).cast("double")
-        for w in wnames:
-            vc = vc.withColumn(f"{w}_total", F.lit(stats[f"{w}_total"] or 0).cast("long"))
-    raw_bucket = F.when(hi > lo, F.width_bucket(v, lo, hi, F.lit(buckets))).otherwise(F.lit(1))
-    bucket = F.least(raw_bucket, F.lit(buckets)).cast("long")
-    vc = vc.withColumn("__bucket", -bucket if descending else bucket)
-
-    per_bucket = vc.groupBy(*parts, "__bucket").agg(*[F.sum(f"{w}_eq").alias(f"__{w}_bs") for w in wnames])
-    wb = Window.partitionBy(*parts).orderBy("__bucket").rowsBetween(Window.unboundedPreceding, -1)
-    per_bucket = per_bucket.select(*parts, "__bucket", *[
-        F.coalesce(F.sum(f"__{w}_bs").over(wb), F.lit(0)).alias(f"__{w}_before") for w in wnames])
-    vc = join_null_safe(vc, per_bucket, parts + ["__bucket"], "inner")
-
+    n = ranges or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     order = F.col(value).desc() if descending else F.col(value).asc()
-    wi = Window.partitionBy(*parts, "__bucket").orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+    vc = (df.filter(F.col(value).isNotNull()).groupBy(*parts, value)
+          .agg(*[F.sum(c.cast("long")).alias(f"{w}_eq") for w, c in weights.items()])
+          .repartitionByRange(n, *parts, order).withColumn("__bucket", F.spark_partition_id()))
+    vc = cut_lineage(vc)  # pins the range ids to the written rows; read twice below
+
+    per_range = vc.groupBy(*parts, "__bucket").agg(*[F.sum(f"{w}_eq").alias(f"__{w}_here") for w in wnames])
+    group = Window.partitionBy(*parts)
+    earlier = group.orderBy("__bucket").rowsBetween(Window.unboundedPreceding, -1)
+    per_range = per_range.select(
+        *parts, "__bucket",
+        *[F.coalesce(F.sum(f"__{w}_here").over(earlier), F.lit(0)).alias(f"__{w}_before") for w in wnames],
+        *[F.sum(f"__{w}_here").over(group).alias(f"{w}_total") for w in wnames])
+    vc = join_null_safe(vc, per_range, parts + ["__bucket"], "inner")
+
+    inside = Window.partitionBy(*parts, "__bucket").orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
     for w in wnames:
         vc = vc.withColumn(f"{w}_beyond",
-                           F.col(f"__{w}_before") + F.coalesce(F.sum(f"{w}_eq").over(wi), F.lit(0)))
+                           F.col(f"__{w}_before") + F.coalesce(F.sum(f"{w}_eq").over(inside), F.lit(0)))
     keep = [*parts, value, "__bucket"]
     for w in wnames:
         keep += [f"{w}_eq", f"{w}_beyond", f"{w}_total"]
@@ -82,9 +69,9 @@ def cumulative_by_value(df: DataFrame, parts: Sequence[str], value: str,
 
 
 def value_counts_beyond(df: DataFrame, parts: Sequence[str], value: str,
-                        descending: bool = True, buckets: int = DEFAULT_BUCKETS) -> DataFrame:
+                        descending: bool = True) -> DataFrame:
     """Per distinct (parts, value): ``n_equal``, ``n_beyond`` and ``n_group``."""
-    c = cumulative_by_value(df, parts, value, None, descending, buckets)
+    c = cumulative_by_value(df, parts, value, None, descending)
     return c.select(*parts, value, F.col("n_eq").alias("n_equal"), F.col("n_beyond"),
                     F.col("n_total").alias("n_group"))
 
@@ -104,7 +91,12 @@ def with_pct_rank_average(df: DataFrame, value: str, out_col: str, default: floa
     Matches pandas ``Series.rank(pct=True)`` followed by ``fillna(default)``.
     The result is ``(2 * n_less + n_equal + 1) / (2 * n)`` as one division.
     """
-    counts = value_counts_beyond(df, parts, value, descending=False)
+    return attach_pct_rank(df, value_counts_beyond(df, parts, value, descending=False), value, out_col, default, parts)
+
+
+def attach_pct_rank(df: DataFrame, counts: DataFrame, value: str, out_col: str, default: float = 0.5,
+                    parts: Sequence[str] = ()) -> DataFrame:
+    """``with_pct_rank_average`` from counts (ascending) that are there already."""
     pct = ((F.col("n_beyond") * 2 + F.col("n_equal") + 1).cast("double")
            / (F.col("n_group") * 2).cast("double"))
     joined = join_null_safe(df, counts.select(*parts, value, pct.alias(out_col)), list(parts) + [value], "left")
@@ -118,19 +110,22 @@ def global_position(df: DataFrame, order_cols: Sequence[str], out_col: str = "po
 
     Rows are range-partitioned on the full sort key, so even a value shared
     by a third of the rows is split across partitions by the tie key. Each
-    range partition numbers its own rows, and a per-partition count table
-    (one row per partition) supplies the offsets.
+    range is sorted and numbered in place, and a table of the ranges' sizes
+    (one row per range) supplies the offsets.
     """
     n = partitions or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    ranged = df.repartitionByRange(n, *order_cols).withColumn("__pid", F.spark_partition_id())
-    ranged = cut_lineage(ranged)  # pin the partition ids to the written rows
-    local = ranged.withColumn("__local", F.row_number().over(Window.partitionBy("__pid").orderBy(*order_cols)))
-    sizes = ranged.groupBy("__pid").agg(F.count(F.lit(1)).alias("__size"))
+    # The id of a row is its range in the high bits and its place in the sorted
+    # range in the low ones; the checkpoint pins both to the written rows.
+    ranged = cut_lineage(df.repartitionByRange(n, *order_cols).sortWithinPartitions(*order_cols)
+                         .withColumn("__id", F.monotonically_increasing_id()))
+    place = F.lit((1 << 33) - 1)
+    local = (ranged.withColumn("__pid", F.shiftright("__id", 33)).withColumn("__local", F.col("__id").bitwiseAND(place)))
+    sizes = local.groupBy("__pid").agg(F.count(F.lit(1)).alias("__size"))
     offsets = sizes.withColumn("__offset", F.coalesce(F.sum("__size").over(
         Window.orderBy("__pid").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
     # One row per partition: a broadcast bounded by the partition count.
     joined = local.join(F.broadcast(offsets.select("__pid", "__offset")), "__pid")
-    return joined.withColumn(out_col, F.col("__offset") + F.col("__local") - 1).drop("__pid", "__local", "__offset")
+    return joined.withColumn(out_col, F.col("__offset") + F.col("__local")).drop("__id", "__pid", "__local", "__offset")
 
 
 def with_position(df: DataFrame, value: str, tie_key: str, out_col: str = "position") -> DataFrame:

@@ -67,17 +67,17 @@ def processed_orders(raw: DataFrame, as_of: Column) -> DataFrame:
 
 
 def dedup_latest(df: DataFrame, key: str, order_desc: Sequence[str]) -> DataFrame:
-    """Keep one row per ``key``: the greatest by ``order_desc`` then all columns.
+    """Keep one row per ``key``: the greatest by ``order_desc``, then by a hash of the row.
 
-    A grouped ``max(struct)`` instead of ``row_number`` over a key window: the
-    partial aggregate collapses copies map-side, so a key that was re-sent
-    millions of times still costs one row per map task in the shuffle.
+    Grouped ``max_by`` instead of ``row_number`` over a key window: the partial
+    aggregate collapses copies map-side, so a key that was re-sent millions of
+    times still costs one row per map task in the shuffle. Columns that nobody
+    asks for are pruned; only their part of the hash is computed before.
     """
-    rest = [c for c in df.columns if c != key and c not in order_desc]
-    packed = F.struct(*[F.col(c) for c in order_desc], *[F.col(c) for c in rest])
-    latest = df.filter(F.col(key).isNotNull()).groupBy(key).agg(F.max(packed).alias("__latest"))
-    return latest.select(key, *[F.col(f"__latest.{c}").alias(c) for c in list(order_desc) + rest]) \
-                 .select(*df.columns)
+    rest = [c for c in df.columns if c != key]
+    order = F.struct(*[F.col(c) for c in order_desc], F.col("__tie"))
+    rows = df.filter(F.col(key).isNotNull()).withColumn("__tie", F.xxhash64(*df.columns))
+    return rows.groupBy(key).agg(*[F.max_by(c, order).alias(c) for c in rest]).select(*df.columns)
 
 
 def staging_orders(processed: DataFrame, extra: Sequence[str] = ()) -> DataFrame:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from orderflow.operators.ranking import cumulative_by_value
@@ -18,7 +18,11 @@ def quantiles_exact(df: DataFrame, parts: Sequence[str], value: str, qs: Sequenc
     ever gathered in one place.
     """
     parts = list(parts)
-    c = cumulative_by_value(df, parts, value, None, descending=False)
+    return quantiles_of_counts(cumulative_by_value(df, parts, value, None, descending=False), parts, value, qs)
+
+
+def quantiles_of_counts(c: DataFrame, parts: Sequence[str], value: str, qs: Sequence[float]) -> DataFrame:
+    """``quantiles_exact`` from the (ascending) cumulative counts of the values."""
     c = c.withColumn("q", F.explode(F.array(*[F.lit(float(q)) for q in qs])))
     h = (F.col("n_total") - 1).cast("double") * F.col("q")
     lo_rank, hi_rank = F.floor(h), F.ceil(h)
@@ -50,7 +54,3 @@ def unpivot(df: DataFrame, id_cols: Sequence[str], value_cols: Sequence[str],
     return df.select(*id_cols, *[F.col(c).cast("double").alias(c) for c in value_cols]) \
              .unpivot(list(id_cols), list(value_cols), name, value)
 
-
-def moments(col: Column) -> list[Column]:
-    return [F.avg(col).alias("mean"), F.stddev_samp(col).alias("std"),
-            F.min(col).alias("min"), F.max(col).alias("max"), F.count(col).alias("n")]

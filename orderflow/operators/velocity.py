@@ -17,7 +17,12 @@ partitioned by (key, sub-bucket):
 That is 2N rows plus a small aggregate, no pairs, and the result equals
 ``count(*) OVER (PARTITION BY key ORDER BY t RANGE BETWEEN width PRECEDING AND
 CURRENT ROW)`` (ties included, as a RANGE frame includes peers). A task holds
-one key's rows within ``B``, not within the whole frame.
+one key's rows within ``B``, not its whole history.
+
+By default ``m`` is 1: there are no summary rows, so the input is read once,
+and a task holds a key's rows of two frames. That is right for frames of a
+minute. Long frames (the 24-hour block list) pass a larger ``m`` and pay for
+the second read of the input with smaller tasks.
 """
 
 from __future__ import annotations
@@ -31,7 +36,7 @@ _KIND = "__tc_kind"
 _BUCKET = "__tc_bucket"
 _SORT = "__tc_sort"
 _W = "__tc_w"
-DEFAULT_SUB_BUCKETS = 12
+DEFAULT_SUB_BUCKETS = 1
 
 
 def _sub_buckets(span: int, wanted: int) -> int:

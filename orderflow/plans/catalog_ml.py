@@ -362,8 +362,7 @@ LONG_CTE = FEAT_CTE + f""", fl AS (
   FROM cdf GROUP BY feature
 ), rsd AS (SELECT feature, stddev_pop(value) AS sd FROM lg WHERE is_ref = 1 GROUP BY feature
 ), coldrift AS (
-  SELECT kw.*, CASE WHEN n_ref <= 1000 THEN ks_stat > 1.358 * sqrt(CAST(n_ref + n_cur AS DOUBLE) / CAST(n_ref * n_cur AS DOUBLE))
-                    ELSE wasserstein / (CASE WHEN rsd.sd > 0 THEN rsd.sd ELSE 1.0 END) > 0.1 END AS drifted
+  SELECT kw.*, wasserstein / (CASE WHEN rsd.sd > 0 THEN rsd.sd ELSE 1.0 END) > 0.1 AS drifted
   FROM kw LEFT JOIN rsd USING (feature)
 ), share AS (
   SELECT count(*) AS n_columns, CAST(SUM(CAST(drifted AS INT)) AS BIGINT) AS n_drifted, max(n_cur) AS n_current,
@@ -374,8 +373,7 @@ LONG_CTE = FEAT_CTE + f""", fl AS (
 
 
 def _long(ctx: OrderContext) -> DataFrame:
-    f = feature_frame(ctx)
-    return drift.long_frame(f.filter(F.col("split") == "train"), f.filter(F.col("split") == "test"), DRIFT_COLS)
+    return drift.long_split(feature_frame(ctx), F.col("split") == "train", DRIFT_COLS)
 
 
 @register("drift_mean_shift", _w(LONG_CTE, f"""
@@ -392,21 +390,21 @@ def _mean_shift(ctx: OrderContext) -> DataFrame:
 
 @register("drift_ks_wasserstein", _w(LONG_CTE, "SELECT feature, n_ref, n_cur, ks_stat, wasserstein, drifted FROM coldrift"))
 def _ks(ctx: OrderContext) -> DataFrame:
-    return drift.column_drift(_long(ctx))
+    return drift.column_drift(cut_lineage(_long(ctx)))
 
 
 @register("drift_share", _w(LONG_CTE, "SELECT n_columns, n_drifted, CAST(n_current AS BIGINT) AS n_current, drift_share, dataset_drift FROM share"))
 def _share(ctx: OrderContext) -> DataFrame:
-    return drift.drift_share(drift.column_drift(_long(ctx)))
+    return drift.drift_share(drift.column_drift(cut_lineage(_long(ctx))))
 
 
 @register("drift_gate", _w(LONG_CTE, """
-SELECT CAST(n_current AS BIGINT) AS n_current, CASE WHEN n_current >= 50 THEN drift_share ELSE 0.0 END AS drift_score,
+SELECT CAST(n_current AS BIGINT) AS n_current, drift_share, CASE WHEN n_current >= 50 THEN drift_share ELSE 0.0 END AS drift_score,
        n_current >= 50 AND dataset_drift AS drift_detected,
        CASE WHEN (CASE WHEN n_current >= 50 THEN drift_share ELSE 0.0 END) > 0.3 OR (n_current >= 50 AND dataset_drift)
             THEN 'RETRAIN' ELSE 'SKIP' END AS decision FROM share"""))
 def _gate(ctx: OrderContext) -> DataFrame:
-    return drift.gate(drift.drift_share(drift.column_drift(_long(ctx))))
+    return drift.gate(drift.drift_share(drift.column_drift(cut_lineage(_long(ctx)))))
 
 
 @register("prj_align_columns", _w(FEAT_CTE, f"""

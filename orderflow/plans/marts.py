@@ -14,7 +14,6 @@ from pyspark.sql.types import DecimalType
 
 from orderflow.functions import rules
 from orderflow.functions.exact import mean_double, ratio_round, scaled_int
-from orderflow.functions.scalars import one_row, ts_literal
 from orderflow.functions.timeparts import dow_sunday0, whole_days
 from orderflow.operators.aggregates import count_if, mode_smallest, sum_if
 from orderflow.operators.common import join_null_safe
@@ -170,19 +169,22 @@ def hour_spine(stg: DataFrame, ts_col: str = "order_timestamp") -> DataFrame:
     return bounds.select(F.explode(F.sequence("lo", "hi", F.expr("INTERVAL 1 HOUR"))).alias("full_timestamp"))
 
 
+def hour_number(ts: Column) -> Column:
+    return F.floor(F.unix_micros(ts) / F.lit(3_600_000_000)).cast("long")
+
+
 def dim_time(stg: DataFrame) -> DataFrame:
     """Date spine at hour grain with calendar attributes.
 
-    ``time_id`` is the 1-based hour offset from the first hour, computed
-    arithmetically instead of with a global ``row_number``.
+    ``time_id`` counts hours from 1970-01-01, so facts and dimension are numbered
+    without looking at the data.
     """
     spine = hour_spine(stg)
     t = F.col("full_timestamp")
-    first = ts_literal(one_row(stg.agg(F.unix_micros(F.date_trunc("hour", F.min("order_timestamp"))).alias("us"))).us)
     hour = F.hour(t)
     dow = dow_sunday0(t)
     return spine.select(
-        ((F.unix_micros(t) - F.unix_micros(first)) / F.lit(3_600_000_000) + 1).cast("long").alias("time_id"),
+        hour_number(t).alias("time_id"),
         t.alias("full_timestamp"),
         hour.cast("int").alias("hour"),
         dow.alias("day_of_week"),
@@ -206,12 +208,9 @@ def fact_orders(stg_plus: DataFrame) -> DataFrame:
     ``stg_plus`` is the staging frame carrying ``product_id``, ``quantity`` and
     ``payment_method`` as well (see ``staging_orders(..., extra=...)``).
     """
-    first = ts_literal(one_row(stg_plus.agg(
-        F.unix_micros(F.date_trunc("hour", F.min("order_timestamp"))).alias("us"))).us)
-    hour = F.date_trunc("hour", F.col("order_timestamp"))
     return stg_plus.select(
         "order_id", "user_id", "product_id", "product_name", "category",
-        ((F.unix_micros(hour) - F.unix_micros(first)) / F.lit(3_600_000_000) + 1).cast("long").alias("time_id"),
+        hour_number(F.col("order_timestamp")).alias("time_id"),
         "order_amount", "quantity", "fraud_score", "is_fraud", "risk_level",
         rules.fraud_pattern("location_mismatch", "orders_per_user_1m", "is_high_value",
                             "is_late_night_order").alias("fraud_pattern"),

@@ -296,7 +296,7 @@ DIM_TIME_CTE = STG + """, tb AS (
 ), spine AS (
   SELECT unnest(generate_series(lo, hi, INTERVAL 1 HOUR)) AS full_timestamp FROM tb
 ), dim_time AS (
-  SELECT CAST((epoch_us(full_timestamp) - (SELECT epoch_us(lo) FROM tb)) / 3600000000 + 1 AS BIGINT) AS time_id,
+  SELECT CAST(epoch_us(full_timestamp) // 3600000000 AS BIGINT) AS time_id,
          full_timestamp, CAST(hour(full_timestamp) AS INT) AS hour,
          CAST(dayofweek(full_timestamp) AS INT) AS day_of_week, dayname(full_timestamp) AS day_name,
          CAST(dayofmonth(full_timestamp) AS INT) AS day_of_month, CAST(weekofyear(full_timestamp) AS INT) AS week_of_year,
@@ -314,8 +314,7 @@ STG_PLUS = staging("product_id, quantity, payment_method")
 
 FACT_ORDERS_CTE = STG_PLUS + f""", fact AS (
   SELECT order_id, user_id, product_id, product_name, category,
-         CAST((epoch_us(date_trunc('hour', order_timestamp))
-               - (SELECT epoch_us(date_trunc('hour', MIN(order_timestamp))) FROM stg)) / 3600000000 + 1 AS BIGINT) AS time_id,
+         CAST(epoch_us(order_timestamp) // 3600000000 AS BIGINT) AS time_id,
          order_amount, quantity, fraud_score, is_fraud, risk_level, {FRAUD_PATTERN} AS fraud_pattern,
          payment_method, device_type, location_mismatch
   FROM stg
