@@ -14,13 +14,14 @@ probability close to their similarity.
 4. Pairs that share a key are estimated by likelihood from the registers that
    are greater, smaller and equal, and from the exact set sizes. A pair is
    refuted if the limit is less likely than the estimate by ``e**-LIKELIHOOD``.
-5. What is left is verified on the full sets, in three rounds, so that no task
-   and no bucket has to write all its pairs: every class with its likeliest
-   earlier partner; then every class outside the main component of a bucket
-   with its likeliest partners in other components; at last all pairs of a
-   bucket that are still in different components. A bucket is dealt in chunks
-   of ``CHUNK`` classes: chunk borders differ from band to band, and the last
-   rounds send the few outsiders to every chunk.
+5. What is left is verified on the full sets. First every class with its
+   likeliest earlier partner: that joins most of a group by as many pairs as it
+   has members. Then the classes of buckets that still hold several components
+   form families (connected by likely pairs, written as spanning edges only).
+   A family is dealt in chunks of ``CHUNK`` classes; each class outside the
+   family's main component is sent to every chunk and intersected there with
+   the sets of all its classes at once. Only links are written, so neither a
+   bucket nor a family ever writes its pairs.
 
 Defined cases: a null or blank text has no shingles and is linked with nothing;
 a text of fewer words than a shingle is one shingle; rows with one doc_id are
@@ -35,7 +36,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from orderflow.llm import textbytes as tb
@@ -188,12 +189,27 @@ def _groups(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[pa.Table]:
         yield rest
 
 
+def connected(n: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """Smallest index reachable from each of n indices over the pairs (i, j)."""
+    label = np.arange(n)
+    while True:
+        least = np.minimum(label[i], label[j])
+        new = label.copy()
+        np.minimum.at(new, i, least)
+        np.minimum.at(new, j, least)
+        new = np.minimum(new, new[new])
+        if (new == label).all():
+            return label
+        label = new
+
+
 def estimate_pairs(rows: DataFrame, near: Near, keep: int | None) -> DataFrame:
     """Likely pairs of rows (band, key, chunk, outside, class_id, part, n, bands) that share
     band, key and chunk: (a, b, estimate), a the outsider.
 
     A pair needs an outsider and two different parts. ``keep`` bounds the pairs written for
-    each outsider and bucket to its likeliest ones; None writes all.
+    each outsider and bucket to its likeliest ones; with None the pairs' connected groups are
+    written instead, as one edge for each further member.
     """
     floor, m, limit = least_equal(near), near.registers, near.percent / 100
 
@@ -229,7 +245,11 @@ def estimate_pairs(rows: DataFrame, near: Near, keep: int | None) -> DataFrame:
             if not found:
                 continue
             i, j, estimate = (np.concatenate(x) for x in zip(*found))
-            if keep is not None:
+            if keep is None:
+                root = connected(len(table), i, j)
+                i = np.flatnonzero(root != np.arange(len(table)))
+                j, estimate = root[i], np.ones(len(i))
+            else:
                 # an outsider pair counts for both sides; a row's best ones, then the smaller id
                 both = [(i, j), (j[get["outside"][j] > 0], i[get["outside"][j] > 0])]
                 value = np.concatenate([estimate, estimate[get["outside"][j] > 0]])
@@ -270,6 +290,70 @@ def verified(pairs: DataFrame, docs: DataFrame, near: Near) -> DataFrame:
     return two.mapInArrow(run, "a long, b long")
 
 
+class _Chunk:
+    """The sets of a chunk's classes, to intersect many sets with."""
+
+    def __init__(self, table: pa.Table, near: Near):
+        buf, offsets = tb.text_buffer(table.column("text"))
+        rows, keys, sizes = [], [], []
+        for a, b in tb.slices(buf, offsets):
+            row, key, size = shingle_sets(buf[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a], near.words)
+            rows.append(row + a), keys.append(key), sizes.append(size)
+        row, key = np.concatenate(rows), np.concatenate(keys)
+        order = np.argsort(key)
+        self.row, self.key, self.size = row[order], key[order], np.concatenate(sizes)
+        self.class_id, self.part = table.column("class_id").to_numpy(), table.column("part").to_numpy()
+
+    def links(self, key: np.ndarray, part: int, percent: int) -> np.ndarray:
+        """Rows of other parts that are near a set; one for each part."""
+        first, last = np.searchsorted(self.key, key, "left"), np.searchsorted(self.key, key, "right")
+        size = last - first
+        at = np.repeat(first - (np.cumsum(size) - size), size) + np.arange(size.sum())
+        both = np.bincount(self.row[at], minlength=len(self.size))
+        hit = np.flatnonzero((both > 0) & (100 * both >= percent * (self.size + len(key) - both)) & (self.part != part))
+        return hit[np.unique(self.part[hit], return_index=True)[1]]
+
+
+def linked_in_chunks(rows: DataFrame, near: Near) -> DataFrame:
+    """Links (a, b) between different parts of a family: each outsider with the classes of each
+    chunk. rows: (family, chunk, outside, class_id, part, text); in a chunk its classes come
+    first (outside 0), then outsiders stream by."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        here, waiting, chunk = None, [], None
+        for batch in batches:
+            table = pa.Table.from_batches([batch])
+            marks = [table.column(c).to_numpy() for c in ("family", "chunk", "outside")]
+            cuts = [0, *(np.flatnonzero(np.any([c[1:] != c[:-1] for c in marks], 0)) + 1).tolist(), len(table)]
+            for s, e in zip(cuts, cuts[1:]):
+                if s == e:
+                    continue
+                if (marks[0][s], marks[1][s]) != here:
+                    here, waiting, chunk = (marks[0][s], marks[1][s]), [], None
+                some = table.slice(s, e - s)
+                if marks[2][s] == 0:
+                    waiting.append(some)
+                    continue
+                if chunk is None:
+                    if not waiting:
+                        continue
+                    chunk, waiting = _Chunk(pa.concat_tables(waiting), near), []
+                found_a, found_b = [], []
+                buf, offsets = tb.text_buffer(some.column("text"))
+                ids, parts = some.column("class_id").to_numpy(), some.column("part").to_numpy()
+                for a, b in tb.slices(buf, offsets):
+                    _, key, size = shingle_sets(buf[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a], near.words)
+                    end = np.cumsum(size)
+                    for k in range(b - a):
+                        hit = chunk.links(key[end[k] - size[k] : end[k]], parts[a + k], near.percent)
+                        found_a += [ids[a + k]] * len(hit)
+                        found_b += chunk.class_id[hit].tolist()
+                if found_a:
+                    yield pa.RecordBatch.from_arrays([pa.array(found_a, pa.int64()), pa.array(found_b, pa.int64())], names=["a", "b"])
+
+    return (rows.select("family", "chunk", "outside", "class_id", "part", "text").repartition("family", "chunk")
+            .sortWithinPartitions("family", "chunk", "outside").mapInArrow(run, "a long, b long"))
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(node, part): the smallest node that each node of the edges (a, b) reaches.
 
@@ -308,29 +392,23 @@ def near_duplicates(docs: DataFrame, near: Near = Near(), id_col: str = "doc_id"
     chunks = F.ceil(F.col("size") / CHUNK).cast("int")
     chunk = F.pmod(F.hash("class_id", "band"), chunks)
 
-    # Round 1: the likeliest earlier partner of each class.
+    # First the likeliest earlier partner of each class.
     rows = members.select("band", "key", chunk.alias("chunk"), F.lit(1).alias("outside"), "class_id", F.col("class_id").alias("part"))
     nearest = estimate_pairs(rows.join(reps, "class_id"), near, 1 + NEAREST)
     ordered = nearest.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"), "estimate")
     first = cut_lineage(ordered.groupBy("a").agg(F.max_by("b", F.struct("estimate", -F.col("b"))).alias("b")))
-    tried = first
-    links = cut_lineage(verified(first, docs, near))
-    parts = _merge(None, links)
-
-    # Rounds 2 and 3: pairs across components that share a bucket.
-    for keep in (NEAREST, None):
-        here = members.join(parts, members.class_id == parts.node, "left").select("band", "key", "size", "class_id", F.coalesce("part", "class_id").alias("part"))
-        sizes = here.groupBy("band", "key", "part").agg(F.count("*").alias("rows"))
-        main = sizes.groupBy("band", "key").agg(F.max_by("part", F.struct("rows", "part")).alias("main"), F.count("*").alias("parts")).filter("parts > 1")
-        open_ = here.join(main, ["band", "key"]).withColumn("outside", (F.col("part") != F.col("main")).cast("int"))
-        to = F.when(F.col("outside") == 1, F.sequence(F.lit(0), chunks - 1)).otherwise(F.array(chunk))
-        rows = open_.select("band", "key", F.explode(to).alias("chunk"), "outside", "class_id", "part")
-        pairs = estimate_pairs(rows.join(reps, "class_id"), near, keep).select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
-        pairs = cut_lineage(pairs.join(tried, ["a", "b"], "left_anti"))
-        if pairs.isEmpty():
-            continue
-        tried = tried.unionByName(pairs)
-        parts = _merge(parts, cut_lineage(verified(pairs, docs, near)))
+    parts = _merge(None, cut_lineage(verified(first, docs, near)))
+
+    # Then what the buckets still hold apart.
+    here = members.join(parts, members.class_id == parts.node, "left").select("band", "key", "size", "class_id", F.coalesce("part", "class_id").alias("part"))
+    likely = estimate_pairs(_open(here, ["band", "key"], F.col("size"), F.hash("class_id", "band")).join(reps, "class_id"), near, None)
+    families = components(likely.select("a", "b").distinct())
+    sizes = families.groupBy("part").agg(F.count("*").alias("size")).withColumnRenamed("part", "family")
+    held = (families.select(F.col("node").alias("class_id"), F.col("part").alias("family")).join(sizes, "family")
+            .join(parts, F.col("class_id") == parts.node, "left").select("family", "size", "class_id", F.coalesce("part", "class_id").alias("part")))
+    rows = _open(held, ["family"], F.col("size"), F.hash("class_id"), own_too=True)
+    texts = docs.join(rows, docs.doc_id == rows.class_id).select("family", "chunk", "outside", "class_id", "part", "text")
+    parts = _merge(parts, cut_lineage(linked_in_chunks(texts, near)))
 
     known = signs.join(classes.select(*same, "class_id"), same, "left").withColumn("class_id", F.when(F.col("doc_id").isNotNull(), F.col("class_id")))
     out = known.join(parts, known.class_id == parts.node, "left")
@@ -339,6 +417,19 @@ def near_duplicates(docs: DataFrame, near: Near = Near(), id_col: str = "doc_id"
                       F.coalesce(component == F.col("doc_id"), F.lit(True)).alias("kept"))
 
 
+def _open(rows: DataFrame, keys: list[str], size: Column, spread: Column, own_too: bool = False) -> DataFrame:
+    """Rows of groups that hold several parts, dealt in chunks: a row of the group's main part
+    goes to its chunk, a row outside of it to every chunk (marked ``outside``). With
+    ``own_too`` rows outside are also in their own chunk, unmarked."""
+    chunks = F.ceil(size / CHUNK).cast("int")
+    sizes = rows.groupBy(*keys, "part").agg(F.count("*").alias("rows"))
+    main = sizes.groupBy(*keys).agg(F.max_by("part", F.struct("rows", "part")).alias("main"), F.count("*").alias("parts")).filter("parts > 1")
+    own = F.struct(F.pmod(spread, chunks).alias("chunk"), F.lit(0).alias("outside"))
+    every = F.transform(F.sequence(F.lit(0), chunks - 1), lambda c: F.struct(c.alias("chunk"), F.lit(1).alias("outside")))
+    to = F.when(F.col("part") == F.col("main"), F.array(own)).otherwise(F.concat(every, F.array(own)) if own_too else every)
+    return rows.join(main, keys).withColumn("to", F.explode(to)).select(*keys, "to.chunk", "to.outside", "class_id", "part")
+
+
 def _merge(parts: DataFrame | None, links: DataFrame) -> DataFrame:
     """Components after new links: the links join whole components."""
     if parts is not None:
