@@ -35,17 +35,29 @@ def valid_orders(raw: DataFrame, as_of: Column) -> DataFrame:
 
 def rejected_orders(raw: DataFrame, as_of: Column) -> DataFrame:
     """Complement of the guard with the first failed check as ``reject_reason``."""
-    reason = (F.when(~F.coalesce(_valid_amount(), F.lit(False)), REJECT_REASONS[0])
-              .when(F.col("user_id").isNull(), REJECT_REASONS[1])
-              .otherwise(REJECT_REASONS[2]))
-    return raw.filter(~guard_condition(as_of)).withColumn("reject_reason", reason)
+    return raw.filter(~guard_condition(as_of)).withColumn("reject_reason", guard_reason())
+
+
+def guard_reason() -> Column:
+    """The first check of the guard that a rejected row fails."""
+    return (F.when(~F.coalesce(_valid_amount(), F.lit(False)), REJECT_REASONS[0])
+            .when(F.col("user_id").isNull(), REJECT_REASONS[1])
+            .otherwise(REJECT_REASONS[2]))
+
+
+# Key of the user hash where the session names none (``spark.orderflow.user.hash.key``).
+USER_HASH_KEY, USER_HASH_CONF = "orderflow", "spark.orderflow.user.hash.key"
 
 
 def mask_pii(df: DataFrame) -> DataFrame:
-    """SHA-256 the IP in place; the user token is a SHA-256 of user and order."""
-    return (df.withColumn("user_id_masked",
-                          F.sha2(F.concat_ws("-", F.col("user_id"), F.col("order_id")), 256))
-              .withColumn("ip_address", F.sha2(F.col("ip_address"), 256)))
+    """Keyed SHA-256 of the user and SHA-256 of the IP, in place of the clear values.
+
+    The same user always has the same hash, so marts can still group by it; a
+    null user stays null.
+    """
+    key = df.sparkSession.conf.get(USER_HASH_CONF, USER_HASH_KEY)
+    user = F.sha2(F.concat(F.lit(f"{key}-"), F.col("user_id")), 256)
+    return df.withColumns({"user_id": user, "ip_address": F.sha2(F.col("ip_address"), 256)})
 
 
 def with_scoring(df: DataFrame, score_col: str = "fraud_score") -> DataFrame:

@@ -16,6 +16,7 @@ from orderflow.operators.stats import group_median
 from orderflow.operators.velocity import attach_sliding_velocity, sliding_window_counts
 from orderflow.plans import marts
 from orderflow.plans import oracle as O
+from orderflow.plans.catalog_ml import FEAT_CTE, feature_frame
 from orderflow.plans.catalog_ops import AGENT_CTE
 from orderflow.plans.context import OrderContext
 from orderflow.plans.catalog_base import register
@@ -83,7 +84,7 @@ def _tx_layout(ctx: OrderContext) -> DataFrame:
 
 @register("src_transactions_csv", _w(STG_TX, """
 SELECT order_id AS "Transaction ID", user_id AS "Customer ID", CAST(order_amount AS DOUBLE) AS "Transaction Amount",
-       date_trunc('millisecond', order_timestamp) AS "Transaction Date", payment_method AS "Payment Method",
+       order_timestamp AS "Transaction Date", payment_method AS "Payment Method",
        category AS "Product Category", quantity AS "Quantity", CAST(NULL AS INT) AS "Customer Age",
        CAST(NULL AS VARCHAR) AS "Customer Location", device_type AS "Device Used", ip_address AS "IP Address",
        'USA' AS "Shipping Address", CASE WHEN location_mismatch THEN 'mismatch' ELSE 'USA' END AS "Billing Address",
@@ -91,7 +92,7 @@ SELECT order_id AS "Transaction ID", user_id AS "Customer ID", CAST(order_amount
        CAST(is_fraud AS INT) AS "Is Fraudulent" FROM stg"""))
 def _tx_csv(ctx: OrderContext) -> DataFrame:
     path = os.path.join(run_root(ctx, "tx-csv"), "transactions")
-    _tx_layout(ctx).write.mode("overwrite").option("header", "true").csv(path)
+    _tx_layout(ctx).write.mode("overwrite").option("header", "true").option("timestampFormat", ingest.CSV_TIMESTAMP).csv(path)
     return ingest.read_transactions_csv(ctx.spark, path)
 
 
@@ -116,42 +117,76 @@ def _loc_mismatch(ctx: OrderContext) -> DataFrame:
                                                     "location_mismatch")
 
 
-# -- streaming (rows-only; compared with batch in tests) -------------------------------
+# -- streaming: replays of one batch of files ------------------------------------------
 
-@register("stream_score")
+# Accepted orders (the fixture repeats an order only a second later, so the first of
+# an id is the accepted one), their velocity and score, and whether their windows have closed.
+STREAM_CTE = O.RAW + f""", judged AS (
+  SELECT *, CASE WHEN NOT coalesce(amount > 0 AND amount < 100000, false) THEN 'NULL_OR_BAD_AMOUNT'
+                 WHEN user_id IS NULL THEN 'NULL_USER'
+                 WHEN NOT coalesce(timestamp <= CAST(now() AS TIMESTAMP), false) THEN 'NULL_OR_FUTURE_TIMESTAMP'
+                 WHEN order_id IS NULL OR product_id IS NULL OR category IS NULL THEN 'MISSING_FIELD' END AS reject_reason
+  FROM raw
+), accepted AS (
+  SELECT * EXCLUDE (orders_per_user_1m, fraud_score), epoch_us(timestamp) // 30000000 AS s FROM judged
+  WHERE reject_reason IS NULL QUALIFY row_number() OVER (PARTITION BY order_id ORDER BY timestamp) = 1
+), wins AS (
+  SELECT user_id, ws, count(*) AS n FROM (
+    SELECT user_id, s AS ws FROM accepted UNION ALL SELECT user_id, s - 1 FROM accepted) t GROUP BY user_id, ws
+), counted AS (
+  SELECT a.*, CAST((SELECT max(n) FROM wins w WHERE w.user_id = a.user_id AND w.ws IN (a.s, a.s - 1)) AS INT) AS orders_per_user_1m
+  FROM accepted a
+), st AS (
+  SELECT order_id, sha256('orderflow-' || user_id) AS user_id, CAST(amount AS DOUBLE) AS amount, timestamp,
+         CAST(timestamp AS DATE) AS order_date, orders_per_user_1m,
+         round(least(CAST(1 AS DOUBLE), CAST(0.05 AS DOUBLE) + CAST(0.25 AS DOUBLE) * location_mismatch
+           + CASE WHEN amount > 1000 THEN CAST(0.35 AS DOUBLE) ELSE CAST(0 AS DOUBLE) END
+           + CASE WHEN hour(timestamp) BETWEEN 0 AND 5 THEN CAST(0.10 AS DOUBLE) ELSE CAST(0 AS DOUBLE) END
+           + CAST(0.03 AS DOUBLE) * least(orders_per_user_1m, 10)), 4) AS fraud_score,
+         {O.REASONING} AS reasoning, (s + 2) * 30000000 AS closes_us,
+         (s + 2) * 30000000 <= (SELECT max(epoch_us(timestamp)) FROM judged WHERE reject_reason IS NULL) - 60000000 AS closed
+  FROM counted
+)"""
+
+
+@register("stream_score", _w(STREAM_CTE, """
+SELECT order_id, user_id, amount, timestamp, orders_per_user_1m, fraud_score > 0.5 AS is_fraud, fraud_score,
+       CASE WHEN fraud_score > 0.8 THEN 'CRITICAL' WHEN fraud_score > 0.4 THEN 'HIGH' ELSE 'LOW' END AS risk_level, reasoning
+FROM st"""))
 def _stream_score(ctx: OrderContext) -> DataFrame:
-    return sinks.read_sink(ctx.spark, stream_outputs(ctx, "score").processed)
+    return stream_outputs(ctx, "score").table_rows(ctx.spark).select(
+        "order_id", "user_id", "amount", "timestamp", "orders_per_user_1m", "is_fraud", "fraud_score", "risk_level", "reasoning")
 
 
-@register("stream_velocity")
+@register("stream_velocity", _w(STREAM_CTE, "SELECT order_id, user_id, timestamp, orders_per_user_1m FROM st"))
 def _stream_velocity(ctx: OrderContext) -> DataFrame:
-    rows = sinks.read_sink(ctx.spark, stream_outputs(ctx, "velocity").processed)
-    return order_stream.resolve_velocity(rows.drop("batch_id", "user_id_masked")) \
-                       .select("order_id", "user_id", "timestamp", "orders_per_user_1m")
+    return stream_outputs(ctx, "velocity").table_rows(ctx.spark).select("order_id", "user_id", "timestamp", "orders_per_user_1m")
 
 
-@register("stream_guard_split", O.with_ctes(O.RAW, """
-SELECT order_id, user_id, product_id, product_name, category, CAST(amount AS DOUBLE) AS amount, quantity,
-       payment_method, ip_address, device_type, location_mismatch, timestamp,
-       CASE WHEN NOT coalesce(amount > 0 AND amount < 100000, false) THEN 'NULL_OR_BAD_AMOUNT'
-            WHEN user_id IS NULL THEN 'NULL_USER' ELSE 'NULL_OR_FUTURE_TIMESTAMP' END AS reject_reason
-FROM raw WHERE NOT coalesce(amount > 0 AND amount < 100000 AND user_id IS NOT NULL
-                            AND timestamp <= CAST(now() AS TIMESTAMP), false)"""))
+@register("stream_guard_split", _w(STREAM_CTE, """
+SELECT order_id, sha256('orderflow-' || user_id) AS user_id, product_id, product_name, category, CAST(amount AS DOUBLE) AS amount,
+       quantity, payment_method, sha256(ip_address) AS ip_address, device_type, location_mismatch, timestamp, reject_reason
+FROM judged WHERE reject_reason IS NOT NULL"""))
 def _stream_guard(ctx: OrderContext) -> DataFrame:
-    # Rejected rows bypass the stateful step, so the dead letter is exactly the guard's complement.
-    return sinks.read_sink(ctx.spark, stream_outputs(ctx, "guard").dead_letter).drop("batch_id")
+    return stream_outputs(ctx, "guard").dead_rows(ctx.spark).drop("batch_id", "order_date")
 
 
-@register("stream_multi_sink")
+@register("stream_multi_sink", _w(STREAM_CTE, """
+SELECT 'table' AS sink, order_date, count(*) AS rows FROM st GROUP BY order_date
+UNION ALL SELECT 'archive', order_date, count(*) FROM st WHERE closed GROUP BY order_date
+UNION ALL SELECT 'dead_letter', CAST(timestamp AS DATE), count(*) FROM judged WHERE reject_reason IS NOT NULL GROUP BY 2"""))
 def _stream_multi(ctx: OrderContext) -> DataFrame:
     out = stream_outputs(ctx, "multi")
-    return ctx.spark.read.parquet(os.path.join(out.archive, "batch_id=*"))
+    parts = [df.groupBy("order_date").agg(F.count(F.lit(1)).alias("rows")).select(F.lit(name).alias("sink"), "order_date", "rows")
+             for name, df in (("table", out.table_rows(ctx.spark)), ("archive", out.archive_rows(ctx.spark)), ("dead_letter", out.dead_rows(ctx.spark)))]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
 
 
-@register("stream_watermark")
+@register("stream_watermark", _w(STREAM_CTE, """
+SELECT order_id, make_timestamp(closes_us) AS window_end, orders_per_user_1m FROM st WHERE closed"""))
 def _stream_watermark(ctx: OrderContext) -> DataFrame:
-    rows = sinks.read_sink(ctx.spark, stream_outputs(ctx, "watermark").processed)
-    return rows.select("window_start", "window_end", "user_id", "orders_per_user_1m").distinct()
+    rows = stream_outputs(ctx, "watermark").archive_rows(ctx.spark)
+    return rows.select("order_id", F.timestamp_micros(order_stream.window_end_us()).alias("window_end"), "orders_per_user_1m")
 
 
 STREAM_VALID = O.RAW + """, v AS (
@@ -176,40 +211,38 @@ def _stream_sliding(ctx: OrderContext) -> DataFrame:
     return order_stream.run_sliding_counts(ctx.spark, replay_source(ctx, root), root)
 
 
-@register("stream_idempotent")
+@register("stream_idempotent", _w(STREAM_CTE, "SELECT order_id, 1 AS versions FROM st"))
 def _stream_idem(ctx: OrderContext) -> DataFrame:
-    rows = sinks.read_sink(ctx.spark, stream_outputs(ctx, "idem").processed)
-    return rows.groupBy("order_id").agg(F.countDistinct("timestamp").alias("versions"))
+    rows = stream_outputs(ctx, "idem").table_rows(ctx.spark)
+    return rows.groupBy("order_id").agg(F.count(F.lit(1)).cast("int").alias("versions"))
+
+
+BATCH_ROWS = _w(STREAM_CTE, "SELECT CAST(0 AS BIGINT) AS batch_id, count(*) AS rows FROM st WHERE closed")
 
 
-@register("stream_checkpoint")
+@register("stream_checkpoint", BATCH_ROWS)
 def _stream_ckpt(ctx: OrderContext) -> DataFrame:
     root = run_root(ctx, "ckpt")
     src = replay_source(ctx, root)
-    first = order_stream.run_available(ctx.spark, src, root)
-    n1 = sinks.read_sink(ctx.spark, first.processed).count()
-    order_stream.run_available(ctx.spark, src, root)  # restart: nothing new to read
-    n2 = sinks.read_sink(ctx.spark, first.processed).count()
-    return ctx.spark.createDataFrame([(1, n1), (2, n2)], "run INT, processed_rows LONG")
+    order_stream.run_available(ctx.spark, src, root)
+    out = order_stream.run_available(ctx.spark, src, root)  # restart: nothing new to read
+    return out.archive_rows(ctx.spark).groupBy("batch_id").agg(F.count(F.lit(1)).alias("rows"))
 
 
-@register("snk_foreach_batch")
+@register("snk_foreach_batch", BATCH_ROWS)
 def _snk_batch(ctx: OrderContext) -> DataFrame:
-    rows = sinks.read_sink(ctx.spark, stream_outputs(ctx, "foreach").processed)
-    return rows.groupBy("batch_id").agg(F.count(F.lit(1)).alias("rows"))
+    return stream_outputs(ctx, "foreach").archive_rows(ctx.spark).groupBy("batch_id").agg(F.count(F.lit(1)).alias("rows"))
 
 
-@register("snk_lake_archive")
+@register("snk_lake_archive", _w(STREAM_CTE, "SELECT order_date, count(*) AS rows FROM st WHERE closed GROUP BY order_date"))
 def _snk_archive(ctx: OrderContext) -> DataFrame:
-    out = stream_outputs(ctx, "archive")
-    return ctx.spark.read.parquet(os.path.join(out.archive, "batch_id=*")).groupBy("order_date") \
-              .agg(F.count(F.lit(1)).alias("rows"))
+    return stream_outputs(ctx, "archive").archive_rows(ctx.spark).groupBy("order_date").agg(F.count(F.lit(1)).alias("rows"))
 
 
-@register("snk_console_preview", _w(P, "SELECT * FROM processed ORDER BY timestamp DESC, order_id LIMIT 20"))
+@register("snk_console_preview", _w(P, "SELECT * FROM processed"))
 def _snk_console(ctx: OrderContext) -> DataFrame:
-    # The console sink prints; its content is the scored stream, previewed newest first.
-    return ctx.processed.orderBy(F.col("timestamp").desc(), F.col("order_id")).limit(20)
+    # The console sink prints the scored stream; this is what it prints.
+    return ctx.processed
 
 
 @register("snk_dead_letter", _w(O.RAW, f"""
@@ -237,14 +270,16 @@ def _snk_logs(ctx: OrderContext) -> DataFrame:
     return ctx.spark.read.parquet(path)
 
 
-@register("snk_reference_sample")
+@register("snk_reference_sample", _w(FEAT_CTE, f"""
+SELECT order_id, CAST(is_fraud AS VARCHAR) AS is_fraud, CAST(order_hour AS VARCHAR) AS order_hour FROM feat
+WHERE split = 'train' QUALIFY row_number() OVER (ORDER BY md5(order_id), order_id) <= 5000"""))
 def _snk_ref(ctx: OrderContext) -> DataFrame:
-    from orderflow.plans.catalog_ml import feature_frame
     path = os.path.join(run_root(ctx, "refsample"), "reference_data")
     train = feature_frame(ctx).filter(F.col("split") == "train")
     sinks.reference_sample(train, "order_id").drop("split").write.mode("overwrite") \
          .option("header", "true").csv(path)
-    return ctx.spark.read.option("header", "true").option("inferSchema", "false").csv(path)
+    back = ctx.spark.read.option("header", "true").option("inferSchema", "false").csv(path)
+    return back.select("order_id", "is_fraud", "order_hour")
 
 
 @register("mat_views_tables", _w(O.STG, """

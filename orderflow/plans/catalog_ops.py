@@ -152,11 +152,11 @@ def _rejected(ctx: OrderContext) -> DataFrame:
 
 
 @register("prj_pii_mask", _w(O.RAW, f"""
-SELECT order_id, user_id, sha256(concat_ws('-', user_id, order_id)) AS user_id_masked,
+SELECT order_id, sha256('orderflow-' || user_id) AS user_id,
        sha256(ip_address) AS ip_address FROM raw WHERE {O.GUARD}"""))
 def _mask(ctx: OrderContext) -> DataFrame:
     return stg_ops.mask_pii(stg_ops.valid_orders(ctx.raw, ctx.as_of)).select(
-        "order_id", "user_id", "user_id_masked", "ip_address")
+        "order_id", "user_id", "ip_address")
 
 
 @register("flt_fraud_only", _w(O.STG, "SELECT order_id, order_amount, fraud_score, risk_level FROM stg WHERE is_fraud"))

@@ -64,7 +64,7 @@ GUARD = """coalesce(amount > 0 AND amount < 100000 AND user_id IS NOT NULL
                     AND timestamp <= (SELECT as_of FROM clock), false)"""
 
 PROCESSED = RAW + f""", processed AS (
-  SELECT order_id, user_id, sha256(concat_ws('-', user_id, order_id)) AS user_id_masked,
+  SELECT order_id, sha256('orderflow-' || user_id) AS user_id,
          product_id, product_name, category, amount, amount AS order_amount, quantity, payment_method,
          sha256(ip_address) AS ip_address, device_type, location_mismatch, account_age_days, timestamp,
          burst_us, orders_per_user_1m, fraud_score, fraud_score > 0.5 AS is_fraud,

@@ -28,6 +28,7 @@ ORDER_SCHEMA = StructType([
 ])
 REQUIRED_FIELDS = ("order_id", "user_id", "product_id", "category", "amount", "timestamp")
 ISO_MICROS = "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"
+CSV_TIMESTAMP = "yyyy-MM-dd HH:mm:ss.SSSSSS"
 
 # Transactions-file layout (16 columns) and its mapping to the order names.
 TRANSACTION_COLUMNS = (
@@ -131,7 +132,7 @@ def read_transactions_csv(spark: SparkSession, path: str, sample_fraction: float
               "`Quantity` INT, `Customer Age` INT, `Customer Location` STRING, `Device Used` STRING, "
               "`IP Address` STRING, `Shipping Address` STRING, `Billing Address` STRING, "
               "`Account Age Days` INT, `Transaction Hour` INT, `Is Fraudulent` INT")
-    df = spark.read.schema(schema).option("header", "true").csv(path)
+    df = spark.read.schema(schema).option("header", "true").option("timestampFormat", CSV_TIMESTAMP).csv(path)
     if sample_fraction is not None:
         df = df.sample(withReplacement=False, fraction=sample_fraction, seed=seed)
     return df

@@ -1,8 +1,7 @@
 """Sinks: idempotent micro-batch writers, archive, dead letter, upserts, logs.
 
-All paths are in shared storage (the checkpoint folder's parent or a table
-location). Micro-batch writes go to ``batch_id=<n>`` folders in overwrite
-mode, so a retried batch replaces its own output instead of appending twice.
+All paths are in shared storage (a table location, or a folder beside the
+checkpoints). A retried micro-batch replaces its own folders.
 """
 
 from __future__ import annotations
@@ -10,7 +9,8 @@ from __future__ import annotations
 import os
 from collections.abc import Callable, Mapping
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from orderflow.session import ensure_checkpoint_dir
@@ -21,41 +21,26 @@ def shared_path(spark: SparkSession, *parts: str) -> str:
     return os.path.join(ensure_checkpoint_dir(spark), *parts)
 
 
-def write_batch(df: DataFrame, path: str, batch_id: int, partition_by: tuple[str, ...] = ()) -> None:
-    """Overwrite ``path/batch_id=<n>``: a replayed micro-batch is idempotent."""
-    w = df.write.mode("overwrite")
-    if partition_by:
-        w = w.partitionBy(*partition_by)
-    w.parquet(os.path.join(path, f"batch_id={batch_id}"))
+def write_partitions(df: DataFrame, path: str, batch_id: int, by: tuple[str, ...] = ("order_date",)) -> None:
+    """Write one batch under ``path/<date>/batch_id=<n>``: dates first, so a filter on the
+    date lists only its folders. A repeated batch replaces its own folders."""
+    (df.withColumn("batch_id", F.lit(batch_id).cast("long")).write.mode("overwrite")
+       .option("partitionOverwriteMode", "dynamic").partitionBy(*by, "batch_id").parquet(path))
 
 
-def fan_out(targets: Mapping[str, Callable[[DataFrame], DataFrame]], root: str,
-            partition_by: Mapping[str, tuple[str, ...]] | None = None):
-    """``foreachBatch`` function writing several derived frames of one batch.
+def read_table(spark: SparkSession, path: str) -> DataFrame:
+    """All batches written by ``write_partitions``."""
+    return spark.read.parquet(path).withColumn("batch_id", F.col("batch_id").cast("long"))
 
-    The batch is persisted once, so every sink reads the same rows and the
-    upstream plan (including Kafka reads) runs once per batch.
-    """
-    partition_by = dict(partition_by or {})
 
-    def run(batch: DataFrame, batch_id: int) -> None:
-        batch.persist()
-        try:
-            for name, derive in targets.items():
-                write_batch(derive(batch), os.path.join(root, name), batch_id, partition_by.get(name, ()))
-        finally:
-            batch.unpersist()
-    return run
-
-
-def read_sink(spark: SparkSession, path: str) -> DataFrame:
-    """All batches written by ``write_batch`` (batch_id becomes a column)."""
-    return spark.read.option("basePath", path).parquet(os.path.join(path, "batch_id=*"))
-
-
-def archive(df: DataFrame, path: str, date_col: str = "order_date") -> None:
-    """Append to a date-partitioned Parquet archive (prunes on date filters)."""
-    df.write.mode("append").partitionBy(date_col).parquet(path)
+def read_table_or_none(spark: SparkSession, path: str, where: Column) -> DataFrame | None:
+    """The rows that match, or None if nothing has been written there yet."""
+    try:
+        return read_table(spark, path).filter(where)
+    except AnalysisException as e:
+        if e.getCondition() in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
+            return None
+        raise
 
 
 def upsert_latest(existing: DataFrame, incoming: DataFrame, keys: list[str], order_col: str) -> DataFrame:
@@ -75,14 +60,8 @@ def append_log(df: DataFrame, path: str) -> None:
 
 
 def reference_sample(df: DataFrame, key: str, n: int = 5000) -> DataFrame:
-    """Deterministic n-row sample: the n smallest ``xxhash64(key)`` values."""
-    return df.orderBy(F.xxhash64(F.col(key)), F.col(key)).limit(n)
-
-
-def seeded_sample(df: DataFrame, key: str, fraction: float, seed: int = 42) -> DataFrame:
-    """Deterministic Bernoulli sample by hashing the key with a seed."""
-    h = F.abs(F.xxhash64(F.col(key), F.lit(seed))) % 1_000_000
-    return df.filter(h < F.lit(int(round(fraction * 1_000_000))))
+    """Deterministic sample of ``n`` rows: those whose key has the smallest MD5."""
+    return df.orderBy(F.md5(F.col(key).cast("string").cast("binary")), F.col(key)).limit(n)
 
 
 def materialize_views(builders: Mapping[str, Callable[[], DataFrame]], tables: tuple[str, ...],

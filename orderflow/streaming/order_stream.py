@@ -1,18 +1,24 @@
 """The order stream as one Structured Streaming query.
 
-decode -> guard split. Valid orders: 1-minute event-time watermark -> drop
-re-sent orders within the watermark -> one stateful aggregation per
-(1-minute window sliding by 30 s, user): the count plus the window's orders
--> explode back to (order, window) rows. Rejected orders bypass the state.
-Both branches are unioned, and one ``foreachBatch`` fan-out writes the
-operational table, the archive and the dead-letter sink.
-
-The guard runs before the watermark, so a far-future timestamp is rejected
-instead of pushing the watermark forward and dropping every later order as
-late. An order lies in two sliding windows, so it is emitted twice (once as
-each window closes). The operational table is keyed by (order_id,
-window_start), and staging keeps the larger count per order. State per group
-is bounded by one user's orders in one window, and the watermark evicts it.
+decode -> one ``foreachBatch`` that judges, accepts, scores and writes. What has
+to be remembered between batches is in tables of the shared folder, each of
+them partitioned by date, then batch:
+
+* ``accepted``: every accepted order once. An order that repeats an accepted one
+  within 24 hours is dropped; the look-up reads the last day's partitions only.
+* ``progress``: the newest event time of each batch. Orders more than a minute
+  older than the newest one of earlier batches are late.
+* ``processed``: scored orders whose sliding windows are closed (the archive).
+* ``open``: scored orders of windows that are still open, written anew by every
+  batch with the counts so far.
+* ``dead_letter``: rejected and late orders with the reason.
+
+An order is in ``processed`` or in ``open``, never in both, so table and archive
+hold it once. Its velocity is the larger count of the two 1-minute windows
+(sliding by 30 s) that hold it. Every write replaces the partitions of its own
+batch and reads only earlier ones, so a repeated batch changes nothing. Users
+and addresses are hashed before any scored order or dead letter is written;
+``accepted`` keeps no more than the last day needs and is not an output.
 """
 
 from __future__ import annotations
@@ -24,43 +30,31 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from orderflow.functions import rules
+from orderflow.functions.scalars import one_row
 from orderflow.operators import staging as stg_ops
+from orderflow.operators.velocity import attach_sliding_velocity
 from orderflow.sources import ingest, sinks
 
 WATERMARK = "1 minute"
 WINDOW = "1 minute"
 SLIDE = "30 seconds"
+LATE_US, SLIDE_US, WINDOW_US = 60_000_000, 30_000_000, 60_000_000
+REPEAT_US = 24 * 3_600_000_000
+MISSING, LATE = "MISSING_FIELD", "LATE"
 
 
 def guard(now: Column | None = None) -> Column:
     """Stream guard; ``now`` defaults to the processing clock."""
-    return stg_ops.guard_condition(now if now is not None else F.current_timestamp())
-
-
-def windowed_orders(valid: DataFrame, dedupe: bool = True) -> DataFrame:
-    """(order, window) rows with the window's count of orders by the user."""
-    wm = valid.withWatermark("timestamp", WATERMARK)
-    if dedupe:
-        wm = wm.dropDuplicatesWithinWatermark(["order_id"])
-    order = F.struct(*[F.col(c) for c in valid.columns])
-    agg = (wm.groupBy(F.window("timestamp", WINDOW, SLIDE).alias("window"), F.col("user_id"))
-             .agg(F.count(F.lit(1)).cast("int").alias("orders_per_user_1m"),
-                  F.collect_list(order).alias("orders")))
-    rows = agg.select("window", "orders_per_user_1m", F.explode("orders").alias("o"))
-    return rows.select("o.*", F.col("window.start").alias("window_start"),
-                       F.col("window.end").alias("window_end"), "orders_per_user_1m")
-
-
-def stream_plan(decoded: DataFrame, now: Column | None = None, dedupe: bool = True) -> DataFrame:
-    """Valid (windowed) and rejected rows in one stream, tagged by ``route``."""
-    ok = guard(now)
-    valid = windowed_orders(decoded.filter(ok), dedupe).withColumn("route", F.lit("valid"))
-    rejected = (decoded.filter(~ok)
-                .withColumn("window_start", F.lit(None).cast("timestamp"))
-                .withColumn("window_end", F.lit(None).cast("timestamp"))
-                .withColumn("orders_per_user_1m", F.lit(None).cast("int"))
-                .withColumn("route", F.lit("rejected")))
-    return valid.unionByName(rejected)
+    return reject_reason(now).isNull()
+
+
+def reject_reason(now: Column | None = None) -> Column:
+    """Why an order can't be processed: the guard's reasons, then a missing required field; else null."""
+    missing = F.lit(False)
+    for field in ingest.REQUIRED_FIELDS:
+        missing = missing | F.col(field).isNull()
+    valid = stg_ops.guard_condition(now if now is not None else F.current_timestamp())
+    return F.when(~valid, stg_ops.guard_reason()).when(missing, F.lit(MISSING))
 
 
 def score_struct() -> Column:
@@ -85,68 +79,118 @@ def scored(valid_rows: DataFrame) -> DataFrame:
     return masked.withColumn("fraud_res", score_struct()).select("*", "fraud_res.*").drop("fraud_res")
 
 
-def reject_reason() -> Column:
-    return (F.when(~F.coalesce((F.col("amount") > 0) & (F.col("amount") < 100000), F.lit(False)),
-                   stg_ops.REJECT_REASONS[0])
-            .when(F.col("user_id").isNull(), stg_ops.REJECT_REASONS[1])
-            .otherwise(stg_ops.REJECT_REASONS[2]))
+def first_in_a_day(valid: DataFrame, accepted: DataFrame | None) -> DataFrame:
+    """Orders that repeat no accepted order of the 24 hours before them.
+
+    Of rows with one id and time one is kept. Times of an id are walked in
+    order: a time is accepted a day or more after the last accepted one.
+    """
+    rest = [c for c in valid.columns if c not in ("order_id", "timestamp")]
+    once = (valid.groupBy("order_id", "timestamp").agg(F.max_by(F.struct(*rest), F.xxhash64(*rest)).alias("__r"))
+            .select("order_id", "timestamp", "__r.*").select(*valid.columns))
+    times = once.groupBy("order_id").agg(F.array_sort(F.collect_list(F.unix_micros("timestamp"))).alias("times"))
+    if accepted is None:
+        times = times.withColumn("last", F.lit(None).cast("long"))
+    else:
+        last = accepted.groupBy("order_id").agg(F.max(F.unix_micros("timestamp")).alias("last"))
+        times = times.join(last, "order_id", "left")
+    before = F.when(F.col("last").isNull(), F.array().cast("array<bigint>")).otherwise(F.array("last"))
+    far = lambda acc, t: F.when((F.size(acc) == 0) | (t >= F.try_element_at(acc, F.lit(-1)) + REPEAT_US), F.concat(acc, F.array(t))).otherwise(acc)
+    taken = F.aggregate("times", before, far)
+    taken = F.filter(taken, lambda t: F.col("last").isNull() | (t != F.col("last")))
+    kept = times.select("order_id", F.explode(taken).alias("__us"))
+    return (once.withColumn("__us", F.unix_micros("timestamp")).join(kept, ["order_id", "__us"], "left_semi").drop("__us"))
 
 
 @dataclass
 class StreamOutputs:
     root: str
-    processed: str
-    dead_letter: str
-    archive: str
-
-
-def fan_out_sinks(root: str):
-    out = StreamOutputs(root, os.path.join(root, "processed"), os.path.join(root, "dead_letter"),
-                        os.path.join(root, "archive"))
 
-    def processed(b: DataFrame) -> DataFrame:
-        return scored(b.filter(F.col("route") == "valid").drop("route"))
-
-    def dead_letter(b: DataFrame) -> DataFrame:
-        rej = b.filter(F.col("route") == "rejected").drop("route", "window_start", "window_end",
-                                                           "orders_per_user_1m")
-        return rej.withColumn("reject_reason", reject_reason())
-
-    def archive(b: DataFrame) -> DataFrame:
-        return processed(b).withColumn("order_date", F.to_date("timestamp"))
-
-    fn = sinks.fan_out({"processed": processed, "dead_letter": dead_letter, "archive": archive}, root,
-                       partition_by={"archive": ("order_date",)})
-    return out, fn
+    def __post_init__(self):
+        self.accepted, self.progress = os.path.join(self.root, "accepted"), os.path.join(self.root, "progress")
+        self.processed, self.open = os.path.join(self.root, "processed"), os.path.join(self.root, "open")
+        self.dead_letter = os.path.join(self.root, "dead_letter")
+
+    def archive_rows(self, spark: SparkSession) -> DataFrame:
+        """Scored orders of closed windows, by order_date and batch_id."""
+        return sinks.read_table(spark, self.processed)
+
+    def table_rows(self, spark: SparkSession) -> DataFrame:
+        """The operational table: every accepted order once."""
+        return self.archive_rows(spark).unionByName(spark.read.parquet(self.open))
+
+    def dead_rows(self, spark: SparkSession) -> DataFrame:
+        return sinks.read_table(spark, self.dead_letter)
+
+
+def window_end_us() -> Column:
+    """When the last window that holds an order ends (epoch microseconds)."""
+    return (F.floor(F.unix_micros("timestamp") / F.lit(SLIDE_US)) + 2) * SLIDE_US
+
+
+def process_batch(batch: DataFrame, batch_id: int, out: StreamOutputs, now: Column | None = None) -> None:
+    """One micro-batch: judge, accept, score, write. Repeating it writes the same."""
+    spark = batch.sparkSession
+    before = sinks.read_table_or_none(spark, out.progress, F.col("batch_id") < batch_id)
+    newest = one_row(before.agg(F.max("newest_us").alias("us"))).us if before is not None else None
+    mark = None if newest is None else newest - LATE_US
+    batch = batch.persist()         # read once from the source; lost blocks are read again
+    try:
+        reason = reject_reason(now)
+        if mark is not None:
+            reason = F.coalesce(reason, F.when(F.unix_micros("timestamp") < mark, F.lit(LATE)))
+        judged = batch.withColumn("reject_reason", reason)
+        dead = stg_ops.mask_pii(judged.filter(F.col("reject_reason").isNotNull()))
+        sinks.write_partitions(dead.withColumn("order_date", F.to_date("timestamp")), out.dead_letter, batch_id)
+
+        valid = judged.filter(F.col("reject_reason").isNull()).drop("reject_reason")
+        known = None
+        if mark is not None:
+            since = F.timestamp_micros(F.lit(mark - REPEAT_US))
+            known = sinks.read_table_or_none(spark, out.accepted, (F.col("batch_id") < batch_id) & (F.col("order_date") >= F.to_date(since)) & (F.col("timestamp") >= since))
+        accepted = first_in_a_day(valid, known).withColumn("order_date", F.to_date("timestamp"))
+        sinks.write_partitions(accepted, out.accepted, batch_id)
+        here = one_row(valid.agg(F.max(F.unix_micros("timestamp")).alias("us"))).us
+    finally:
+        batch.unpersist()
+    newest = max((x for x in (newest, here) if x is not None), default=None)
+    sinks.write_partitions(spark.range(1).select(F.lit(newest).cast("long").alias("newest_us")), out.progress, batch_id, by=())
+    if newest is None:
+        return
+
+    # Orders whose last window has closed since the batch before, and those still open.
+    rows = sinks.read_table_or_none(spark, out.accepted, F.col("batch_id") <= batch_id)
+    if rows is None:
+        return
+    if mark is not None:
+        since = F.timestamp_micros(F.lit(mark - 2 * WINDOW_US))
+        rows = rows.filter((F.col("order_date") >= F.to_date(since)) & (F.col("timestamp") >= since))
+    counted = scored(attach_sliding_velocity(rows.drop("batch_id")))
+    if mark is not None:
+        counted = counted.filter(window_end_us() > mark)
+    closed = window_end_us() <= newest - LATE_US
+    sinks.write_partitions(counted.filter(closed), out.processed, batch_id)
+    counted.filter(~closed).withColumn("batch_id", F.lit(batch_id).cast("long")).write.mode("overwrite").parquet(out.open)
 
 
 def run_available(spark: SparkSession, source_path: str, root: str, now: Column | None = None,
-                  dedupe: bool = True) -> StreamOutputs:
+                  max_files_per_trigger: int | None = None) -> StreamOutputs:
     """Process everything currently in ``source_path`` and stop (replays, tests).
 
     Restarting with the same ``root`` resumes from its checkpoint: files
     already processed are not read again.
     """
-    decoded = ingest.decode_orders(ingest.file_order_stream(spark, source_path))
-    rows = stream_plan(decoded, now, dedupe)
-    out, fn = fan_out_sinks(root)
-    q = (rows.writeStream.outputMode("append")
+    out = StreamOutputs(root)
+    decoded = ingest.decode_orders(ingest.file_order_stream(spark, source_path, max_files_per_trigger))
+    q = (decoded.writeStream
          .option("checkpointLocation", os.path.join(root, "_checkpoint"))
-         .foreachBatch(fn)
+         .foreachBatch(lambda batch, batch_id: process_batch(batch, batch_id, out, now))
          .trigger(availableNow=True)
          .start())
     q.awaitTermination()
     return out
 
 
-def resolve_velocity(processed_rows: DataFrame) -> DataFrame:
-    """One row per order: the larger count of its two windows (grouped max)."""
-    drop = {"orders_per_user_1m", "window_start", "window_end", "batch_id",
-            "is_fraud", "fraud_score", "risk_level", "reasoning"}
-    keys = [c for c in processed_rows.columns if c not in drop]
-    return processed_rows.groupBy(*keys).agg(F.max("orders_per_user_1m").alias("orders_per_user_1m"))
-
-
 def sliding_counts_stream(decoded: DataFrame) -> DataFrame:
     """The velocity aggregate alone (append mode, closed windows only)."""
     return (decoded.withWatermark("timestamp", WATERMARK)
