@@ -113,14 +113,19 @@ class StreamOutputs:
 
     def archive_rows(self, spark: SparkSession) -> DataFrame:
         """Scored orders of closed windows, by order_date and batch_id."""
-        return sinks.read_table(spark, self.processed)
+        closed = sinks.read_table_or_none(spark, self.processed, F.lit(True))
+        return closed if closed is not None else spark.read.parquet(self.open).limit(0)
 
     def table_rows(self, spark: SparkSession) -> DataFrame:
         """The operational table: every accepted order once."""
         return self.archive_rows(spark).unionByName(spark.read.parquet(self.open))
 
     def dead_rows(self, spark: SparkSession) -> DataFrame:
-        return sinks.read_table(spark, self.dead_letter)
+        dead = sinks.read_table_or_none(spark, self.dead_letter, F.lit(True))
+        if dead is not None:
+            return dead
+        none = ingest.decode_orders(spark.createDataFrame([], "value string")).withColumn("reject_reason", F.lit(None).cast("string"))
+        return none.withColumns({"order_date": F.to_date("timestamp"), "batch_id": F.lit(None).cast("long")})
 
 
 def window_end_us() -> Column:

@@ -1,40 +1,128 @@
-"""The order stream replayed from JSON-lines files equals the batch plan on
-closed windows; restarting from the checkpoint reads nothing twice."""
+"""The order stream over JSON-lines files: repeats, late and incomplete orders,
+repeated batches, several batches against one, restart."""
 
 from __future__ import annotations
 
+import datetime as dt
+import json
 import os
-import tempfile
 
+import pytest
 from pyspark.sql import functions as F
 
 from orderflow.operators.velocity import attach_sliding_velocity
 from orderflow.plans.context import OrderContext
-from orderflow.sources import ingest, sinks
+from orderflow.sources import ingest
 from orderflow.streaming import order_stream
 
 from conftest import SF_SMALL
 
+NOON = dt.datetime(2024, 3, 1, 12)
 
-def test_stream_matches_batch(spark):
-    ctx = OrderContext(spark, SF_SMALL)
-    root = tempfile.mkdtemp(prefix="orderflow-stream-")
-    src = os.path.join(root, "source")
-    ingest.encode_orders(ctx.raw).write.text(src)
+
+def order(order_id="A", at=0.0, user="u1", **change):
+    """A wire-format order ``at`` minutes after noon."""
+    row = {"order_id": order_id, "user_id": user, "product_id": "P", "product_name": "thing", "category": "c", "amount": 20.0, "quantity": 1,
+           "payment_method": "UPI", "ip_address": "10.0.0.1", "device_type": "mobile", "location_mismatch": 0,
+           "timestamp": (NOON + dt.timedelta(minutes=at)).isoformat(timespec="microseconds")}
+    return {k: v for k, v in (row | change).items() if v is not None}
+
+
+class Replay:
+    """Feeds batches, one file each, to the stream of one folder."""
+
+    def __init__(self, spark, folder):
+        self.spark, self.source, self.root, self.n = spark, folder / "in", folder / "out", 0
+        os.makedirs(self.source)
+
+    def feed(self, *orders):
+        (self.source / f"{self.n:04}.json").write_text("".join(json.dumps(o) + "\n" for o in orders))
+        self.n += 1
+        return order_stream.run_available(self.spark, str(self.source), str(self.root), max_files_per_trigger=1)
+
+    def table(self):
+        out = order_stream.StreamOutputs(str(self.root))
+        return sorted((r.order_id, round((r.timestamp - NOON).total_seconds() / 60, 2), r.orders_per_user_1m) for r in out.table_rows(self.spark).collect())
+
+    def dead(self):
+        out = order_stream.StreamOutputs(str(self.root))
+        return sorted((r.order_id or "", r.reject_reason) for r in out.dead_rows(self.spark).collect())
+
+
+@pytest.fixture
+def replay(spark, tmp_path):
+    return Replay(spark, tmp_path)
+
+
+def test_repeats_within_24_hours_are_dropped(replay):
+    replay.feed(order("A"), order("A"), order("A", 0.1))
+    replay.feed(order("B", 5))
+    replay.feed(order("A", 6), order("C", 7))
+    assert replay.table() == [("A", 0, 1), ("B", 5, 1), ("C", 7, 1)]
+    replay.feed(order("A", 25 * 60), order("A", 25 * 60 + 1))
+    assert replay.table() == [("A", 0, 1), ("A", 1500, 1), ("B", 5, 1), ("C", 7, 1)]
+
+
+def test_late_and_incomplete_orders_reach_the_dead_letter(replay):
+    replay.feed(order("A", 60))
+    replay.feed(order("L", 0), order("B", 59.5), order("M", 61, category=None), order("N", 61, user=None), order("X", 61, amount=-1.0),
+                order("T", 61, timestamp="soon"), order(None, 61))
+    assert replay.dead() == [("", "MISSING_FIELD"), ("L", "LATE"), ("M", "MISSING_FIELD"), ("N", "NULL_USER"), ("T", "NULL_OR_FUTURE_TIMESTAMP"), ("X", "NULL_OR_BAD_AMOUNT")]
+    assert [r[0] for r in replay.table()] == ["A", "B"]
+
+
+def test_no_clear_user_or_address_is_written(replay, spark):
+    out = replay.feed(order("A"), order("X", amount=-1.0))
+    for rows in (out.table_rows(spark), out.dead_rows(spark)):
+        for r in rows.collect():
+            assert len(r.user_id) == 64 and len(r.ip_address) == 64 and "u1" not in r.user_id
+
+
+def test_a_repeated_batch_changes_nothing(replay, spark):
+    replay.feed(order("A"), order("B", 0.2))
+    out = replay.feed(order("C", 3), order("A", 3.1), order("L", -30))
+    before = replay.table(), replay.dead()
+    batch = ingest.decode_orders(spark.read.text(str(replay.source / "0001.json")))
+    order_stream.process_batch(batch, 1, out)
+    order_stream.process_batch(batch, 1, out)
+    assert (replay.table(), replay.dead()) == before
+    replay.feed(order("D", 9))
+    assert [r[0] for r in replay.table()] == ["A", "B", "C", "D"]
+
+
+def test_several_batches_equal_one(replay, spark, tmp_path):
+    rows = [order(f"o{i}", i * 0.13, user=f"u{i % 3}") for i in range(60)]
+    for a in range(0, 60, 13):
+        replay.feed(*rows[a : a + 13])
+    os.makedirs(tmp_path / "one")
+    alone = Replay(spark, tmp_path / "one")
+    alone.feed(*rows)
+    assert replay.table() == alone.table()
+    decoded = ingest.decode_orders(spark.read.text(str(alone.source)))
+    batch = attach_sliding_velocity(decoded.select("order_id", "user_id", "timestamp"))
+    assert sorted((r.order_id, r.orders_per_user_1m) for r in batch.collect()) == [(i, n) for i, _, n in alone.table()]
+    out = order_stream.StreamOutputs(str(replay.root))
+    archive = {r.order_id for r in out.archive_rows(spark).collect()}
+    still_open = {r.order_id for r in spark.read.parquet(out.open).collect()}
+    assert not archive & still_open and archive | still_open == {r["order_id"] for r in rows}
+
+
+def test_date_filter_reads_only_its_folders(replay, spark):
+    replay.feed(order("A"), order("B", 24 * 60 + 30), order("C", 3 * 24 * 60))
+    out = replay.feed(order("D", 4 * 24 * 60))
+    rows = out.archive_rows(spark).filter(F.col("order_date") == F.to_date(F.lit("2024-03-02")))
+    assert "PartitionFilters: [isnotnull(order_date" in rows._jdf.queryExecution().executedPlan().toString()
+    assert [r.order_id for r in rows.collect()] == ["B"]
+
+
+def test_fixture_replay_and_restart(spark, tmp_path):
+    raw = OrderContext(spark, SF_SMALL).raw
+    src, root = str(tmp_path / "source"), str(tmp_path / "root")
+    ingest.encode_orders(raw).write.text(src)
     out = order_stream.run_available(spark, src, root)
-    rows = sinks.read_sink(spark, out.processed)
-    streamed = order_stream.resolve_velocity(rows.drop("batch_id", "user_id_masked")) \
-        .select("order_id", "timestamp", "orders_per_user_1m")
-    # Batch reference on the same (deduplicated) valid orders, with the stream's own guard.
-    decoded = ingest.decode_orders(ingest.encode_orders(ctx.raw))
-    valid = decoded.filter(order_stream.guard()).dropDuplicates(["order_id"])
-    batch = attach_sliding_velocity(valid.select("order_id", "user_id", "timestamp"))
-    closed = streamed.agg(F.max("timestamp")).first()[0]
-    b = {(r.order_id, r.orders_per_user_1m) for r in batch.filter(F.col("timestamp") <= closed).collect()}
-    s = {(r.order_id, r.orders_per_user_1m) for r in streamed.collect()}
-    assert s and s <= b and len(b - s) <= 5
-    dead = sinks.read_sink(spark, out.dead_letter)
-    assert dead.count() == decoded.filter(~order_stream.guard()).count()
-    n1 = rows.count()
+    decoded = ingest.decode_orders(ingest.encode_orders(raw))
+    valid = decoded.filter(order_stream.guard()).select("order_id").distinct().count()
+    assert out.table_rows(spark).count() == out.table_rows(spark).select("order_id").distinct().count() == valid
+    assert out.dead_rows(spark).count() == decoded.filter(~order_stream.guard()).count()
     order_stream.run_available(spark, src, root)
-    assert sinks.read_sink(spark, out.processed).count() == n1
+    assert out.table_rows(spark).count() == valid
