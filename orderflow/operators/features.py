@@ -8,12 +8,15 @@ statistics are aggregates joined back by key.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DecimalType
 
 from orderflow.functions.scalars import one_row
 from orderflow.functions.timeparts import is_late_night_model
+from orderflow.operators.common import join_null_safe
 from orderflow.session import cut_lineage
 from orderflow.operators.ranking import attach_pct_rank, cumulative_by_value, global_position
 from orderflow.operators.stats import quantiles_of_counts
@@ -66,14 +69,25 @@ def chrono_split(df: DataFrame, ts_col: str = "order_timestamp", key: str = "ord
     return pos.withColumn("split", F.when(F.col("__pos") < cut, "train").otherwise("test")).drop("__us", "__pos")
 
 
-def label_dictionary(train: DataFrame, col: str) -> DataFrame:
-    """Sorted distinct values -> 0-based index (a categorical's dictionary).
+def label_dictionary(train: DataFrame, cols: Sequence[str]) -> DataFrame:
+    """(field, label, code): the sorted distinct values of each column, numbered from 0.
 
-    Numbered by a range-partitioned global position, so even a high-cardinality
-    column is never ordered in one task.
+    One global position over (field, label) serves all columns, so neither many
+    columns nor a high-cardinality one is ordered in one task.
     """
-    distinct = train.select(F.col(col).cast("string").alias(col)).filter(F.col(col).isNotNull()).distinct()
-    return global_position(distinct, [col], f"{col}_enc").withColumn(f"{col}_enc", F.col(f"{col}_enc").cast("int"))
+    labels = train.select(*[F.col(c).cast("string").alias(c) for c in cols]).unpivot([], list(cols), "field", "label")
+    placed = global_position(labels.filter(F.col("label").isNotNull()).distinct(), ["field", "label"], "__at")
+    first = placed.groupBy("field").agg(F.min("__at").alias("__first"))
+    return placed.join(first, "field").select("field", "label", (F.col("__at") - F.col("__first")).cast("int").alias("code"))
+
+
+def label_encode(frame: DataFrame, dictionary: DataFrame, cols: Sequence[str]) -> DataFrame:
+    """Adds ``<col>_enc``; a value that the dictionary lacks (unseen in train) and NULL are -1."""
+    for c in cols:
+        codes = dictionary.filter(F.col("field") == c).select(F.col("label").alias(f"__{c}"), F.col("code").alias(f"{c}_enc"))
+        frame = frame.join(codes, F.col(c).cast("string") == F.col(f"__{c}"), "left").drop(f"__{c}")
+        frame = frame.withColumn(f"{c}_enc", F.coalesce(f"{c}_enc", F.lit(-1)))
+    return frame
 
 
 def user_amount_stats(train: DataFrame, user: str = "user_id", amount: str = "order_amount") -> DataFrame:
@@ -84,17 +98,32 @@ def user_amount_stats(train: DataFrame, user: str = "user_id", amount: str = "or
     ).withColumn("__u_std", F.when(F.col("__u_std") == 0, F.lit(1.0)).otherwise(F.col("__u_std")))
 
 
-def amount_zscore(frame: DataFrame, stats: DataFrame, split_stats: DataFrame,
+def amount_zscore(frame: DataFrame, stats: DataFrame, mean: float | None, std: float | None,
                   user: str = "user_id", amount: str = "order_amount") -> DataFrame:
-    """(amount - user mean) / user std; users unseen in train use the split's
+    """(amount - user mean) / user std; users unseen in train use the train rows'
     own mean and std; NULL -> 0."""
-    j = frame.join(stats, user, "left").join(F.broadcast(split_stats), "split", "left")
-    mean = F.coalesce(F.col("__u_mean"), F.col("__g_mean"))
-    std = F.coalesce(F.col("__u_std"), F.col("__g_std"))
-    std = F.when(std == 0, F.lit(1.0)).otherwise(std)
-    z = (F.col(amount).cast("double") - mean) / std
-    return j.withColumn("amount_zscore_user", F.coalesce(z, F.lit(0.0))).drop(
-        "__u_mean", "__u_std", "__g_mean", "__g_std")
+    j = frame.join(stats, user, "left")
+    middle = F.coalesce(F.col("__u_mean"), F.lit(mean).cast("double"))
+    width = F.coalesce(F.col("__u_std"), F.lit(std).cast("double"))
+    z = (F.col(amount).cast("double") - middle) / F.when(width == 0, F.lit(1.0)).otherwise(width)
+    return j.withColumn("amount_zscore_user", F.coalesce(z, F.lit(0.0))).drop("__u_mean", "__u_std")
+
+
+def train_amount_stats(train: DataFrame, amount: str = "order_amount") -> tuple[float | None, float | None]:
+    """Mean and sample deviation (one row: 1) of all train amounts."""
+    a = F.col(amount).cast("double")
+    row = one_row(train.agg(F.avg(a).alias("mean"), F.coalesce(F.stddev_samp(a), F.lit(1.0)).alias("std")))
+    return row.mean, row.std
+
+
+def pct_rank_of_train(frame: DataFrame, amount: str = "order_amount", out_col: str = "amount_pct_rank_train") -> DataFrame:
+    """Percent rank of every row's amount among the train rows' amounts: the share of them that
+    is smaller, with half of those that are equal. No split ranks itself."""
+    is_train = (F.col("split") == "train").cast("int")
+    counts = cumulative_by_value(frame.select("split", amount), [], amount, {"t": is_train}, descending=False)
+    rank = (F.col("t_beyond") * 2 + F.col("t_eq")).cast("double") / (F.col("t_total") * 2).cast("double")
+    ranked = join_null_safe(frame, counts.select(amount, rank.alias(out_col)), [amount], "left")
+    return ranked.withColumn(out_col, F.coalesce(out_col, F.lit(0.5)))
 
 
 def engineer(tx: DataFrame) -> DataFrame:
@@ -102,23 +131,15 @@ def engineer(tx: DataFrame) -> DataFrame:
 
     ``tx`` needs: order_id, user_id, order_amount, order_timestamp,
     orders_per_user_1m, location_mismatch, device_type, account_age_days,
-    ip_address, is_fraud.
+    shipping_address, checkout_seconds, is_fraud.
     """
     # The split frame feeds eight statistics; its rows are checkpointed where
     # they are numbered, so none of them runs the upstream pipeline again.
     df = chrono_split(tx)
     train = df.filter(F.col("split") == "train")
 
-    dev_dict = label_dictionary(train, "device_type")
-    df = (df.withColumn("device_type", F.col("device_type").cast("string"))
-            .join(dev_dict, "device_type", "left")
-            .withColumn("device_type_enc", F.coalesce(F.col("device_type_enc"), F.lit(-1))))
-
-    # Split-level figures: two rows, a bounded broadcast.
-    split_stats = df.groupBy("split").agg(
-        F.avg(F.col("order_amount").cast("double")).alias("__g_mean"),
-        F.coalesce(F.stddev_samp(F.col("order_amount").cast("double")), F.lit(1.0)).alias("__g_std"))
-    df = amount_zscore(df, user_amount_stats(train), split_stats)
+    df = label_encode(df, label_dictionary(train, ["device_type"]), ["device_type"])
+    df = amount_zscore(df, user_amount_stats(train), *train_amount_stats(train))
 
     us = df.withColumn("__us", F.unix_micros("order_timestamp"))
     df = trailing_count(us, ["split", "user_id"], "__us", HOUR_US - 1, "orders_per_user_last_hour").drop("__us")
@@ -130,9 +151,9 @@ def engineer(tx: DataFrame) -> DataFrame:
     train_counts = counts.filter(F.col("split") == "train")
     high = quantiles_of_counts(train_counts, [], "order_amount", [HIGH_VALUE_QUANTILE]).collect()  # one row, or none without train rows
     p95 = F.lit(high[0].quantile if high else None).cast("double")
-    fraud_addresses = train.filter(F.col("is_fraud")).select("ip_address").distinct() \
+    fraud_addresses = train.filter(F.col("is_fraud")).select("shipping_address").distinct() \
                            .withColumn("known_fraud_address", F.lit(1))
-    df = df.join(fraud_addresses, "ip_address", "left")
+    df = df.join(fraud_addresses, "shipping_address", "left")
 
     amount = F.col("order_amount").cast("double")
     hour = F.hour("order_timestamp")
@@ -153,7 +174,7 @@ def engineer(tx: DataFrame) -> DataFrame:
         (F.col("account_age_days") < NEW_USER_DAYS).cast("int").alias("is_new_user"),
         hour.cast("int").alias("order_hour"),
         is_late_night_model(hour).alias("is_late_night"),
-        F.lit(0).alias("fast_checkout"),
+        F.coalesce(F.col("checkout_seconds") < FAST_CHECKOUT_SECONDS, F.lit(False)).cast("int").alias("fast_checkout"),
         high_value.alias("is_high_value"),
         F.coalesce(F.col("known_fraud_address"), F.lit(0)).cast("int").alias("known_fraud_address"),
         (velocity * amount).alias("velocity_amount_interaction"),

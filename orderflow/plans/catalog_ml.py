@@ -27,14 +27,14 @@ def R6(x: str) -> str:
 
 
 def transactions(ctx: OrderContext) -> DataFrame:
-    return stg_ops.staging_orders(ctx.processed, extra=("account_age_days", "ip_address"))
+    return stg_ops.staging_orders(ctx.processed, extra=("account_age_days", "shipping_address", "checkout_seconds", "payment_method"))
 
 
 def feature_frame(ctx: OrderContext) -> DataFrame:
     return features.engineer(transactions(ctx))
 
 
-STG_FEAT = O.staging("account_age_days, ip_address")
+STG_FEAT = O.staging("account_age_days, shipping_address, checkout_seconds, payment_method")
 
 SPLIT_CTE = STG_FEAT + """, sp AS (
   SELECT *, CASE WHEN ROW_NUMBER() OVER (ORDER BY epoch_us(order_timestamp), order_id) - 1
@@ -51,13 +51,11 @@ FEAT_CTE = SPLIT_CTE + """, dev AS (
               ELSE coalesce(stddev_samp(CAST(order_amount AS DOUBLE)), 1.0) END AS u_std
   FROM tr GROUP BY user_id
 ), gs AS (
-  SELECT split, avg(CAST(order_amount AS DOUBLE)) AS g_mean,
-         coalesce(stddev_samp(CAST(order_amount AS DOUBLE)), 1.0) AS g_std
-  FROM sp GROUP BY split
+  SELECT avg(CAST(order_amount AS DOUBLE)) AS g_mean, coalesce(stddev_samp(CAST(order_amount AS DOUBLE)), 1.0) AS g_std FROM tr
 ), p95 AS (
   SELECT quantile_cont(CAST(order_amount AS DOUBLE), 0.95) AS v FROM tr
 ), kfa AS (
-  SELECT DISTINCT ip_address FROM tr WHERE is_fraud
+  SELECT DISTINCT shipping_address FROM tr WHERE is_fraud
 ), f0 AS (
   SELECT sp.*, coalesce(dev.device_type_enc, -1) AS dte,
          coalesce((CAST(sp.order_amount AS DOUBLE) - coalesce(us.u_mean, gs.g_mean))
@@ -67,17 +65,17 @@ FEAT_CTE = SPLIT_CTE + """, dev AS (
          CAST(2 * (RANK() OVER (PARTITION BY sp.split ORDER BY sp.order_amount) - 1)
               + count(*) OVER (PARTITION BY sp.split, sp.order_amount) + 1 AS DOUBLE)
            / CAST(2 * count(*) OVER (PARTITION BY sp.split) AS DOUBLE) AS pr,
-         CASE WHEN kfa.ip_address IS NOT NULL THEN 1 ELSE 0 END AS kf,
+         CASE WHEN kfa.shipping_address IS NOT NULL THEN 1 ELSE 0 END AS kf,
          CASE WHEN CAST(sp.order_amount AS DOUBLE) > (SELECT v FROM p95) THEN 1 ELSE 0 END AS hv
   FROM sp LEFT JOIN dev ON CAST(sp.device_type AS VARCHAR) = dev.device_type
-          LEFT JOIN us USING (user_id) LEFT JOIN gs USING (split) LEFT JOIN kfa USING (ip_address)
+          LEFT JOIN us USING (user_id) LEFT JOIN gs ON true LEFT JOIN kfa USING (shipping_address)
 ), feat AS (
   SELECT order_id, split, CAST(is_fraud AS INT) AS is_fraud, CAST(order_amount AS DOUBLE) AS order_amount,
          orders_per_user_1m AS orders_per_user_last_minute, CAST(location_mismatch AS INT) AS location_mismatch,
          dte AS device_type_enc, z AS amount_zscore_user, vh AS orders_per_user_last_hour, pr AS amount_pct_rank,
          CAST(account_age_days < 30 AS INT) AS is_new_user, CAST(hour(order_timestamp) AS INT) AS order_hour,
          CASE WHEN hour(order_timestamp) >= 23 OR hour(order_timestamp) <= 4 THEN 1 ELSE 0 END AS is_late_night,
-         0 AS fast_checkout, hv AS is_high_value, kf AS known_fraud_address,
+         CAST(checkout_seconds < 10 AS INT) AS fast_checkout, hv AS is_high_value, kf AS known_fraud_address,
          orders_per_user_1m * CAST(order_amount AS DOUBLE) AS velocity_amount_interaction,
          CAST(location_mismatch AS INT) * hv AS location_highvalue_risk
   FROM f0
@@ -110,10 +108,19 @@ def _balance(ctx: OrderContext) -> DataFrame:
     return g.withColumn("fraud_pct", ratio_round(F.col("fraud_rows") * 100, "rows", 2, 10))
 
 
-@register("feat_label_encode", _w(FEAT_CTE, "SELECT device_type, device_type_enc FROM dev"))
+ENCODED = ("device_type", "payment_method", "category")
+
+
+def _code(col: str) -> str:
+    return (f"coalesce((SELECT c FROM (SELECT v, CAST(row_number() OVER (ORDER BY v) - 1 AS INT) AS c FROM "
+            f"(SELECT DISTINCT {col} AS v FROM tr WHERE {col} IS NOT NULL) d) x WHERE x.v = sp.{col}), -1) AS {col}_enc")
+
+
+@register("feat_label_encode", _w(SPLIT_CTE, f"SELECT order_id, split, {', '.join(map(_code, ENCODED))} FROM sp"))
 def _label_encode(ctx: OrderContext) -> DataFrame:
     sp = features.chrono_split(transactions(ctx))
-    return features.label_dictionary(sp.filter(F.col("split") == "train"), "device_type")
+    codes = features.label_dictionary(sp.filter(F.col("split") == "train"), ENCODED)
+    return features.label_encode(sp, codes, ENCODED).select("order_id", "split", *[f"{c}_enc" for c in ENCODED])
 
 
 @register("feat_amount_zscore", _w(FEAT_CTE, f"SELECT order_id, split, {R6('amount_zscore_user')} AS amount_zscore_user FROM feat"))
@@ -136,9 +143,13 @@ def _interactions(ctx: OrderContext) -> DataFrame:
                                                       "location_highvalue_risk"))
 
 
-@register("win_pct_rank", _w(FEAT_CTE, f"SELECT order_id, split, {R6('amount_pct_rank')} AS amount_pct_rank FROM feat"))
+@register("win_pct_rank", _w(FEAT_CTE, f"""
+SELECT order_id, split, {R6('amount_pct_rank')} AS amount_pct_rank,
+       {R6('CAST(2 * (SELECT count(*) FROM tr WHERE tr.order_amount < feat.order_amount) + (SELECT count(*) FROM tr WHERE tr.order_amount = feat.order_amount) AS DOUBLE) / CAST(2 * (SELECT count(*) FROM tr) AS DOUBLE)')} AS amount_pct_rank_train
+FROM feat"""))
 def _pct_rank(ctx: OrderContext) -> DataFrame:
-    return features.rounded(feature_frame(ctx).select("order_id", "split", "amount_pct_rank"))
+    ranked = features.pct_rank_of_train(feature_frame(ctx).select("order_id", "split", "order_amount", "amount_pct_rank"))
+    return features.rounded(ranked.select("order_id", "split", "amount_pct_rank", "amount_pct_rank_train"))
 
 
 @register("win_velocity_1h", _w(FEAT_CTE, "SELECT order_id, split, orders_per_user_last_hour FROM feat"))
@@ -153,21 +164,18 @@ def _kfa(ctx: OrderContext) -> DataFrame:
 
 @register("jn_user_stats_lookup", _w(FEAT_CTE, f"""
 SELECT sp.order_id, coalesce(um.m, gm.m) AS user_mean, {R6('coalesce(us.u_std, gs.g_std)')} AS user_std
-FROM sp LEFT JOIN us USING (user_id) LEFT JOIN gs USING (split)
+FROM sp LEFT JOIN us USING (user_id) LEFT JOIN gs ON true
 LEFT JOIN (SELECT user_id, {O.mean6('order_amount')} AS m FROM tr GROUP BY user_id) um USING (user_id)
-LEFT JOIN (SELECT split, {O.mean6('order_amount')} AS m FROM sp GROUP BY split) gm USING (split)"""))
+LEFT JOIN (SELECT {O.mean6('order_amount')} AS m FROM tr) gm ON true"""))
 def _user_stats_lookup(ctx: OrderContext) -> DataFrame:
     sp = features.chrono_split(transactions(ctx))
     train = sp.filter(F.col("split") == "train")
-    g = sp.groupBy("split").agg(
-        F.avg(F.col("order_amount").cast("double")).alias("__g_mean"),
-        F.coalesce(F.stddev_samp(F.col("order_amount").cast("double")), F.lit(1.0)).alias("__g_std"))
     um = train.groupBy("user_id").agg(mean_fixed("order_amount").alias("__um"))
-    gm = sp.groupBy("split").agg(mean_fixed("order_amount").alias("__gm"))
-    j = (sp.join(features.user_amount_stats(train), "user_id", "left").join(F.broadcast(g), "split", "left")
-           .join(um, "user_id", "left").join(F.broadcast(gm), "split", "left"))
-    return j.select("order_id", F.coalesce("__um", "__gm").alias("user_mean"),
-                    r6(F.coalesce("__u_std", "__g_std")).alias("user_std"))
+    _, std = features.train_amount_stats(train)
+    mean = one_row(train.agg(mean_fixed("order_amount").alias("m"))).m
+    j = sp.join(features.user_amount_stats(train), "user_id", "left").join(um, "user_id", "left")
+    return j.select("order_id", F.coalesce("__um", F.lit(mean).cast("decimal(20,6)")).alias("user_mean"),
+                    r6(F.coalesce("__u_std", F.lit(std).cast("double"))).alias("user_std"))
 
 
 @register("feat_standardize", _w(FEAT_CTE + f""", fs AS (

@@ -130,7 +130,7 @@ def _recent_table(ctx: OrderContext) -> DataFrame:
 # -- guard, masking, filters ----------------------------------------------------
 
 RAW_COLS = ("order_id, user_id, product_id, product_name, category, amount, quantity, payment_method, "
-            "ip_address, device_type, location_mismatch, account_age_days, timestamp, burst_us, "
+            "ip_address, device_type, location_mismatch, account_age_days, shipping_address, checkout_seconds, timestamp, burst_us, "
             "orders_per_user_1m, fraud_score")
 
 

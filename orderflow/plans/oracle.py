@@ -29,6 +29,7 @@ e AS (
          CASE k % 3 WHEN 0 THEN 'mobile' WHEN 1 THEN 'desktop' ELSE 'tablet' END AS device_type,
          CAST(CASE WHEN event_id % 5 = 0 THEN 1 ELSE 0 END AS INT) AS location_mismatch,
          CAST((user_id * 37) % 400 AS INT) AS account_age_days,
+         'addr_' || CAST(user_id % 40 AS VARCHAR) AS shipping_address, CAST(event_id % 45 AS INT) AS checkout_seconds,
          CASE WHEN k = 19 THEN ts + INTERVAL '3650' DAY ELSE ts END AS timestamp,
          CAST(floor((epoch_us(ts) - 1704067200000000) / 1440) AS BIGINT) AS burst_us
   FROM e LEFT JOIN part ON p_partkey = k
@@ -36,7 +37,7 @@ e AS (
   SELECT * FROM base
   UNION ALL
   SELECT order_id, user_id, product_id, product_name, category, amount, quantity, payment_method,
-         ip_address, device_type, location_mismatch, account_age_days,
+         ip_address, device_type, location_mismatch, account_age_days, shipping_address, checkout_seconds,
          timestamp + INTERVAL '1' SECOND AS timestamp, burst_us
   FROM base WHERE CAST(substring(order_id, 5) AS BIGINT) % 50 = 0
 ), vel AS (
@@ -66,7 +67,7 @@ GUARD = """coalesce(amount > 0 AND amount < 100000 AND user_id IS NOT NULL
 PROCESSED = RAW + f""", processed AS (
   SELECT order_id, sha256('orderflow-' || user_id) AS user_id,
          product_id, product_name, category, amount, amount AS order_amount, quantity, payment_method,
-         sha256(ip_address) AS ip_address, device_type, location_mismatch, account_age_days, timestamp,
+         sha256(ip_address) AS ip_address, device_type, location_mismatch, account_age_days, shipping_address, checkout_seconds, timestamp,
          burst_us, orders_per_user_1m, fraud_score, fraud_score > 0.5 AS is_fraud,
          CASE WHEN fraud_score > 0.8 THEN 'CRITICAL' WHEN fraud_score > 0.4 THEN 'HIGH' ELSE 'LOW' END AS risk_level,
          {REASONING} AS reasoning

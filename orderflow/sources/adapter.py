@@ -24,6 +24,8 @@ NULL_USER_K = 13
 NEGATIVE_AMOUNT_K = 17
 FUTURE_K = 19
 FUTURE_DAYS = 3650
+ADDRESSES = 40                      # users share a shipping address by user_id % 40
+CHECKOUT_SECONDS = 45               # checkout took event_id % 45 seconds
 INFLATE_EVERY_K = 10                # k % 10 = 0 -> amount * 25
 INFLATE_FACTOR = 25
 RESEND_EVERY = 50                   # event_id % 50 = 0 is sent twice, 1 s later
@@ -85,6 +87,8 @@ def raw_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
          .otherwise(DEVICE_TYPES[2]).alias("device_type"),
         F.when(F.col("event_id") % MISMATCH_EVERY == 0, 1).otherwise(0).cast("int").alias("location_mismatch"),
         ((F.col("user_id") * 37) % 400).cast("int").alias("account_age_days"),
+        F.concat(F.lit("addr_"), (F.col("user_id") % ADDRESSES).cast("string")).alias("shipping_address"),
+        (F.col("event_id") % CHECKOUT_SECONDS).cast("int").alias("checkout_seconds"),
         F.when(k == FUTURE_K, F.col("ts") + F.expr(f"INTERVAL {FUTURE_DAYS} DAYS"))
          .otherwise(F.col("ts")).alias("timestamp"),
         F.floor((F.unix_micros("ts") - F.lit(CLOCK_EPOCH_US)) / F.lit(CLOCK_COMPRESSION))
