@@ -153,6 +153,12 @@ def daily_panel(orders: DataFrame, customer: DataFrame) -> DataFrame:
         dow_sunday0("date").isin(0, 6).cast("int").alias("is_weekend"))
 
 
+def _ordered(part: Column) -> Column:
+    """The part's volumes by day: at most 120 values."""
+    days = F.array_sort(F.collect_list(F.when(part, F.struct("time_idx", "volume"))))
+    return F.transform(days, lambda d: d["volume"])
+
+
 def training_windows(panel: DataFrame) -> DataFrame:
     """One sample per (group, origin): encoder up to 90 days (at least 45)
     before the origin, decoder up to 30 days from it, all at or before the
@@ -172,4 +178,5 @@ def training_windows(panel: DataFrame) -> DataFrame:
         F.sum((~enc).cast("int")).cast("int").alias("decoder_length"),
         F.sum(F.when(enc, F.col("volume")).otherwise(0)).alias("encoder_volume"),
         F.sum(F.when(~enc, F.col("volume")).otherwise(0)).alias("decoder_volume"),
+        _ordered(enc).alias("encoder_volumes"), _ordered(~enc).alias("decoder_volumes"),
         F.min("time_idx").alias("first_idx"), F.max("time_idx").alias("last_idx"))

@@ -1,14 +1,15 @@
 """Spark ML models: the stacked fraud ensemble and the graph challenger.
 
-Base learners are gradient-boosted trees and a random forest. Their
-out-of-fold probabilities (5 folds by a hash of the key) train a
-class-weighted logistic meta-learner. The imbalance is handled by class
+Base learners are two gradient-boosted tree models and a random forest. Their
+out-of-fold probabilities (5 folds, each with its share of both classes) train
+a class-weighted logistic meta-learner. The imbalance is handled by class
 weights instead of synthetic minority samples, see ``class_weights``.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
+from dataclasses import dataclass
 
 from pyspark.ml.classification import GBTClassifier, LogisticRegression, RandomForestClassifier
 from pyspark.ml.feature import VectorAssembler
@@ -17,12 +18,21 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from orderflow.functions.scalars import one_row
+from orderflow.operators.ranking import global_position
 from orderflow.session import cut_lineage
 
 FOLDS = 5
 SEED = 42
-GBT_ITER = 10
-RF_TREES = 10
+
+
+@dataclass(frozen=True)
+class Effort:
+    """How long the learners train; the defaults are the full training run."""
+    boosting_rounds: int = 500
+    forest_trees: int = 200
+    meta_iterations: int = 1000
+
+
 NO_MODEL_SCORE = 0.5
 
 
@@ -43,21 +53,28 @@ def _p1(df: DataFrame, col: str = "probability") -> DataFrame:
     return df.withColumn(col, vector_to_array(F.col(col))[1])
 
 
-def _base_learners(label: str):
+def _base_learners(label: str, effort: Effort):
+    common = {"labelCol": label, "featuresCol": "features", "seed": SEED, "weightCol": "weight"}
     return {
-        "p_gbt": GBTClassifier(labelCol=label, featuresCol="features", maxIter=GBT_ITER, seed=SEED,
-                               weightCol="weight"),
-        "p_rf": RandomForestClassifier(labelCol=label, featuresCol="features", numTrees=RF_TREES, seed=SEED,
-                                       weightCol="weight"),
+        "p_gbt": GBTClassifier(maxIter=effort.boosting_rounds, **common),
+        "p_sgb": GBTClassifier(maxIter=effort.boosting_rounds, maxDepth=3, subsamplingRate=0.8, featureSubsetStrategy="sqrt", **common),
+        "p_rf": RandomForestClassifier(numTrees=effort.forest_trees, **common),
     }
 
 
+def stratified_folds(df: DataFrame, label: str, key: str, folds: int = FOLDS) -> DataFrame:
+    """``fold`` 0..folds-1 with equal shares of both classes: rows are numbered by (label, key
+    hash), and neighbours go to different folds."""
+    mixed = df.withColumn("__mix", F.xxhash64(key))
+    return global_position(mixed, [label, "__mix", key], "__at").withColumn("fold", (F.col("__at") % folds).cast("int")).drop("__mix", "__at")
+
+
 def stacked_ensemble(train: DataFrame, test: DataFrame, cols: Sequence[str], key: str = "order_id",
-                     label: str = "is_fraud") -> DataFrame:
+                     label: str = "is_fraud", effort: Effort = Effort()) -> DataFrame:
     """Fit on ``train`` (out-of-fold stacking) and score ``test``: (key, label, probability)."""
-    # Eleven fits read the training frame: cut its lineage once (shared folder).
-    tr = cut_lineage(_assemble(class_weights(train, label), cols)
-                     .withColumn("fold", F.abs(F.xxhash64(key)) % FOLDS))
+    # Nineteen fits read the training frame: cut its lineage once (shared folder).
+    tr = cut_lineage(_assemble(stratified_folds(class_weights(train, label), label, key), cols))
+    names = list(_base_learners(label, effort))
     te = _assemble(test, cols)
 
     def score_with(models: dict, frame: DataFrame) -> DataFrame:
@@ -71,26 +88,32 @@ def stacked_ensemble(train: DataFrame, test: DataFrame, cols: Sequence[str], key
     for f in range(FOLDS):
         fit_part = tr.filter(F.col("fold") != f)
         hold = tr.filter(F.col("fold") == f).select(key, label, "weight", "features")
-        models = {name: est.fit(fit_part) for name, est in _base_learners(label).items()}
-        part = score_with(models, hold).select(key, label, "weight", "p_gbt", "p_rf")
+        models = {name: est.fit(fit_part) for name, est in _base_learners(label, effort).items()}
+        part = score_with(models, hold).select(key, label, "weight", *names)
         oof = part if oof is None else oof.unionByName(part)
-    meta = LogisticRegression(labelCol=label, featuresCol="meta", weightCol="weight", maxIter=50)
-    meta_model = meta.fit(_assemble(oof, ["p_gbt", "p_rf"], "meta"))
-    full = {name: est.fit(tr) for name, est in _base_learners(label).items()}
+    meta = LogisticRegression(labelCol=label, featuresCol="meta", weightCol="weight", maxIter=effort.meta_iterations)
+    meta_model = meta.fit(_assemble(oof, names, "meta"))
+    full = {name: est.fit(tr) for name, est in _base_learners(label, effort).items()}
     scored_te = score_with(full, te.select(key, label, "features"))
-    out = meta_model.transform(_assemble(scored_te, ["p_gbt", "p_rf"], "meta"))
+    out = meta_model.transform(_assemble(scored_te, names, "meta"))
     return _p1(out).select(key, label, F.col("probability").alias("fraud_probability"))
 
 
 def challenger(nodes: DataFrame, cols: Sequence[str] = ("amount_std", "hop1_mean", "hop2_mean", "degree"),
                key: str = "order_id", label: str = "is_fraud") -> DataFrame:
-    """Logistic model on neighbour features; score 0.5 when it cannot be fitted
-    (a single class)."""
-    # The fit iterates and the scoring pass reads the same rows: cut the lineage once.
+    """Logistic model on neighbour features. Each half of the orders (by a hash of the key) is
+    scored by the model of the other half; 0.5 where that has a single class."""
+    # The fits iterate and the scoring pass reads the same rows: cut the lineage once.
     filled = cut_lineage(nodes.fillna(0.0, subset=list(cols)).withColumn(label, F.col(label).cast("double")))
-    classes = filled.agg(F.countDistinct(label)).first()[0]
-    if classes < 2:
-        return filled.select(key, F.lit(NO_MODEL_SCORE).alias("challenger_score"))
-    data = _assemble(class_weights(filled, label), cols)
-    model = LogisticRegression(labelCol=label, featuresCol="features", weightCol="weight", maxIter=50).fit(data)
-    return _p1(model.transform(data)).select(key, F.col("probability").alias("challenger_score"))
+    half = F.pmod(F.xxhash64(key), F.lit(2))
+    out = None
+    for k in (0, 1):
+        fit, hold = filled.filter(half != k), filled.filter(half == k)
+        if fit.agg(F.countDistinct(label)).first()[0] < 2:
+            part = hold.select(key, F.lit(NO_MODEL_SCORE).alias("challenger_score"))
+        else:
+            learner = LogisticRegression(labelCol=label, featuresCol="features", weightCol="weight", maxIter=50)
+            model = learner.fit(_assemble(class_weights(fit, label), cols))
+            part = _p1(model.transform(_assemble(hold, cols))).select(key, F.col("probability").alias("challenger_score"))
+        out = part if out is None else out.unionByName(part)
+    return out

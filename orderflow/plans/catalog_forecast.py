@@ -197,6 +197,8 @@ SELECT o."group", o.origin,
        CAST(SUM(CASE WHEN p.time_idx >= o.origin THEN 1 ELSE 0 END) AS INT) AS decoder_length,
        CAST(SUM(CASE WHEN p.time_idx < o.origin THEN p.volume ELSE 0 END) AS BIGINT) AS encoder_volume,
        CAST(SUM(CASE WHEN p.time_idx >= o.origin THEN p.volume ELSE 0 END) AS BIGINT) AS decoder_volume,
+       list(p.volume ORDER BY p.time_idx) FILTER (WHERE p.time_idx < o.origin) AS encoder_volumes,
+       list(p.volume ORDER BY p.time_idx) FILTER (WHERE p.time_idx >= o.origin) AS decoder_volumes,
        min(p.time_idx) AS first_idx, max(p.time_idx) AS last_idx
 FROM origins o JOIN panel p ON p."group" = o."group"
      AND p.time_idx BETWEEN o.origin - 90 AND o.origin + 29 AND p.time_idx <= (SELECT c FROM cut)

@@ -27,14 +27,14 @@ def R6(x: str) -> str:
 
 
 def transactions(ctx: OrderContext) -> DataFrame:
-    return stg_ops.staging_orders(ctx.processed, extra=("account_age_days", "shipping_address", "checkout_seconds", "payment_method"))
+    return stg_ops.staging_orders(ctx.processed, extra=("account_age_days", "ip_address", "shipping_address", "checkout_seconds", "payment_method"))
 
 
 def feature_frame(ctx: OrderContext) -> DataFrame:
     return features.engineer(transactions(ctx))
 
 
-STG_FEAT = O.staging("account_age_days, shipping_address, checkout_seconds, payment_method")
+STG_FEAT = O.staging("account_age_days, ip_address, shipping_address, checkout_seconds, payment_method")
 
 SPLIT_CTE = STG_FEAT + """, sp AS (
   SELECT *, CASE WHEN ROW_NUMBER() OVER (ORDER BY epoch_us(order_timestamp), order_id) - 1

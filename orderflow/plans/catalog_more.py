@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import uuid
 
 from pyspark.sql import DataFrame
@@ -16,10 +17,13 @@ from orderflow.operators.stats import group_median
 from orderflow.operators.velocity import attach_sliding_velocity, sliding_window_counts
 from orderflow.plans import marts
 from orderflow.plans import oracle as O
+from orderflow.operators import forecast as fc
+from orderflow.plans.catalog_forecast import FORECAST_CTE, demand_forecast
 from orderflow.plans.catalog_ml import FEAT_CTE, feature_frame
 from orderflow.plans.catalog_ops import AGENT_CTE
 from orderflow.plans.context import OrderContext
 from orderflow.plans.catalog_base import register
+from orderflow.session import cut_lineage
 from orderflow.sources import ingest, sinks
 from orderflow.streaming import order_stream
 
@@ -254,20 +258,44 @@ def _snk_dead(ctx: OrderContext) -> DataFrame:
     return ctx.rejected.select("order_id", "amount", "user_id", "timestamp", "reject_reason")
 
 
-@register("snk_event_logs", _w(P + """, ipsig AS (
-  SELECT ip_address, count(*) AS n, SUM(CAST(is_fraud AS BIGINT)) AS f FROM processed GROUP BY ip_address)""", """
-SELECT p.timestamp, p.order_id, CAST(p.fraud_score AS DOUBLE) AS champion_score,
-       CAST(s.f AS DOUBLE) / CAST(s.n AS DOUBLE) AS challenger_score
-FROM processed p JOIN ipsig s USING (ip_address)"""))
+FEEDBACK_CTE = AGENT_CTE + """, feedback AS (
+  SELECT order_id, ensemble_score > 0.5 AS model_prediction, decision = 'FINAL_BLOCK' AS actual_label
+  FROM agent WHERE triage = 'INVESTIGATE' AND decision <> 'HUMAN_REVIEW'
+)"""
+
+
+def feedback_rows(ctx: OrderContext) -> DataFrame:
+    inv = agent.investigate(agent.agent_inputs(ctx.processed))
+    return inv.filter((F.col("triage") == "INVESTIGATE") & (F.col("decision") != "HUMAN_REVIEW")).select(
+        "order_id", (F.col("ensemble_score") > 0.5).alias("model_prediction"),
+        (F.col("decision") == "FINAL_BLOCK").alias("actual_label"))
+
+
+@register("snk_event_logs", _w(FEEDBACK_CTE, f"""
+SELECT 'shadow' AS log, order_id AS key, CAST(fraud_score AS DECIMAL(18,4)) AS value FROM processed
+UNION ALL SELECT 'features', order_id, CAST(amount AS DECIMAL(18,4)) FROM processed
+UNION ALL SELECT 'feedback', order_id, CAST(CAST(actual_label AS INT) AS DECIMAL(18,4)) FROM feedback
+UNION ALL SELECT 'performance', 'orders', CAST(count(*) AS DECIMAL(18,4)) FROM processed
+UNION ALL SELECT 'performance', 'fraud_orders', CAST({O.cnt_if('is_fraud')} AS DECIMAL(18,4)) FROM processed"""))
 def _snk_logs(ctx: OrderContext) -> DataFrame:
-    path = os.path.join(run_root(ctx, "logs"), "shadow_log")
+    root = run_root(ctx, "logs")
     p = ctx.processed
-    sig = agent.ip_signals(p)
-    shadow = p.join(sig, "ip_address").select(
-        F.col("timestamp"), "order_id", F.col("fraud_score").cast("double").alias("champion_score"),
+    shadow = p.join(agent.ip_signals(p), "ip_address").select(
+        "timestamp", "order_id", F.col("fraud_score").alias("champion_score"),
         (F.col("ip_fraud_orders").cast("double") / F.col("ip_orders").cast("double")).alias("challenger_score"))
-    sinks.append_log(shadow, path)
-    return ctx.spark.read.parquet(path)
+    inputs = p.select("timestamp", "order_id", "amount", "orders_per_user_1m", "location_mismatch", "device_type", "fraud_score")
+    counts = p.agg(F.count(F.lit(1)).alias("orders"), count_if(F.col("is_fraud")).alias("fraud_orders"))
+    performance = counts.select(F.inline(F.array(*[F.struct(F.lit(c).alias("metric"), F.col(c).cast("decimal(18,4)").alias("value")) for c in ("orders", "fraud_orders")])))
+    logs = {"shadow": (shadow, "order_id", "champion_score"), "features": (inputs, "order_id", "amount"),
+            "feedback": (feedback_rows(ctx), "order_id", "actual_label"), "performance": (performance, "metric", "value")}
+    out = None
+    for name, (rows, key, value) in logs.items():
+        path = os.path.join(root, name)
+        sinks.append_log(rows, path)
+        value = F.col(value).cast("int") if name == "feedback" else F.col(value)
+        back = ctx.spark.read.parquet(path).select(F.lit(name).alias("log"), F.col(key).alias("key"), value.cast("decimal(18,4)").alias("value"))
+        out = back if out is None else out.unionByName(back)
+    return out
 
 
 @register("snk_reference_sample", _w(FEAT_CTE, f"""
@@ -282,25 +310,47 @@ def _snk_ref(ctx: OrderContext) -> DataFrame:
     return back.select("order_id", "is_fraud", "order_hour")
 
 
-@register("mat_views_tables", _w(O.STG, """
-SELECT 'stg_orders' AS model, count(*) AS rows FROM stg
-UNION ALL SELECT 'fct_fraud_orders', count(*) FROM stg WHERE is_fraud
-UNION ALL SELECT 'dim_products', count(*) FROM (SELECT DISTINCT product_name, category FROM stg) p
-UNION ALL SELECT 'dim_users', count(*) FROM (SELECT DISTINCT user_id FROM stg) u
-UNION ALL SELECT 'fct_fraud_daily_summary', count(*) FROM (SELECT DISTINCT order_date FROM stg) d"""))
+MODELS_CTE = (FORECAST_CTE + ", " + O.FRAUD_DAILY_CTE[O.FRAUD_DAILY_CTE.index("daily AS ("):]
+              + ", " + O.DIM_USERS_CTE[O.DIM_USERS_CTE.index("ustats AS ("):]
+              + ", " + O.DIM_PRODUCTS_CTE[O.DIM_PRODUCTS_CTE.index("pstats AS ("):]
+              + ", " + re.sub(r"\b(tb|spine)\b", r"dt_\1", O.DIM_TIME_CTE[O.DIM_TIME_CTE.index("tb AS ("):]))
+# Each model with a measure that its contents must add up to.
+MODEL_MEASURES = {"stg_orders": "order_amount", "demand_forecast": "predicted_orders", "fct_fraud_orders": "estimated_loss_usd",
+                  "dim_products": "total_revenue_usd", "dim_users": "total_spend_usd", "fct_fraud_daily_summary": "fraud_rate_pct",
+                  "fct_forecast_vs_actuals": "actual_orders", "dim_time": "time_id", "fact_orders": "order_amount"}
+
+
+@register("mat_views_tables", _w(MODELS_CTE, f"""
+SELECT 'stg_orders' AS model, count(*) AS rows, CAST(sum(order_amount) AS DECIMAL(20,4)) AS total FROM stg
+UNION ALL SELECT 'demand_forecast', count(*), CAST(sum(predicted_orders) AS DECIMAL(20,4)) FROM demand_forecast
+UNION ALL SELECT 'fct_fraud_orders', count(*), CAST(sum(estimated_loss_usd) AS DECIMAL(20,4)) FROM ({O.FCT_FRAUD_ORDERS_SELECT}) f
+UNION ALL SELECT 'dim_products', count(*), CAST(sum(total_revenue_usd) AS DECIMAL(20,4)) FROM dim_products
+UNION ALL SELECT 'dim_users', count(*), CAST(sum(total_spend_usd) AS DECIMAL(20,4)) FROM dim_users
+UNION ALL SELECT 'fct_fraud_daily_summary', count(*), CAST(sum(fraud_rate_pct) AS DECIMAL(20,4)) FROM daily2
+UNION ALL SELECT 'fct_forecast_vs_actuals', count(*), CAST(sum(actual_orders) AS DECIMAL(20,4)) FROM fva
+UNION ALL SELECT 'dim_time', count(*), CAST(sum(time_id) AS DECIMAL(20,4)) FROM dim_time
+UNION ALL SELECT 'fact_orders', count(*), CAST(sum(order_amount) AS DECIMAL(20,4)) FROM stg"""))
 def _mat(ctx: OrderContext) -> DataFrame:
-    loc = run_root(ctx, "warehouse")
+    table, as_of = ctx.spark.table, ctx.as_of
+    plus = cut_lineage(stg_ops.staging_orders(ctx.processed, extra=("product_id", "quantity", "payment_method")))
+    run = uuid.uuid4().hex[:12]
+    name = lambda model: f"{model}_{run}"  # noqa: E731  a run's own tables
+    stg = lambda: table(name("stg_orders"))
     built = sinks.materialize_views({
-        "stg_orders": lambda: ctx.staging,
-        "fct_fraud_orders": lambda: marts.fct_fraud_orders(ctx.spark.table("stg_orders"), ctx.as_of),
-        "dim_products": lambda: marts.dim_products(ctx.spark.table("stg_orders"), ctx.as_of),
-        "dim_users": lambda: marts.dim_users(ctx.spark.table("stg_orders"), ctx.as_of),
-        "fct_fraud_daily_summary": lambda: marts.fraud_daily(ctx.spark.table("stg_orders"), ctx.as_of),
-    }, tables=("fct_fraud_orders", "dim_products", "dim_users", "fct_fraud_daily_summary"), location=loc)
-    parts = [df.agg(F.count(F.lit(1)).alias("rows")).withColumn("model", F.lit(name)) for name, df in built.items()]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
+        name("stg_orders"): lambda: plus.drop("product_id", "quantity", "payment_method"),
+        name("demand_forecast"): lambda: demand_forecast(ctx),
+        name("dim_time"): lambda: marts.dim_time(stg()),
+        name("dim_products"): lambda: marts.dim_products(stg(), as_of),
+        name("dim_users"): lambda: marts.dim_users(stg(), as_of),
+        name("fct_fraud_orders"): lambda: marts.fct_fraud_orders(stg(), as_of),
+        name("fct_fraud_daily_summary"): lambda: marts.fraud_daily(stg(), as_of),
+        name("fct_forecast_vs_actuals"): lambda: fc.forecast_vs_actuals(fc.hourly_actuals(stg()), table(name("demand_forecast"))),
+        name("fact_orders"): lambda: marts.fact_orders(plus),
+    }, views=(name("stg_orders"),), location=run_root(ctx, "warehouse"))
+    out = None
+    for model, measure in MODEL_MEASURES.items():
+        part = built[name(model)].agg(F.lit(model).alias("model"), F.count(F.lit(1)).alias("rows"), F.sum(measure).cast("decimal(20,4)").alias("total"))
+        out = part if out is None else out.unionByName(part)
     return out
 
 
@@ -538,19 +588,6 @@ def _star(ctx: OrderContext) -> DataFrame:
 
 # -- feedback and case counts ---------------------------------------------------------------
 
-FEEDBACK_CTE = AGENT_CTE + """, feedback AS (
-  SELECT order_id, ensemble_score > 0.5 AS model_prediction, decision = 'FINAL_BLOCK' AS actual_label
-  FROM agent WHERE triage = 'INVESTIGATE' AND decision <> 'HUMAN_REVIEW'
-)"""
-
-
-def feedback_rows(ctx: OrderContext) -> DataFrame:
-    inv = agent.investigate(agent.agent_inputs(ctx.processed))
-    return inv.filter((F.col("triage") == "INVESTIGATE") & (F.col("decision") != "HUMAN_REVIEW")).select(
-        "order_id", (F.col("ensemble_score") > 0.5).alias("model_prediction"),
-        (F.col("decision") == "FINAL_BLOCK").alias("actual_label"))
-
-
 @register("agg_feedback_count", _w(FEEDBACK_CTE, f"""
 SELECT count(*) AS total_feedback_entries, {O.cnt_if('model_prediction <> actual_label')} AS corrections,
        {O.rnd(O.cnt_if('model_prediction <> actual_label') + ' * 100', 'count(*)', 2)} AS correction_rate_pct

@@ -207,17 +207,42 @@ def _dq_unique(ctx: OrderContext) -> DataFrame:
     return quality.unique_not_null(ctx.processed, "order_id")
 
 
-@register("dq_accepted_values", _w(P, """
-SELECT order_id, risk_level FROM processed
+# No row of the fixture fails these three, so they run on rows with planted faults:
+# orders whose number leaves 0, 1 or 2 when divided by 97.
+FAULTY = P + """, faulty AS (
+  SELECT * REPLACE (
+    CASE CAST(substring(order_id, 5) AS BIGINT) % 97 WHEN 0 THEN 'SEVERE' WHEN 1 THEN NULL ELSE risk_level END AS risk_level,
+    CASE CAST(substring(order_id, 5) AS BIGINT) % 97 WHEN 0 THEN fraud_score + 1 WHEN 1 THEN -fraud_score WHEN 2 THEN NULL ELSE fraud_score END AS fraud_score,
+    CASE CAST(substring(order_id, 5) AS BIGINT) % 97 WHEN 0 THEN NOT is_fraud WHEN 1 THEN NULL ELSE is_fraud END AS is_fraud)
+  FROM processed)"""
+
+
+def _faulty(ctx: OrderContext) -> DataFrame:
+    n = F.substring("order_id", 5, 20).cast("long") % 97
+    return ctx.processed.withColumns({
+        "risk_level": F.when(n == 0, "SEVERE").when(n == 1, None).otherwise(F.col("risk_level")),
+        "fraud_score": F.when(n == 0, F.col("fraud_score") + 1).when(n == 1, -F.col("fraud_score")).when(n == 2, None).otherwise(F.col("fraud_score")),
+        "is_fraud": F.when(n == 0, ~F.col("is_fraud")).when(n == 1, None).otherwise(F.col("is_fraud"))})
+
+
+@register("dq_accepted_values", _w(FAULTY, """
+SELECT order_id, risk_level FROM faulty
 WHERE risk_level IS NULL OR risk_level NOT IN ('CRITICAL', 'HIGH', 'LOW')"""))
 def _dq_values(ctx: OrderContext) -> DataFrame:
-    return quality.accepted_values(ctx.processed, "risk_level")
+    return quality.accepted_values(_faulty(ctx), "risk_level")
 
 
-@register("dq_score_range", _w(P, """
-SELECT order_id, fraud_score FROM processed WHERE fraud_score IS NULL OR fraud_score < 0 OR fraud_score > 1"""))
+@register("dq_score_range", _w(FAULTY, """
+SELECT order_id, CAST(fraud_score AS DOUBLE) AS fraud_score FROM faulty WHERE fraud_score IS NULL OR fraud_score < 0 OR fraud_score > 1"""))
 def _dq_range(ctx: OrderContext) -> DataFrame:
-    return quality.score_in_unit_range(ctx.processed)
+    return quality.score_in_unit_range(_faulty(ctx)).withColumn("fraud_score", F.col("fraud_score").cast("double"))
+
+
+@register("dq_label_consistent", _w(FAULTY, """
+SELECT order_id, CAST(fraud_score AS DOUBLE) AS fraud_score, is_fraud FROM faulty
+WHERE NOT (is_fraud IS NOT DISTINCT FROM (fraud_score > 0.5))"""))
+def _dq_label(ctx: OrderContext) -> DataFrame:
+    return quality.label_consistent(_faulty(ctx)).withColumn("fraud_score", F.col("fraud_score").cast("double"))
 
 
 @register("dq_no_future", _w(O.RAW, f"""
@@ -227,13 +252,6 @@ def _dq_future(ctx: OrderContext) -> DataFrame:
     return quality.no_future(ctx.raw, ctx.as_of)
 
 
-@register("dq_label_consistent", _w(P, """
-SELECT order_id, fraud_score, is_fraud FROM processed
-WHERE NOT (is_fraud IS NOT DISTINCT FROM (fraud_score > 0.5))"""))
-def _dq_label(ctx: OrderContext) -> DataFrame:
-    return quality.label_consistent(ctx.processed)
-
-
 # -- rules ---------------------------------------------------------------------------
 
 @register("rule_risk_level", _w(P, """

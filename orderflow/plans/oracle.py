@@ -280,7 +280,7 @@ FRAUD_PATTERN = """CASE WHEN location_mismatch AND orders_per_user_1m > 5 THEN '
               WHEN location_mismatch THEN 'LOCATION_FRAUD'
               ELSE 'ANOMALY' END"""
 
-FCT_FRAUD_ORDERS = with_ctes(STG, f"""
+FCT_FRAUD_ORDERS_SELECT = f"""
 SELECT order_id, user_id, order_amount, category, product_name, device_type, order_timestamp,
        order_date, order_hour, day_of_week, is_weekend, is_late_night_order, fraud_score, risk_level,
        fraud_reasoning, location_mismatch, orders_per_user_1m, is_high_value,
@@ -290,7 +290,9 @@ SELECT order_id, user_id, order_amount, category, product_name, device_type, ord
        CAST(CASE risk_level WHEN 'CRITICAL' THEN order_amount * 0.95 WHEN 'HIGH' THEN order_amount * 0.70
             ELSE order_amount * 0.30 END AS DECIMAL(16,4)) AS estimated_loss_usd,
        (SELECT as_of FROM clock) AS dbt_updated_at
-FROM stg WHERE is_fraud = TRUE""")
+FROM stg WHERE is_fraud = TRUE"""
+
+FCT_FRAUD_ORDERS = with_ctes(STG, FCT_FRAUD_ORDERS_SELECT)
 
 DIM_TIME_CTE = STG + """, tb AS (
   SELECT date_trunc('hour', MIN(order_timestamp)) AS lo, date_trunc('hour', MAX(order_timestamp)) AS hi FROM stg

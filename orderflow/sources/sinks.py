@@ -64,18 +64,16 @@ def reference_sample(df: DataFrame, key: str, n: int = 5000) -> DataFrame:
     return df.orderBy(F.md5(F.col(key).cast("string").cast("binary")), F.col(key)).limit(n)
 
 
-def materialize_views(builders: Mapping[str, Callable[[], DataFrame]], tables: tuple[str, ...],
+def materialize_views(builders: Mapping[str, Callable[[], DataFrame]], views: tuple[str, ...],
                       location: str) -> dict[str, DataFrame]:
-    """Build models in dependency order: views are registered as temp views,
-    tables are written as Parquet under ``location`` and read back."""
+    """Build models in dependency order: those in ``views`` become temp views, the others
+    tables (``saveAsTable``, Parquet under ``location``)."""
     out: dict[str, DataFrame] = {}
     for name, build in builders.items():
         df = build()
-        if name in tables:
-            path = os.path.join(location, name)
-            df.write.mode("overwrite").parquet(path)
-            df = df.sparkSession.read.parquet(path)
-        df.createOrReplaceTempView(name)
-        out[name] = df
+        if name in views:
+            df.createOrReplaceTempView(name)
+        else:
+            df.write.mode("overwrite").option("path", os.path.join(location, name)).saveAsTable(name)
+        out[name] = df.sparkSession.table(name)
     return out
-
