@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 
 MARK = "▁"
 UNKNOWN_PENALTY = 10
-MEMO_MOST = 1_000_000       # words remembered by a worker; the table starts anew when full
+MEMO_MOST = 250_000         # words remembered by a worker; the table starts anew when full
 LOCKSTEP_BYTES = 48         # longer words are segmented one at a time
 
 
