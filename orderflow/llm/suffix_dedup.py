@@ -48,7 +48,7 @@ REACH = LENGTH - GRAM                    # bytes of a string before or after its
 CONTEXT = GRAM + 2 * REACH
 DEPTHS = ((8, 8, 16), (16, 16, 32), (32, LENGTH - 32, LENGTH))   # (depth, offset of the pointer, new depth)
 HOT = 2000
-BLOCK_BYTES, SHARD_BYTES = 2 << 20, 8 << 20
+BLOCK_BYTES, SHARD_BYTES = 2 << 20, 4 << 20
 NO_ID = np.int64(2**63 - 1)
 PAD = 0xFF                               # never a byte of UTF-8
 
