@@ -271,18 +271,19 @@ def estimate_pairs(rows: DataFrame, near: Near, keep: int | None) -> DataFrame:
 def verified(pairs: DataFrame, docs: DataFrame, near: Near) -> DataFrame:
     """The pairs (a, b) whose full sets are near enough."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            (abuf, aoff), (bbuf, boff) = tb.text_buffer(batch.column(2)), tb.text_buffer(batch.column(3))
-            keep = []
-            for s, e in tb.slices(np.zeros(0), aoff + boff):
-                ra, ha, na = shingle_sets(abuf[aoff[s] : aoff[e]], aoff[s : e + 1] - aoff[s], near.words)
-                rb, hb, nb = shingle_sets(bbuf[boff[s] : boff[e]], boff[s : e + 1] - boff[s], near.words)
-                row, key = np.concatenate([ra, rb]), np.concatenate([ha, hb])
-                order = np.argsort(key ^ tb.mix(row.astype(np.uint64) + np.uint64(1)))
-                row, key = row[order], key[order]
-                both = np.bincount(row[1:][(key[1:] == key[:-1]) & (row[1:] == row[:-1])], minlength=e - s)
-                keep.append((both > 0) & (100 * both >= near.percent * (na + nb - both)))
-            if keep:
+        for whole in batches:
+            for start in range(0, len(whole), 256):
+                batch = whole.slice(start, 256)
+                (abuf, aoff), (bbuf, boff) = tb.text_buffer(batch.column(2)), tb.text_buffer(batch.column(3))
+                keep = []
+                for s, e in tb.slices(np.zeros(0), aoff + boff):
+                    ra, ha, na = shingle_sets(abuf[aoff[s] : aoff[e]], aoff[s : e + 1] - aoff[s], near.words)
+                    rb, hb, nb = shingle_sets(bbuf[boff[s] : boff[e]], boff[s : e + 1] - boff[s], near.words)
+                    row, key = np.concatenate([ra, rb]), np.concatenate([ha, hb])
+                    order = np.argsort(key ^ tb.mix(row.astype(np.uint64) + np.uint64(1)))
+                    row, key = row[order], key[order]
+                    both = np.bincount(row[1:][(key[1:] == key[:-1]) & (row[1:] == row[:-1])], minlength=e - s)
+                    keep.append((both > 0) & (100 * both >= near.percent * (na + nb - both)))
                 yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(np.concatenate(keep)))
 
     one = docs.join(pairs, docs.doc_id == pairs.a).select("a", "b", F.col("text").alias("text_a"))
