@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from orderflow.operators import modeling
 from orderflow.plans.registry import QUERIES
 
 from conftest import SF_SMALL
@@ -18,6 +19,18 @@ def test_ensemble_probabilities(spark):
     assert agg.n == agg.ids == test_rows.count()
 
 
+def test_registered_ensemble_trains_in_full(spark, monkeypatch):
+    seen = []
+
+    def stacked(train, test, cols, effort=modeling.Effort()):
+        seen.append(effort)
+        return test
+
+    monkeypatch.setattr(modeling, "stacked_ensemble", stacked)
+    QUERIES["ml_stacked_ensemble"](spark, SF_SMALL)
+    assert seen == [modeling.Effort(boosting_rounds=500, forest_trees=200, meta_iterations=1000)]
+
+
 def test_challenger_scores_in_unit_interval(spark):
     out = QUERIES["graph_challenger_score"](spark, SF_SMALL)
     agg = out.agg(F.min("challenger_score").alias("lo"), F.max("challenger_score").alias("hi"),
