@@ -114,8 +114,9 @@ def mix(docs: DataFrame, repeat_limit: float | None = REPEAT_LIMIT, entropy_shar
     order = F.xxhash64(F.lit(seed), "mix_pass", "mix_block")
     before = F.sum("__block_tokens").over(Window.partitionBy("__src", "mix_pass").orderBy(order, "mix_block").rowsBetween(Window.unboundedPreceding, -1))
     room = F.when(F.col("mix_pass") < F.col("__passes"), F.col("__tokens")).otherwise(F.col("__part"))
+    # A whole pass reads every block; the part reads those that begin inside it.
     reached = (passes.withColumn("__before", F.coalesce(before, F.lit(0))).withColumn("__room", room)
-               .filter((F.col("__before") < F.col("__room")) | (F.col("__tokens") == 0)).select("__src", "mix_block", "mix_pass", "__before", "__room"))
+               .filter((F.col("mix_pass") < F.col("__passes")) | (F.col("__before") < F.col("__room"))).select("__src", "mix_block", "mix_pass", "__before", "__room"))
 
     met = dealt.join(small(reached, counts.blocks), ["__src", "mix_block"])
     inside = Window.partitionBy("__src", "mix_pass", "mix_block").orderBy(F.xxhash64(F.lit(seed), "mix_pass", F.col(id_col).cast("string")), F.col(id_col), "mix_tokens")

@@ -73,6 +73,15 @@ def test_repetition_limit(spark, monkeypatch, limit, block):
     assert all(0 <= r.mix_position <= 1 for r in out)
 
 
+def test_wordless_documents_are_read(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "BLOCK_ROWS", 16)
+    rows = [(i, None if i % 3 == 0 else " " * (i % 3 - 1), "thin") for i in range(300)] + [(300, "one two three", "thin")]
+    rows += [(1000 + i, "four five six seven", "full") for i in range(50)]
+    out = mixing.mix(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()
+    whole = [r for r in out if r.mix_pass == 0]
+    assert sorted(r.doc_id for r in whole) == [i for i, _, _ in rows]
+
+
 def test_budget_and_entropy(spark, no_docs):
     docs, rows = corpus(spark)
     out = mixing.mix(docs, repeat_limit=None, entropy_share=0.9, budget=4000).collect()
