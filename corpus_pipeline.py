@@ -21,7 +21,8 @@ from pyspark.sql import functions as F  # noqa: E402
 
 from orderflow.llm import mixing, quality_gbt, setsketch, suffix_dedup, unigram  # noqa: E402
 from orderflow.llm.workers import let_workers_import  # noqa: E402
-from orderflow.session import ensure_checkpoint_dir  # noqa: E402
+from orderflow.operators.ranking import global_position  # noqa: E402
+from orderflow.session import cut_lineage, ensure_checkpoint_dir  # noqa: E402
 from orderflow.sources.tables import table  # noqa: E402
 
 # SQL cannot express fitted trees, sketches, segmentation; the stages are tested
@@ -35,13 +36,36 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     return quality_gbt.keep_good(docs, quality_gbt.fit(docs, table(spark, sf_dir, "labels")))
 
 
+FEW_TEXTS = 50_000      # further texts of repeated ids up to this are broadcast
+
+
+def row_ids(docs: DataFrame) -> DataFrame:
+    """``docs`` with ``__near``: the id of a row's text. It is doc_id, but if an id has several
+    texts, that of smallest hash keeps it and the others get ids above all others."""
+    of_text = F.xxhash64(F.col("text").cast("string"))
+    hashed = docs.filter("doc_id IS NOT NULL").select(F.col("doc_id").alias("__doc"), of_text.alias("__text"))
+    repeated = hashed.groupBy("__doc").agg(F.min("__text").alias("__low"), F.max("__text").alias("__high")).filter("__low <> __high")
+    texts = hashed.join(repeated, "__doc").filter("__text > __low").select("__doc", "__text").distinct()
+    further = cut_lineage(global_position(texts, ["__doc", "__text"], "__at"))
+    n = further.count()
+    if n == 0:
+        return docs.withColumn("__near", F.col("doc_id"))
+    top = docs.agg(F.max("doc_id")).first()[0]
+    met = docs.join(F.broadcast(further) if n <= FEW_TEXTS else further, (F.col("doc_id") == F.col("__doc")) & (of_text == F.col("__text")), "left")
+    return met.withColumn("__near", F.coalesce(F.lit(top) + 1 + F.col("__at"), F.col("doc_id"))).select(*docs.columns, "__near")
+
+
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One row of each group of near duplicates (five words, similarity 0.8), that of the smallest id."""
+    """One row of each group of near duplicates (five words, similarity 0.8), that of the smallest id.
+
+    Rows of one id with equal texts are one; with different texts each is decided by itself. The
+    text of smallest hash stands for the id, the others come after all ids of the table."""
     let_workers_import(spark)
-    found = setsketch.near_duplicates(docs, setsketch.Near(words=5, percent=80))
+    rows = row_ids(docs)
+    found = setsketch.near_duplicates(rows, setsketch.Near(words=5, percent=80), id_col="__near")
     kept = found.filter("kept AND doc_id IS NOT NULL").select(F.col("doc_id").alias("__kept")).distinct()
     first = F.row_number().over(Window.partitionBy("__kept").orderBy(F.xxhash64("text"), "text"))
-    one = docs.join(kept, docs.doc_id == kept["__kept"]).withColumn("__row", first).filter(F.col("__row") == 1)
+    one = rows.join(kept, rows["__near"] == kept["__kept"]).withColumn("__row", first).filter(F.col("__row") == 1)
     return one.select(*docs.columns).unionByName(docs.filter(docs.doc_id.isNull()))
 
 

@@ -46,3 +46,12 @@ def test_repeated_rows_and_null_ids(spark, docs):
     ids = Counter(r.doc_id for r in out.collect())
     assert all(n == 1 for i, n in ids.items() if i is not None) and ids[None] == 2
     assert out.columns == docs.columns
+
+
+def test_texts_of_a_repeated_id_are_decided_by_themselves(spark):
+    words = lambda c: " ".join(f"{c}{k}" for k in range(60))
+    rows = [(1, words("a")), (2, words("a") + " more"), (2, words("b")), (2, words("b")), (3, words("c")), (3, words("d")), (3, words("c") + " more")]
+    out = cp.near_dedup(spark, spark.createDataFrame(rows, "doc_id long, text string"), "").collect()
+    # one row of each of the four families, with a text of its own
+    assert sorted((r.doc_id, r.text[0]) for r in out) == [(1, "a"), (2, "b"), (3, "c"), (3, "d")]
+    assert all((r.doc_id, r.text) in rows for r in out)
