@@ -91,3 +91,11 @@ def test_documents(docs, texts, no_docs, model):
         assert r.n_pieces == len(r.ids) and r.round_trip
         assert r.ids_sha256 == hashlib.sha256(np.array(r.ids, "<i4").tobytes()).hexdigest()
     assert u.encode_documents(no_docs, PIECES, with_ids=False).collect() == []
+
+
+def test_registered_encoding_returns_the_ids(spark):
+    from orderflow.llm.registry import QUERIES
+
+    rows = QUERIES["op9_sentencepiece"](spark, "/root/testdata/sf0.001").limit(50).collect()
+    assert rows and all(len(r.ids) == r.n_pieces for r in rows)
+    assert all(hashlib.sha256(np.array(r.ids, "<i4").tobytes()).hexdigest() == r.ids_sha256 for r in rows)
