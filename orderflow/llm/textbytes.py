@@ -7,8 +7,8 @@ a slice of its own and is still processed whole.
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -23,7 +23,6 @@ LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 
 _ODD = np.uint64(0x9E3779B97F4A7C15)
-_ODD_INVERSE = np.uint64(pow(int(_ODD), -1, 1 << 64))
 _MIX_A, _MIX_B = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 
 
@@ -35,26 +34,34 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-@lru_cache(maxsize=2)
-def _powers(bits: int) -> tuple[np.ndarray, np.ndarray]:
-    n = 1 << bits
-    up, down = np.full(n, _ODD), np.full(n, _ODD_INVERSE)
-    up[0] = down[0] = 1
-    with np.errstate(over="ignore"):
-        return np.cumprod(up, dtype=np.uint64), np.cumprod(down, dtype=np.uint64)
+class RangeHash:
+    """64-bit hashes of arbitrary byte ranges of one buffer.
 
+    Ranges of up to ``SHORT`` bytes mix their 8-byte words one after the other, longer ones
+    are hashed by BLAKE2b. Neither is linear in the bytes, so no pair of texts
+    collides by its structure, as it does under a polynomial modulo 2**64.
+    """
 
-class RangeHash:
-    """64-bit hashes of arbitrary byte ranges of one buffer, after one pass over it."""
+    SHORT = 32
 
     def __init__(self, buf: np.ndarray):
-        up, self._down = _powers(max(20, (len(buf) + 1).bit_length()))
-        with np.errstate(over="ignore"):
-            self._sum = np.concatenate([np.zeros(1, np.uint64), np.cumsum((buf.astype(np.uint64) + np.uint64(1)) * up[: len(buf)], dtype=np.uint64)])
+        self._buf = buf
+        word = np.concatenate([buf, np.zeros(8, np.uint8)]).astype(np.uint64)
+        for k in (1, 2, 4):
+            word = word[:-k] | (word[k:] << np.uint64(8 * k))
+        self._word = word                                # the 8 bytes from each position on
 
     def __call__(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+        length = end - start
         with np.errstate(over="ignore"):
-            return mix((self._sum[end] - self._sum[start]) * self._down[start] + (end - start).astype(np.uint64) * _MIX_A)
+            out = mix(length.astype(np.uint64) * _MIX_A + _ODD)
+            for k in range(0, self.SHORT, 8):
+                some = np.flatnonzero((length > k) & (length <= self.SHORT))
+                over = np.maximum(8 - (length[some] - k), 0).astype(np.uint64) * np.uint64(8)
+                out[some] = mix(out[some] * _ODD + ((self._word[start[some] + k] << over) >> over))
+        for i in np.flatnonzero(length > self.SHORT):
+            out[i] = int.from_bytes(hashlib.blake2b(self._buf[start[i] : end[i]].tobytes(), digest_size=8).digest(), "little")
+        return out
 
 
 def text_buffer(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
