@@ -9,7 +9,9 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from orderflow.llm import mixing, pivot_search, quality_gbt, ring, rule_ensemble, setsketch, suffix_dedup, token_count, unigram, warc
+from orderflow.llm import (
+    mixing, pivot_search, quality_gbt, resample, ring, rule_ensemble, setsketch, suffix_dedup, token_count, unigram, variants, warc,
+)
 from orderflow.llm.workers import let_workers_import
 from orderflow.sources.tables import table
 
@@ -107,3 +109,13 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return quality_gbt.assess(docs, quality_gbt.fit(docs, table(spark, sf_dir, "labels")))
+
+
+@query("op11_spelling_variants")
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return variants.variants(table(spark, sf_dir, "documents"))
+
+
+@query("op13_importance_resampling")
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resample.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
