@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from orderflow.llm import (
-    mixing, pivot_search, quality_gbt, resample, ring, rule_ensemble, setsketch, suffix_dedup, token_count, unigram, variants, warc,
+    ctw, mixing, pivot_search, quality_gbt, resample, ring, rule_ensemble, setsketch, suffix_dedup, token_count, unigram, variants, warc,
 )
 from orderflow.llm.workers import let_workers_import
 from orderflow.sources.tables import table
@@ -116,6 +116,11 @@ def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
     return variants.variants(table(spark, sf_dir, "documents"))
 
 
+@query("op12_lm_scoring")
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ctw.score(table(spark, sf_dir, "documents"))
+
+
 @query("op13_importance_resampling")
 def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
     return resample.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
