@@ -9,10 +9,11 @@ of all depths, each with the weight that the training data gave it.
 1. Blocks of documents (dealt by a hash, bounded in bytes) send their different byte strings
    of ``depth`` + 1 bytes and their different words, with counts in training documents, to
    shards by hash. What is sent grows with the corpus; nothing is capped or hashed away.
-2. Shards sum the strings. From these rows the tree is grown level by level as grouped sums:
-   counts of a shorter context are those of the longer ones, and the weighted block
-   probability of a context is half its own estimate plus half the product over its
-   longer contexts. Contexts and nodes are the keys, so no key is larger than its 256 children.
+2. Shards sum the strings. From these rows the tree is grown level by level: counts of a shorter
+   context are the sums of the longer ones', and the weighted block probability of a context
+   is half its own estimate plus half the product over its longer contexts. Strings that
+   agree in the nearest ``split`` bytes are one task's arrays (their number has a bound);
+   shorter contexts are grouped sums by context and node.
 3. Going down level by level, each context joins its parent's mixture. Strings that only held-out
    documents hold are in the tree with no counts, where they change nothing: a decision
    takes the mixture up to the longest context that training has seen it in.
@@ -35,7 +36,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from orderflow.llm import textbytes as tb
@@ -47,6 +48,7 @@ class Model:
     """Parameters of the model and of its dealing."""
 
     depth: int = 5                 # bytes of the longest context; 7 at most
+    split: int = 3                 # contexts longer than this are grown in arrays; at most depth
     folds: int = 10                # one fold of so many is held out
     smooth: float = 0.1            # of the base score
     block_bytes: int = 8 << 20     # texts of a block
@@ -55,6 +57,7 @@ class Model:
 
 BLANK, END = 0x20, 0x0A
 SLICE = 1 << 20
+ROWS = 100_000                     # strings whose levels are grown together
 GRAMS, WORDS, TOKENS, DISTINCT = range(4)
 MESSAGE = "block long, shard int, kind int, rows long, one binary, two binary"
 _FIELDS = pa.schema([("block", pa.int64()), ("shard", pa.int32()), ("kind", pa.int32()), ("rows", pa.int64()), ("one", pa.binary()), ("two", pa.binary())])
@@ -161,6 +164,10 @@ def _by_shard(block: int, kind: int, shard: np.ndarray, packed) -> list[tuple]:
     return [(block, int(shard[order[a]]), kind, b - a, *packed(order[a:b])) for a, b in zip(cuts, cuts[1:])]
 
 
+def _shard(gram: np.ndarray, shards: int) -> np.ndarray:
+    return (tb.mix(gram) % np.uint64(shards)).astype(np.int64)
+
+
 def ask(model: Model, shards: int):
     """A block's different strings and words, with their counts in its training documents."""
     def step(table: pa.Table) -> pa.Table:
@@ -176,7 +183,7 @@ def ask(model: Model, shards: int):
             n = np.bincount(coded.indices.to_numpy()[learn[a:b][s.owner]], minlength=len(coded.dictionary))
             words.append(pa.array(_list(coded.dictionary), pa.large_binary())), counts.append(n)
         key, n = _summed(np.concatenate(keys), np.concatenate(times))
-        out = _by_shard(block, GRAMS, (tb.mix(key) % np.uint64(shards)).astype(np.int64), lambda some: (_pack(key[some].tobytes()), _pack(n[some].tobytes())))
+        out = _by_shard(block, GRAMS, _shard(key, shards), lambda some: (_pack(key[some].tobytes()), _pack(n[some].tobytes())))
         word, m = _summed_words(words, counts)
         order = pc.sort_indices(word).to_numpy()
         word, m = word.take(pa.array(order)).to_pylist(), m[order]
@@ -189,7 +196,7 @@ def sum_grams(table: pa.Table) -> pa.Table:
     """Of one shard: its different strings and their counts."""
     key, n = _summed(np.concatenate([_numbers(x, np.uint64) for x in table.column("one").to_pylist()]),
                      np.concatenate([_numbers(x) for x in table.column("two").to_pylist()]))
-    return pa.table({"gram": key.view(np.int64), "n": n, "shard": np.full(len(key), table.column("shard")[0].as_py(), np.int32)})
+    return pa.table({"gram": key.view(np.int64), "n": n})
 
 
 def answer_words(table: pa.Table) -> pa.Table:
@@ -211,62 +218,139 @@ def answer_grams(table: pa.Table, scored: pa.Table) -> pa.Table:
 
 
 # -- the tree -----------------------------------------------------------------------------
+#
+# A cell is a context and a node of the byte's binary tree: (context bytes, nearest first) << 8 | node.
 
-def log_gamma(x: Column) -> Column:
-    """Natural logarithm of gamma for x >= 0.5, by Stirling's series at x + 8."""
+def log_gamma(x, log):
+    """Natural logarithm of gamma for x >= 0.5, by Stirling's series at x + 8; of arrays or columns."""
     y = x + 8
-    below = F.log(x * (x + 1) * (x + 2) * (x + 3)) + F.log((x + 4) * (x + 5) * (x + 6) * (x + 7))
-    series = 1 / (12 * y) - 1 / (360 * y**3) + 1 / (1260 * y**5) - 1 / (1680 * y**7)
-    return (y - 0.5) * F.log(y) - y + 0.5 * math.log(2 * math.pi) + series - below
-
-
-def log_estimate(zeros: Column, ones: Column) -> Column:
-    """Log of the Krichevsky-Trofimov block probability of the counts."""
-    z, o = zeros.cast("double"), ones.cast("double")
-    return F.when(z + o == 0, F.lit(0.0)).otherwise(log_gamma(z + 0.5) + log_gamma(o + 0.5) - log_gamma(z + o + 1) - math.log(math.pi))
-
-
-def decisions(grams: DataFrame) -> DataFrame:
-    """Eight rows of a string: ``cell`` (context and node of the byte's binary tree) and the bit taken."""
-    byte = F.col("gram").bitwiseAND(255)
-    level = F.explode(F.sequence(F.lit(0), F.lit(7))).alias("level")
-    node = F.expr("shiftleft(1L, level) | shiftright(byte, 8 - level)")
-    return (grams.withColumn("byte", byte).select("*", level)
-            .select("gram", "n", F.expr("shiftleft(shiftrightunsigned(gram, 8), 8)").bitwiseOR(node).alias("cell"),
-                    F.expr("shiftright(byte, 7 - level) & 1").alias("bit")))
-
-
-def string_scores(grams: DataFrame, model: Model) -> DataFrame:
-    """(gram, score): log10 probability of the last byte of each string (gram, n) after the others."""
-    own = log_estimate(F.col("zeros"), F.col("ones"))
-    leaves = decisions(grams).groupBy("cell").agg(F.sum(F.when(F.col("bit") == 0, F.col("n")).otherwise(0)).alias("zeros"),
-                                                  F.sum(F.when(F.col("bit") == 1, F.col("n")).otherwise(0)).alias("ones"))
-    # The context's own weight in its mixture; a longest context has nothing else.
-    levels = [cut_lineage(leaves.withColumn("weighted", own).withColumn("share", F.lit(1.0)))]
+    below = log(x * (x + 1) * (x + 2) * (x + 3)) + log((x + 4) * (x + 5) * (x + 6) * (x + 7))
+    y2 = y * y
+    series = (1 - (1 / 30 - (1 / 105 - 1 / 140 / y2) / y2) / y2) / (12 * y)
+    return (y - 0.5) * log(y) - y + 0.5 * math.log(2 * math.pi) + series - below
+
+
+def log_estimate(z, o, log):
+    """Log of the Krichevsky-Trofimov block probability of ``z`` zeros and ``o`` ones."""
+    return log_gamma(z + 0.5, log) + log_gamma(o + 0.5, log) - log_gamma(z + o + 1, log) - math.log(math.pi)
+
+
+class Levels:
+    """The cells of some strings at the depths from ``model.depth`` up to ``model.split``, as arrays.
+
+    Each level has cells in order, their counts, ``weighted`` (log of the weighted block
+    probability), ``share`` (weight of the cell's own estimate in its mixture) and ``up``, the
+    place of its parent in the next shorter level.
+    """
+
+    def __init__(self, gram: np.ndarray, n: np.ndarray, model: Model):
+        byte, context = gram & np.uint64(255), gram >> np.uint64(8) << np.uint64(8)
+        cell = np.concatenate([context | np.uint64(1 << j) | (byte >> np.uint64(8 - j)) for j in range(8)])
+        self.bit = np.concatenate([(byte >> np.uint64(7 - j)) & np.uint64(1) for j in range(8)]).astype(bool)
+        cell, self.place = np.unique(cell, return_inverse=True)
+        times = np.tile(n, 8)
+        counts = [np.bincount(self.place[b], times[b], len(cell)) for b in (~self.bit, self.bit)]
+        own = log_estimate(*counts, np.log)
+        self.levels = [{"cell": cell, "counts": counts, "weighted": own, "share": np.ones(len(cell))}]
+        for _ in range(model.depth - model.split):
+            lower = self.levels[-1]
+            cell, lower["up"] = np.unique(lower["cell"] >> np.uint64(16) << np.uint64(8) | lower["cell"] & np.uint64(255), return_inverse=True)
+            counts = [np.bincount(lower["up"], c, len(cell)) for c in lower["counts"]]
+            longer = np.bincount(lower["up"], lower["weighted"], len(cell))
+            own = log_estimate(*counts, np.log)
+            with np.errstate(over="ignore"):
+                self.levels.append({"cell": cell, "counts": counts, "weighted": np.logaddexp(own, longer) - math.log(2), "share": 1 / (1 + np.exp(longer - own))})
+
+    def scores(self, state: dict[str, np.ndarray]) -> np.ndarray:
+        """log10 probabilities of the strings, given the mixture ``state`` of the shortest level's cells."""
+        top = self.levels[-1]
+        order = np.argsort(state["cell"])
+        at = order[np.searchsorted(state["cell"], top["cell"], sorter=order)]
+        give, rest, end = [state["give_0"][at], state["give_1"][at]], state["rest"][at], [state["p_0"][at], state["p_1"][at]]
+        for level in reversed(self.levels[:-1]):
+            up, total = level["up"], level["counts"][0] + level["counts"][1]
+            estimate = [(c + 0.5) / (total + 1) for c in level["counts"]]
+            end = [np.where(total > 0, g[up] + rest[up] * e, p[up]) for g, e, p in zip(give, estimate, end)]
+            give = [g[up] + rest[up] * level["share"] * e for g, e in zip(give, estimate)]
+            rest = rest[up] * (1 - level["share"])
+        p = np.where(self.bit, end[1][self.place], end[0][self.place])
+        return np.log10(p).reshape(8, -1).sum(0)
+
+
+def _whole_groups(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[pa.Table]:
+    """A sorted stream in tables of about ``most`` rows that hold whole groups of the column ``near``."""
+    held: list[pa.RecordBatch] = []
+    rows = 0
+    for batch in batches:
+        held.append(batch)
+        rows += len(batch)
+        if rows < most:
+            continue
+        table = pa.Table.from_batches(held)
+        near = table.column("near").to_numpy()
+        cut = int(np.flatnonzero(np.append(True, near[1:] != near[:-1]))[-1])
+        if cut:
+            yield table.slice(0, cut)
+        held, rows = table.slice(cut).combine_chunks().to_batches(), rows - cut
+    if rows:
+        yield pa.Table.from_batches(held)
+
+
+STATE = ("give_0", "give_1", "rest", "p_0", "p_1")
+
+
+def string_scores(grams: DataFrame, model: Model, shards: int) -> DataFrame:
+    """(gram, shard, score) of strings (gram, n): log10 probability of the last byte after the others."""
+    # Strings whose nearest ``split`` bytes agree share no longer context with others: their levels are
+    # arrays of a task, and no group has more than 256 ** (depth + 1 - split) strings.
+    near = F.shiftrightunsigned("gram", 8 * (model.depth + 1 - model.split))
+
+    def grow(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t in _whole_groups(batches, ROWS):
+            top = Levels(t.column("gram").to_numpy().view(np.uint64), t.column("n").to_numpy(), model).levels[-1]
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (top["cell"].view(np.int64), *top["counts"], top["weighted"], top["share"])],
+                                             names=["cell", "zeros", "ones", "weighted", "share"])
+
+    rows = grams.select("gram", "n", near.alias("near"))
+    levels = [cut_lineage(rows.repartition("near").sortWithinPartitions("near").mapInArrow(grow, "cell long, zeros double, ones double, weighted double, share double"))]
     shorter = F.expr("shiftleft(shiftrightunsigned(cell, 16), 8) | (cell & 255)")
-    for _ in range(model.depth):
+    for _ in range(model.split):
         up = (levels[-1].groupBy(shorter.alias("cell"))
-              .agg(F.sum("zeros").alias("zeros"), F.sum("ones").alias("ones"), F.sum("weighted").alias("longer")))
-        own_and_longer = up.withColumn("own", own).withColumn("gap", F.col("longer") - F.col("own"))
+              .agg(F.sum("zeros").alias("zeros"), F.sum("ones").alias("ones"), F.sum("weighted").alias("longer"))
+              .withColumn("own", log_estimate(F.col("zeros"), F.col("ones"), F.log)).withColumn("gap", F.col("longer") - F.col("own")))
         mixed = F.greatest("own", "longer") + F.log1p(F.exp(-F.abs("gap"))) - math.log(2)
-        levels.append(cut_lineage(own_and_longer.select("cell", "zeros", "ones", mixed.alias("weighted"), (1 / (1 + F.exp("gap"))).alias("share"))))
+        levels.append(cut_lineage(up.select("cell", "zeros", "ones", mixed.alias("weighted"), (1 / (1 + F.exp("gap"))).alias("share"))))
 
     # Downwards: what shorter contexts give to each bit (give_0, give_1), what is left for longer
     # ones (rest), and the mixture's end at the longest context that was seen (p_0, p_1).
-    seen = F.col("zeros") + F.col("ones") > 0
-    estimate = [(F.col(c) + 0.5) / (F.col("zeros") + F.col("ones") + 1) for c in ("zeros", "ones")]
+    total = F.col("zeros") + F.col("ones")
+    estimate = [(F.col(c) + 0.5) / (total + 1) for c in ("zeros", "ones")]
     down = None
     for level in reversed(levels):
         if down is None:
-            met = level.select("*", *[F.lit(0.0).alias(f"give_{b}") for b in (0, 1)], F.lit(1.0).alias("rest"), *[F.lit(0.5).alias(f"p_{b}") for b in (0, 1)])
+            start = {"give_0": 0.0, "give_1": 0.0, "rest": 1.0, "p_0": 0.5, "p_1": 0.5}
+            met = level.select("*", *[F.lit(v).alias(c) for c, v in start.items()])
         else:
             met = level.withColumn("up", shorter).join(down.withColumnRenamed("cell", "up"), "up")
-        gives = [F.col(f"give_{b}") + F.col("rest") * F.col("share") * estimate[b] for b in (0, 1)]
-        ends = [F.when(seen, F.col(f"give_{b}") + F.col("rest") * estimate[b]).otherwise(F.col(f"p_{b}")) for b in (0, 1)]
-        down = met.select("cell", *[g.alias(f"give_{b}") for b, g in enumerate(gives)], (F.col("rest") * (1 - F.col("share"))).alias("rest"),
-                          *[e.alias(f"p_{b}") for b, e in enumerate(ends)])
-    taken = decisions(grams).join(down.select("cell", "p_0", "p_1"), "cell")
-    return taken.groupBy("gram").agg(F.sum(F.log10(F.when(F.col("bit") == 1, F.col("p_1")).otherwise(F.col("p_0")))).alias("score"))
+        down = met.select(
+            "cell", *[(F.col(f"give_{b}") + F.col("rest") * F.col("share") * e).alias(f"give_{b}") for b, e in enumerate(estimate)],
+            (F.col("rest") * (1 - F.col("share"))).alias("rest"),
+            *[F.when(total > 0, F.col(f"give_{b}") + F.col("rest") * e).otherwise(F.col(f"p_{b}")).alias(f"p_{b}") for b, e in enumerate(estimate)])
+
+    def tell(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t in _whole_groups(batches, ROWS):
+            of_cell = pc.is_valid(t.column("rest"))
+            some = t.filter(pc.invert(of_cell))
+            gram = some.column("key").to_numpy().view(np.uint64)
+            cells = t.filter(of_cell)
+            state = {"cell": cells.column("key").to_numpy().view(np.uint64), **{c: cells.column(c).to_numpy() for c in STATE}}
+            score = Levels(gram, some.column("n").to_numpy(), model).scores(state)
+            yield pa.RecordBatch.from_arrays([pa.array(gram.view(np.int64)), pa.array(_shard(gram, shards).astype(np.int32)), pa.array(score)], names=["gram", "shard", "score"])
+
+    no_state = [F.lit(None).cast("double").alias(c) for c in STATE]
+    strings = rows.select("near", F.col("gram").alias("key"), "n", *no_state)
+    cells = down.select(F.shiftrightunsigned("cell", 8).alias("near"), F.col("cell").alias("key"), F.lit(0).cast("long").alias("n"), *STATE)
+    return strings.unionByName(cells).repartition("near").sortWithinPartitions("near").mapInArrow(tell, "gram long, shard int, score double")
 
 
 # -- scoring ----------------------------------------------------------------------------------
@@ -324,10 +408,10 @@ def score(docs: DataFrame, model: Model = Model(), id_col: str = "doc_id", text_
 
     asked = cut_lineage(source.groupBy("block").applyInArrow(ask(model, shards), MESSAGE))
     of_grams = asked.filter(F.col("kind") == GRAMS)
-    grams = cut_lineage(of_grams.groupBy("shard").applyInArrow(sum_grams, "gram long, n long, shard int"))
+    grams = cut_lineage(of_grams.groupBy("shard").applyInArrow(sum_grams, "gram long, n long"))
     words = cut_lineage(asked.filter(F.col("kind") == WORDS).groupBy("shard").applyInArrow(answer_words, MESSAGE))
     totals = {r.kind: r.n for r in words.filter("block < 0").groupBy("kind").agg(F.sum("rows").alias("n")).collect()}
-    scored = grams.join(string_scores(grams, model), "gram").select("gram", "shard", "score")
+    scored = string_scores(grams, model, shards)
     answers = of_grams.groupBy("shard").cogroup(scored.groupBy("shard")).applyInArrow(answer_grams, MESSAGE).unionByName(words.filter("block >= 0"))
     schema = ("doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double, "
               "n_bytes long, bits_per_byte double")

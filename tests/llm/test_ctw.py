@@ -89,9 +89,10 @@ def alike(got, wanted):
         assert a[5:7] == pytest.approx(b[5:7], rel=1e-9, abs=1e-7)
 
 
-@pytest.mark.parametrize("model", [ctw.Model(depth=4), ctw.Model(depth=2, folds=3, block_bytes=2000, shard_blocks=2), ctw.Model(depth=0, block_bytes=5000), ctw.Model(depth=7, folds=2)])
+@pytest.mark.parametrize("model", [ctw.Model(), ctw.Model(depth=2, split=1, folds=3, block_bytes=2000), ctw.Model(depth=1, split=0, block_bytes=5000), ctw.Model(depth=7, split=7, folds=2)])
 def test_equals_brute_force(docs, texts, monkeypatch, model):
     monkeypatch.setattr(ctw, "SLICE", 3000)
+    monkeypatch.setattr(ctw, "ROWS", 500)
     alike(scored(docs, model), brute(texts, model))
 
 
