@@ -53,9 +53,11 @@ class Model:
     smooth: float = 0.1            # of the base score
     block_bytes: int = 8 << 20     # texts of a block
     shard_blocks: int = 2          # blocks' messages that a shard is meant to hold
+    least_shards: int = 64
 
 
 BLANK, END = 0x20, 0x0A
+LAST = bytes((END, BLANK))          # an end, among a message's words
 SLICE = 1 << 20
 ROWS = 100_000                     # strings whose levels are grown together
 GRAMS, WORDS, TOKENS, DISTINCT = range(4)
@@ -69,7 +71,7 @@ class Stream:
     """Texts as the model reads them: ``depth`` ends as first context, then the words and the end.
 
     ``first`` and ``last`` bound the scored bytes of each text, ``token`` has the words (with
-    their blank) and ends in order, ``owner`` the text of each.
+    their blank) and ends (with the first context of what follows) in order, ``owner`` the text of each.
     """
 
     def __init__(self, buf: np.ndarray, offsets: np.ndarray, depth: int):
@@ -99,11 +101,11 @@ class Stream:
             out |= self.line[d - k : d - k + n].astype(np.uint64) << np.uint64(8 * (d - k + 1))
         return out
 
-    def scored(self) -> np.ndarray:
-        """Whether each place of ``grams`` belongs to a text."""
+    def places(self, of: np.ndarray | slice = slice(None)) -> np.ndarray:
+        """Whether each place of ``grams`` belongs to a text, or to one of some texts."""
         step = np.zeros(len(self.line) + 1, np.int8)
-        np.add.at(step, self.first, 1)
-        np.add.at(step, self.last, -1)
+        step[self.first[of]] = 1
+        step[self.last[of]] = -1
         return np.cumsum(step[:-1])[self.depth :] > 0
 
 
@@ -148,14 +150,11 @@ def _summed_words(words: list[pa.Array], counts: list[np.ndarray]) -> tuple[pa.A
     return coded.dictionary, total
 
 
-def _list(words: pa.Array) -> list[bytes]:
-    """Words as bytes with their blank; ends (with the next text's first context) as one end and a blank."""
-    return [w if w[0] != END else bytes((END, BLANK)) for w in words.to_pylist()]
-
-
 def _words(data: bytes) -> pa.Array:
-    words = _unpack(data).split(bytes((BLANK,)))[:-1]
-    return pa.array(words, pa.large_binary())
+    """The words of a message, with their blank."""
+    raw = np.frombuffer(_unpack(data), np.uint8)
+    cuts = np.concatenate([[0], np.flatnonzero(raw == BLANK) + 1]).astype(np.int64)
+    return pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(cuts) - 1, [None, pa.py_buffer(cuts), pa.py_buffer(raw)])
 
 
 def _by_shard(block: int, kind: int, shard: np.ndarray, packed) -> list[tuple]:
@@ -174,19 +173,18 @@ def ask(model: Model, shards: int):
         learn, block = table.column("learn").to_numpy(), table.column("block")[0].as_py()
         keys, times, words, counts = [], [], [], []
         for a, b, s in _streams(table, model.depth):
-            gram, row = s.grams(), np.searchsorted(s.first, np.arange(s.depth, len(s.line)), "right") - 1
-            in_text, trained = s.scored(), learn[a:b][row]
-            for some, of_training in ((in_text & trained, 1), (in_text & ~trained, 0)):
-                u, n = np.unique(gram[some], return_counts=True)
+            gram = s.grams()
+            for of, of_training in ((learn[a:b], 1), (~learn[a:b], 0)):
+                u, n = np.unique(gram[s.places(of)], return_counts=True)
                 keys.append(u), times.append(n * of_training)
             coded = s.token.dictionary_encode()
             n = np.bincount(coded.indices.to_numpy()[learn[a:b][s.owner]], minlength=len(coded.dictionary))
-            words.append(pa.array(_list(coded.dictionary), pa.large_binary())), counts.append(n)
+            words.append(coded.dictionary), counts.append(n)
         key, n = _summed(np.concatenate(keys), np.concatenate(times))
         out = _by_shard(block, GRAMS, _shard(key, shards), lambda some: (_pack(key[some].tobytes()), _pack(n[some].tobytes())))
         word, m = _summed_words(words, counts)
         order = pc.sort_indices(word).to_numpy()
-        word, m = word.take(pa.array(order)).to_pylist(), m[order]
+        word, m = [w if w[0] != END else LAST for w in word.take(pa.array(order)).to_pylist()], m[order]
         shard = np.array([zlib.crc32(w) % shards for w in word], np.int64)
         return _table(out + _by_shard(block, WORDS, shard, lambda some: (_pack(b"".join([word[i] for i in some])), _pack(m[some].tobytes()))))
     return step
@@ -370,16 +368,17 @@ def finish(model: Model, n: int, v: int):
         said = _heard(heard, WORDS)
         words = pa.chunked_array([_words(x) for x in said.column("one").to_pylist()], pa.large_binary()).combine_chunks()
         count = np.concatenate([np.zeros(0, np.int64), *map(_numbers, said.column("two").to_pylist())])
+        last = pc.index_in(pa.array([LAST], pa.large_binary()), value_set=words)[0]
         base = np.log10((count + model.smooth) / (n + model.smooth * (v + 1)))
 
         parts: list[list[np.ndarray]] = [[] for _ in range(5)]
         for _, _, s in _streams(table, model.depth):
             if not len(s.first):
                 continue
-            each = np.where(s.scored(), score[np.minimum(np.searchsorted(gram, s.grams()), len(score) - 1)], 0.0)
+            different, place = np.unique(s.grams(), return_inverse=True)   # sorted, so the search runs through memory in order
+            each = np.where(s.places(), score[np.minimum(np.searchsorted(gram, different), len(score) - 1)][place], 0.0)
             coded = s.token.dictionary_encode()
-            index = [w[:-1] for w in _list(coded.dictionary)]
-            at = pc.index_in(pa.array(index, pa.large_binary()), value_set=words).to_numpy()[coded.indices.to_numpy()]
+            at = pc.fill_null(pc.index_in(coded.dictionary, value_set=words), last).to_numpy()[coded.indices.to_numpy()]
             rows = len(s.first)
             sums = (np.bincount(s.owner, minlength=rows), np.bincount(s.owner[count[at] > 0], minlength=rows), s.last - s.first,
                     np.bincount(s.owner, weights=base[at], minlength=rows), np.add.reduceat(each, s.first - s.depth))
@@ -402,7 +401,7 @@ def score(docs: DataFrame, model: Model = Model(), id_col: str = "doc_id", text_
     source = docs.select(doc_id.alias("doc_id"), F.col(text_col).cast("string").alias("text"), (fold != 0).alias("learn"))
     size = source.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     blocks = max(1, -(-size // model.block_bytes))
-    shards = max(1, -(-blocks // model.shard_blocks))
+    shards = max(model.least_shards, -(-blocks // model.shard_blocks))
     # The text is in the hash, so rows that share an id (or have none) are dealt like others.
     source = source.withColumn("block", F.pmod(F.xxhash64("doc_id", "text"), F.lit(blocks)))
 
