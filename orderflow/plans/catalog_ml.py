@@ -178,10 +178,13 @@ def _user_stats_lookup(ctx: OrderContext) -> DataFrame:
                     r6(F.coalesce("__u_std", F.lit(std).cast("double"))).alias("user_std"))
 
 
-@register("feat_standardize", _w(FEAT_CTE + f""", fs AS (
+STANDARD_CTE = FEAT_CTE + f""", fs AS (
   SELECT {', '.join(f'avg({c}) AS m_{c}, CASE WHEN stddev_pop({c}) = 0 THEN 1.0 ELSE stddev_pop({c}) END AS s_{c}'
                     for c in FEATURE_COLS)}
-  FROM feat WHERE split = 'train')""", f"""
+  FROM feat WHERE split = 'train')"""
+
+
+@register("feat_standardize", _w(STANDARD_CTE, f"""
 SELECT order_id, split, is_fraud, {', '.join(R6(f'(CAST({c} AS DOUBLE) - m_{c}) / s_{c}') + f' AS {c}' for c in FEATURE_COLS)}
 FROM feat, fs"""))
 def _standardize(ctx: OrderContext) -> DataFrame:

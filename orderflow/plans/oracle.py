@@ -326,3 +326,35 @@ FACT_ORDERS_CTE = STG_PLUS + f""", fact AS (
 FACT_ORDERS = with_ctes(FACT_ORDERS_CTE, "SELECT * FROM fact")
 
 STAGING_ORDERS = with_ctes(STG, "SELECT * FROM stg")
+
+
+def newton_sql(table: str, cols: "Sequence[str]", steps: int, ridge: float, name: str = "nw") -> str:
+    """The same steps as CTEs for the oracle: ``table`` (fit, y, cols) -> ``<name>`` (fit, b0, b1, ...)."""
+    d = len(cols) + 1
+    linear = lambda b: " + ".join([f"{b}.b0", *[f"{b}.b{i + 1} * t.{c}" for i, c in enumerate(cols)]])
+    xs = ["1.0", *[f"t.{c}" for c in cols]]
+    out = [f"{name}_size AS (SELECT fit, sum(y) AS pos, count(*) AS n FROM {table} GROUP BY fit HAVING sum(y) > 0 AND sum(y) < count(*))",
+           f"{name}_0 AS (SELECT fit, {', '.join(f'0.0::DOUBLE AS b{i}' for i in range(d))} FROM {name}_size)"]
+    for s in range(1, steps + 1):
+        was = f"{name}_{s - 1}"
+        grad = [f"sum(w * (y - p) * x{i}) AS g{i}" for i in range(d)]
+        hess = [f"sum(w * p * (1 - p) * x{i} * x{j}) AS h{i}_{j}" for i in range(d) for j in range(i, d)]
+        out.append(f"""{name}_s{s} AS (SELECT fit, {', '.join(grad + hess)} FROM (
+  SELECT t.fit, t.y, CASE WHEN t.y = 1 THEN z.n / (2.0 * z.pos) ELSE z.n / (2.0 * (z.n - z.pos)) END AS w,
+         1.0 / (1.0 + exp(-({linear('b')}))) AS p, {', '.join(f'{c} AS x{i}' for i, c in enumerate(xs))}
+  FROM {table} t JOIN {name}_size z USING (fit) JOIN {was} b USING (fit)) q GROUP BY fit)""")
+        # elimination, a CTE a column; m{i}_{j} with column d as the right side
+        start = [f"h{min(i, j)}_{max(i, j)}" + (f" + {ridge}" if i == j and i else "") + f" AS m{i}_{j}" for i in range(d) for j in range(d)]
+        start += [f"g{i}" + (f" - {ridge} * b{i}" if i else "") + f" AS m{i}_{d}" for i in range(d)]
+        out.append(f"{name}_e{s}_0 AS (SELECT fit, {', '.join(start)} FROM {name}_s{s} JOIN {was} USING (fit))")
+        for i in range(d):
+            cells = [f"m{r}_{c}" + (f" - m{r}_{i} / m{i}_{i} * m{i}_{c}" if r > i else "") + f" AS m{r}_{c}" for r in range(d) for c in range(d + 1)]
+            out.append(f"{name}_e{s}_{i + 1} AS (SELECT fit, {', '.join(cells)} FROM {name}_e{s}_{i})")
+        last = f"{name}_e{s}_{d}"
+        for i in reversed(range(d)):
+            known = "".join(f" - m{i}_{j} * v{j}" for j in range(i + 1, d))
+            out.append(f"{name}_v{s}_{i} AS (SELECT *, (m{i}_{d}{known}) / m{i}_{i} AS v{i} FROM {last})")
+            last = f"{name}_v{s}_{i}"
+        out.append(f"{name}_{s} AS MATERIALIZED (SELECT fit, {', '.join(f'b{i} + v{i} AS b{i}' for i in range(d))} FROM {last} JOIN {was} USING (fit))")
+    out.append(f"{name} AS (SELECT * FROM {name}_{steps})")
+    return ", ".join(out)
