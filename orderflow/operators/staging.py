@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import DecimalType
 
@@ -45,19 +45,26 @@ def guard_reason() -> Column:
             .otherwise(REJECT_REASONS[2]))
 
 
-# Key of the user hash where the session names none (``spark.orderflow.user.hash.key``).
+# Key of the user and address hashes; sessions on one machine (tests, bench) may leave it unset.
 USER_HASH_KEY, USER_HASH_CONF = "orderflow", "spark.orderflow.user.hash.key"
 
 
+def hash_key(spark: SparkSession) -> str:
+    """The secret that the session names. On a cluster there is no default: a known key protects nobody."""
+    key = spark.conf.get(USER_HASH_CONF, None)
+    if not key and not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError(f"{USER_HASH_CONF} is not set; users and addresses can't be hashed without a key")
+    return key or USER_HASH_KEY
+
+
 def mask_pii(df: DataFrame) -> DataFrame:
-    """Keyed SHA-256 of the user and SHA-256 of the IP, in place of the clear values.
+    """Keyed SHA-256 of the user and of the IP, in place of the clear values.
 
     The same user always has the same hash, so marts can still group by it; a
     null user stays null.
     """
-    key = df.sparkSession.conf.get(USER_HASH_CONF, USER_HASH_KEY)
-    user = F.sha2(F.concat(F.lit(f"{key}-"), F.col("user_id")), 256)
-    return df.withColumns({"user_id": user, "ip_address": F.sha2(F.col("ip_address"), 256)})
+    key = F.lit(f"{hash_key(df.sparkSession)}-")
+    return df.withColumns({c: F.sha2(F.concat(key, F.col(c)), 256) for c in ("user_id", "ip_address")})
 
 
 def with_scoring(df: DataFrame, score_col: str = "fraud_score") -> DataFrame:

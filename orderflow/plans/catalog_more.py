@@ -141,7 +141,7 @@ STREAM_CTE = O.RAW + f""", judged AS (
   SELECT a.*, CAST((SELECT max(n) FROM wins w WHERE w.user_id = a.user_id AND w.ws IN (a.s, a.s - 1)) AS INT) AS orders_per_user_1m
   FROM accepted a
 ), st AS (
-  SELECT order_id, sha256('orderflow-' || user_id) AS user_id, CAST(amount AS DOUBLE) AS amount, timestamp,
+  SELECT order_id, sha256('orderflow-' || user_id) AS user_id, CAST(amount AS DOUBLE) AS amount, category, timestamp,
          CAST(timestamp AS DATE) AS order_date, orders_per_user_1m,
          round(least(CAST(1 AS DOUBLE), CAST(0.05 AS DOUBLE) + CAST(0.25 AS DOUBLE) * location_mismatch
            + CASE WHEN amount > 1000 THEN CAST(0.35 AS DOUBLE) ELSE CAST(0 AS DOUBLE) END
@@ -169,7 +169,7 @@ def _stream_velocity(ctx: OrderContext) -> DataFrame:
 
 @register("stream_guard_split", _w(STREAM_CTE, """
 SELECT order_id, sha256('orderflow-' || user_id) AS user_id, product_id, product_name, category, CAST(amount AS DOUBLE) AS amount,
-       quantity, payment_method, sha256(ip_address) AS ip_address, device_type, location_mismatch, timestamp, reject_reason
+       quantity, payment_method, sha256('orderflow-' || ip_address) AS ip_address, device_type, location_mismatch, timestamp, reject_reason
 FROM judged WHERE reject_reason IS NOT NULL"""))
 def _stream_guard(ctx: OrderContext) -> DataFrame:
     return stream_outputs(ctx, "guard").dead_rows(ctx.spark).drop("batch_id", "order_date")
@@ -452,16 +452,30 @@ def _vel_range(ctx: OrderContext) -> DataFrame:
         .select("order_id", "timestamp", "orders_per_user_1m")
 
 
-@register("stream_ttl_features", _w(AGENT_CTE, f"""
-SELECT a.order_id, p.orders_per_user_1m AS velocity_1m, a.gnn_score,
-       p.timestamp + INTERVAL '1' HOUR AS expires_at
-FROM processed p JOIN (SELECT DISTINCT order_id, gnn_score FROM agent) a USING (order_id)
-WHERE p.timestamp > {NOW} - INTERVAL '1' HOUR"""))
+# Values live for an hour of event time: an order's until an hour after it, a user's counter over its live orders.
+@register("stream_ttl_features", _w(STREAM_CTE + """, live AS (
+  SELECT * FROM st WHERE epoch_us(timestamp) + 3600000000 > (SELECT max(epoch_us(timestamp)) FROM judged WHERE reject_reason IS NULL)
+)""", """
+SELECT 'order:' || order_id AS key, 'velocity_1m' AS feature, CAST(orders_per_user_1m AS DOUBLE) AS value, timestamp + INTERVAL '1' HOUR AS expires_at FROM live
+UNION ALL SELECT 'order:' || order_id, 'fraud_score', fraud_score, timestamp + INTERVAL '1' HOUR FROM live
+UNION ALL SELECT 'user:' || user_id, 'velocity_1h', CAST(count(*) AS DOUBLE), max(timestamp) + INTERVAL '1' HOUR FROM live GROUP BY user_id"""))
 def _ttl(ctx: OrderContext) -> DataFrame:
-    sig = agent.with_ring_score(ctx.processed)
-    live = sig.filter(F.col("timestamp") > ctx.as_of - F.expr("INTERVAL 1 HOUR"))
-    return live.select("order_id", F.col("orders_per_user_1m").alias("velocity_1m"), "gnn_score",
-                       (F.col("timestamp") + F.expr("INTERVAL 1 HOUR")).alias("expires_at"))
+    live = stream_outputs(ctx, "ttl").live_features(ctx.spark)
+    named = F.array(*[F.struct(F.lit(n).alias("feature"), F.col(n).cast("double").alias("value")) for n in ("velocity_1m", "fraud_score")])
+    orders = live.select(F.concat(F.lit("order:"), "order_id").alias("key"), F.inline(named), "expires_at").select("key", "feature", "value", "expires_at")
+    users = live.groupBy("user_id").agg(F.count(F.lit(1)).cast("double").alias("value"), F.max("expires_at").alias("expires_at"))
+    return orders.unionByName(users.select(F.concat(F.lit("user:"), "user_id").alias("key"), F.lit("velocity_1h").alias("feature"), "value", "expires_at"))
+
+
+@register("stream_minute_rollup", _w(STREAM_CTE, """
+SELECT order_date, date_trunc('minute', timestamp) AS minute, category, count(*) AS orders,
+       CAST(sum(CAST(round(amount * 100) AS BIGINT)) AS BIGINT) AS revenue_cents, CAST(sum(CAST(fraud_score > 0.5 AS INT)) AS BIGINT) AS fraud_orders,
+       CAST(sum(CASE WHEN fraud_score > 0.5 THEN CAST(round(amount * 100) AS BIGINT) ELSE 0 END) AS BIGINT) AS fraud_revenue_cents,
+       CAST(sum(CAST(fraud_score > 0.8 AS INT)) AS BIGINT) AS critical_orders
+FROM st GROUP BY 1, 2, 3"""))
+def _rollup(ctx: OrderContext) -> DataFrame:
+    sums = stream_outputs(ctx, "rollup").minute_sums(ctx.spark)
+    return sums.withColumnsRenamed({"revenue": "revenue_cents", "fraud_revenue": "fraud_revenue_cents"})
 
 
 @register("udf_score_struct", _w(P, """

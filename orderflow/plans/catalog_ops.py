@@ -153,7 +153,7 @@ def _rejected(ctx: OrderContext) -> DataFrame:
 
 @register("prj_pii_mask", _w(O.RAW, f"""
 SELECT order_id, sha256('orderflow-' || user_id) AS user_id,
-       sha256(ip_address) AS ip_address FROM raw WHERE {O.GUARD}"""))
+       sha256('orderflow-' || ip_address) AS ip_address FROM raw WHERE {O.GUARD}"""))
 def _mask(ctx: OrderContext) -> DataFrame:
     return stg_ops.mask_pii(stg_ops.valid_orders(ctx.raw, ctx.as_of)).select(
         "order_id", "user_id", "ip_address")

@@ -67,7 +67,7 @@ GUARD = """coalesce(amount > 0 AND amount < 100000 AND user_id IS NOT NULL
 PROCESSED = RAW + f""", processed AS (
   SELECT order_id, sha256('orderflow-' || user_id) AS user_id,
          product_id, product_name, category, amount, amount AS order_amount, quantity, payment_method,
-         sha256(ip_address) AS ip_address, device_type, location_mismatch, account_age_days, shipping_address, checkout_seconds, timestamp,
+         sha256('orderflow-' || ip_address) AS ip_address, device_type, location_mismatch, account_age_days, shipping_address, checkout_seconds, timestamp,
          burst_us, orders_per_user_1m, fraud_score, fraud_score > 0.5 AS is_fraud,
          CASE WHEN fraud_score > 0.8 THEN 'CRITICAL' WHEN fraud_score > 0.4 THEN 'HIGH' ELSE 'LOW' END AS risk_level,
          {REASONING} AS reasoning

@@ -28,6 +28,33 @@ def write_partitions(df: DataFrame, path: str, batch_id: int, by: tuple[str, ...
        .option("partitionOverwriteMode", "dynamic").partitionBy(*by, "batch_id").parquet(path))
 
 
+def _folders(spark: SparkSession, path: str, pattern: str):
+    """(file system, folders under ``path`` that match), by Spark's own file systems."""
+    hadoop = spark._jvm.org.apache.hadoop.fs.Path
+    fs = hadoop(path).getFileSystem(spark._jsc.hadoopConfiguration())
+    return fs, [f.getPath() for f in (fs.globStatus(hadoop(f"{path}/{pattern}")) or [])]
+
+
+def clear_batch(spark: SparkSession, path: str, batch_id: int) -> None:
+    """Remove what an earlier attempt at a batch has written, under whatever date."""
+    for pattern in (f"batch_id={batch_id}", f"*/batch_id={batch_id}"):
+        fs, found = _folders(spark, path, pattern)
+        for folder in found:
+            fs.delete(folder, True)
+
+
+def expire(spark: SparkSession, path: str, column: str, gone: Callable[[str], bool]) -> list[str]:
+    """Remove the partitions ``column=<value>`` whose value is ``gone``; the values removed."""
+    fs, found = _folders(spark, path, f"{column}=*")
+    out = []
+    for folder in found:
+        value = folder.getName().split("=", 1)[1]
+        if value != "__HIVE_DEFAULT_PARTITION__" and gone(value):
+            fs.delete(folder, True)
+            out.append(value)
+    return sorted(out)
+
+
 def read_table(spark: SparkSession, path: str) -> DataFrame:
     """All batches written by ``write_partitions``."""
     return spark.read.parquet(path).withColumn("batch_id", F.col("batch_id").cast("long"))
