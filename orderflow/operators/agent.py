@@ -11,6 +11,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from orderflow.functions import rules
+from orderflow.operators.common import join_null_safe
+from orderflow.operators.ranking import cumulative_by_value
 from orderflow.operators.velocity import trailing_count
 
 HOUR_US = 3_600_000_000
@@ -27,10 +29,22 @@ def ip_signals(orders: DataFrame, ip_col: str = "ip_address") -> DataFrame:
     )
 
 
-def with_ring_score(orders: DataFrame, ip_col: str = "ip_address") -> DataFrame:
-    """``gnn_score`` = fraud share of all orders sharing the IP; ``is_proxy`` flag."""
-    sig = ip_signals(orders, ip_col)
-    return (orders.join(sig, ip_col, "left")
+# Share of an IP without earlier orders: one in two.
+NO_HISTORY = (1, 2)
+
+
+def with_ring_score(orders: DataFrame, ip_col: str = "ip_address", ts_col: str = "timestamp") -> DataFrame:
+    """``gnn_score`` = fraud share of the earlier orders from the same IP (0.5 where there are none), as
+    ``ip_fraud_orders`` / ``ip_orders``; ``is_proxy`` flag. Neither the order's own label nor a
+    later one counts. An IP's orders are counted over ranges of time, so a third of
+    all rows from one IP is many tasks."""
+    us = orders.withColumn("__us", F.unix_micros(F.col(ts_col)))
+    past = cumulative_by_value(us.select(ip_col, "__us", "is_fraud"), [ip_col], "__us", {"n": F.lit(1), "f": F.col("is_fraud").cast("int")}, descending=False)
+    some = F.col("n_beyond") > 0
+    past = past.select(ip_col, "__us", F.when(some, F.coalesce("f_beyond", F.lit(0))).otherwise(NO_HISTORY[0]).cast("long").alias("ip_fraud_orders"),
+                       F.when(some, F.col("n_beyond")).otherwise(NO_HISTORY[1]).cast("long").alias("ip_orders"))
+    users = ip_signals(orders, ip_col).select(ip_col, "ip_users")
+    return (join_null_safe(us, past, [ip_col, "__us"], "left").drop("__us").join(users, ip_col, "left")
             .withColumn("gnn_score", F.col("ip_fraud_orders").cast("double") / F.col("ip_orders").cast("double"))
             .withColumn("is_proxy", F.col("ip_users") > PROXY_MIN_USERS))
 
@@ -91,14 +105,22 @@ def drop_blocked(processed: DataFrame, ttl_hours: int = 24) -> DataFrame:
     return counted.filter(F.col("__blocks") == 0).drop("__us", "__crit", "__blocks")
 
 
+# Fixed values of an alert: names, colours, titles of its fields.
+ALERT_NAME, ALERT_ICON = "orderflow", ":shield:"
+ALERT_COLOURS = {"CRITICAL": "#ff0000", "HIGH": "#ffa500"}
+ALERT_TITLE, ALERT_FALLBACK = "🚨 %s Risk Fraud Detected", "🚨 %s FRAUD DETECTED: %s"
+ALERT_FIELDS = ("Order ID", "Fraud Score", "Risk Level", "Reasoning")
+
+
 def alerts(processed: DataFrame) -> DataFrame:
-    """CRITICAL / HIGH rows as alert payloads (JSON text)."""
-    hot = processed.filter(F.col("risk_level").isin("CRITICAL", "HIGH"))
-    payload = F.to_json(F.struct(
-        F.concat(F.lit("🚨 "), F.col("risk_level"), F.lit(" Risk Fraud Detected")).alias("title"),
-        F.col("order_id").alias("order_id"),
-        F.col("fraud_score").cast("string").alias("fraud_score"),
-        F.col("risk_level").alias("risk_level"),
-        F.col("reasoning").alias("reasoning"),
-    ))
+    """CRITICAL / HIGH rows as chat messages (JSON text) with one attachment and its fields."""
+    hot = processed.filter(F.col("risk_level").isin(*ALERT_COLOURS))
+    values = (F.col("order_id"), F.col("fraud_score").cast("decimal(10,4)").cast("string"), F.col("risk_level"), F.col("reasoning"))
+    fields = [F.struct(F.lit(t).alias("title"), v.alias("value"), F.lit(t != "Reasoning").alias("short")) for t, v in zip(ALERT_FIELDS, values)]
+    attachment = F.struct(
+        F.format_string(ALERT_FALLBACK, "risk_level", "order_id").alias("fallback"),
+        F.when(F.col("risk_level") == "CRITICAL", ALERT_COLOURS["CRITICAL"]).otherwise(ALERT_COLOURS["HIGH"]).alias("color"),
+        F.format_string(ALERT_TITLE, "risk_level").alias("title"), F.array(*fields).alias("fields"),
+        F.lit(ALERT_NAME).alias("footer"), F.unix_seconds("timestamp").alias("ts"))
+    payload = F.to_json(F.struct(F.lit(ALERT_NAME).alias("username"), F.lit(ALERT_ICON).alias("icon_emoji"), F.array(attachment).alias("attachments")))
     return hot.select("order_id", "risk_level", payload.alias("payload"))

@@ -126,60 +126,68 @@ def pct_rank_of_train(frame: DataFrame, amount: str = "order_amount", out_col: s
     return ranked.withColumn(out_col, F.coalesce(out_col, F.lit(0.5)))
 
 
-def engineer(tx: DataFrame) -> DataFrame:
-    """The 15-column feature matrix (plus order_id, split, is_fraud).
+HIGH_VALUE_COLS = frozenset({"is_high_value", "location_highvalue_risk"})
 
-    ``tx`` needs: order_id, user_id, order_amount, order_timestamp,
-    orders_per_user_1m, location_mismatch, device_type, account_age_days,
-    shipping_address, checkout_seconds, is_fraud.
+
+def engineer(tx: DataFrame, cols: Sequence[str] = FEATURE_COLS) -> DataFrame:
+    """order_id, split, is_fraud and the columns ``cols`` of the feature matrix.
+
+    Only the statistics that ``cols`` need are fitted. ``tx`` needs: order_id, user_id,
+    order_amount, order_timestamp, orders_per_user_1m, location_mismatch,
+    device_type, account_age_days, shipping_address, checkout_seconds, is_fraud.
     """
-    # The split frame feeds eight statistics; its rows are checkpointed where
+    asked = set(cols)
+    # The split frame feeds the statistics; its rows are checkpointed where
     # they are numbered, so none of them runs the upstream pipeline again.
     df = chrono_split(tx)
     train = df.filter(F.col("split") == "train")
 
-    df = label_encode(df, label_dictionary(train, ["device_type"]), ["device_type"])
-    df = amount_zscore(df, user_amount_stats(train), *train_amount_stats(train))
-
-    us = df.withColumn("__us", F.unix_micros("order_timestamp"))
-    df = trailing_count(us, ["split", "user_id"], "__us", HOUR_US - 1, "orders_per_user_last_hour").drop("__us")
-    # One table of cumulative counts serves the percent ranks and the exact 95th
-    # percentile of the train rows.
-    counts = cumulative_by_value(df.select("split", "order_amount"), ["split"], "order_amount", descending=False)
-    beyond = counts.select("split", "order_amount", F.col("n_eq").alias("n_equal"), "n_beyond", F.col("n_total").alias("n_group"))
-    df = attach_pct_rank(df, beyond, "order_amount", "amount_pct_rank", parts=["split"])
-    train_counts = counts.filter(F.col("split") == "train")
-    high = quantiles_of_counts(train_counts, [], "order_amount", [HIGH_VALUE_QUANTILE]).collect()  # one row, or none without train rows
-    p95 = F.lit(high[0].quantile if high else None).cast("double")
-    fraud_addresses = train.filter(F.col("is_fraud")).select("shipping_address").distinct() \
-                           .withColumn("known_fraud_address", F.lit(1))
-    df = df.join(fraud_addresses, "shipping_address", "left")
+    if "device_type_enc" in asked:
+        df = label_encode(df, label_dictionary(train, ["device_type"]), ["device_type"])
+    if "amount_zscore_user" in asked:
+        df = amount_zscore(df, user_amount_stats(train), *train_amount_stats(train))
+    if "orders_per_user_last_hour" in asked:
+        us = df.withColumn("__us", F.unix_micros("order_timestamp"))
+        df = trailing_count(us, ["split", "user_id"], "__us", HOUR_US - 1, "orders_per_user_last_hour").drop("__us")
+    p95 = F.lit(None).cast("double")
+    if "amount_pct_rank" in asked or asked & HIGH_VALUE_COLS:
+        # One table of cumulative counts serves the percent ranks and the exact 95th
+        # percentile of the train rows.
+        counted = df if "amount_pct_rank" in asked else train
+        counts = cumulative_by_value(counted.select("split", "order_amount"), ["split"], "order_amount", descending=False)
+        if "amount_pct_rank" in asked:
+            beyond = counts.select("split", "order_amount", F.col("n_eq").alias("n_equal"), "n_beyond", F.col("n_total").alias("n_group"))
+            df = attach_pct_rank(df, beyond, "order_amount", "amount_pct_rank", parts=["split"])
+        if asked & HIGH_VALUE_COLS:
+            high = quantiles_of_counts(counts.filter(F.col("split") == "train"), [], "order_amount", [HIGH_VALUE_QUANTILE]).collect()  # one row, or none without train rows
+            p95 = F.lit(high[0].quantile if high else None).cast("double")
+    if "known_fraud_address" in asked:
+        fraud_addresses = train.filter(F.col("is_fraud")).select("shipping_address").distinct().withColumn("__known", F.lit(1))
+        df = df.join(fraud_addresses, "shipping_address", "left")
 
     amount = F.col("order_amount").cast("double")
     hour = F.hour("order_timestamp")
     high_value = (amount > p95).cast("int")
     mismatch = F.col("location_mismatch").cast("int")
     velocity = F.col("orders_per_user_1m").cast("int")
-    # Lazy, so a query for one column builds only that column; who reads the
-    # matrix more than once checkpoints it.
-    return df.select(
-        "order_id", "split", F.col("is_fraud").cast("int").alias("is_fraud"),
-        amount.alias("order_amount"),
-        velocity.alias("orders_per_user_last_minute"),
-        mismatch.alias("location_mismatch"),
-        F.col("device_type_enc").cast("int").alias("device_type_enc"),
-        F.col("amount_zscore_user"),
-        F.col("orders_per_user_last_hour").cast("int").alias("orders_per_user_last_hour"),
-        F.col("amount_pct_rank"),
-        (F.col("account_age_days") < NEW_USER_DAYS).cast("int").alias("is_new_user"),
-        hour.cast("int").alias("order_hour"),
-        is_late_night_model(hour).alias("is_late_night"),
-        F.coalesce(F.col("checkout_seconds") < FAST_CHECKOUT_SECONDS, F.lit(False)).cast("int").alias("fast_checkout"),
-        high_value.alias("is_high_value"),
-        F.coalesce(F.col("known_fraud_address"), F.lit(0)).cast("int").alias("known_fraud_address"),
-        (velocity * amount).alias("velocity_amount_interaction"),
-        (mismatch * high_value).alias("location_highvalue_risk"),
-    )
+    made = {
+        "order_amount": lambda: amount,
+        "orders_per_user_last_minute": lambda: velocity,
+        "location_mismatch": lambda: mismatch,
+        "device_type_enc": lambda: F.col("device_type_enc").cast("int"),
+        "amount_zscore_user": lambda: F.col("amount_zscore_user"),
+        "orders_per_user_last_hour": lambda: F.col("orders_per_user_last_hour").cast("int"),
+        "amount_pct_rank": lambda: F.col("amount_pct_rank"),
+        "is_new_user": lambda: (F.col("account_age_days") < NEW_USER_DAYS).cast("int"),
+        "order_hour": lambda: hour.cast("int"),
+        "is_late_night": lambda: is_late_night_model(hour),
+        "fast_checkout": lambda: F.coalesce(F.col("checkout_seconds") < FAST_CHECKOUT_SECONDS, F.lit(False)).cast("int"),
+        "is_high_value": lambda: high_value,
+        "known_fraud_address": lambda: F.coalesce(F.col("__known"), F.lit(0)).cast("int"),
+        "velocity_amount_interaction": lambda: velocity * amount,
+        "location_highvalue_risk": lambda: mismatch * high_value,
+    }
+    return df.select("order_id", "split", F.col("is_fraud").cast("int").alias("is_fraud"), *[made[c]().alias(c) for c in FEATURE_COLS if c in asked])
 
 
 def rounded(features: DataFrame) -> DataFrame:

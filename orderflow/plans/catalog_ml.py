@@ -30,8 +30,9 @@ def transactions(ctx: OrderContext) -> DataFrame:
     return stg_ops.staging_orders(ctx.processed, extra=("account_age_days", "ip_address", "shipping_address", "checkout_seconds", "payment_method"))
 
 
-def feature_frame(ctx: OrderContext) -> DataFrame:
-    return features.engineer(transactions(ctx))
+def feature_frame(ctx: OrderContext, *cols: str) -> DataFrame:
+    """order_id, split, is_fraud and the features ``cols`` (all, if none is named)."""
+    return features.engineer(transactions(ctx), cols or FEATURE_COLS)
 
 
 STG_FEAT = O.staging("account_age_days, ip_address, shipping_address, checkout_seconds, payment_method")
@@ -125,7 +126,7 @@ def _label_encode(ctx: OrderContext) -> DataFrame:
 
 @register("feat_amount_zscore", _w(FEAT_CTE, f"SELECT order_id, split, {R6('amount_zscore_user')} AS amount_zscore_user FROM feat"))
 def _zscore(ctx: OrderContext) -> DataFrame:
-    return features.rounded(feature_frame(ctx).select("order_id", "split", "amount_zscore_user"))
+    return features.rounded(feature_frame(ctx, "amount_zscore_user").select("order_id", "split", "amount_zscore_user"))
 
 
 FLAG_COLS = ("is_new_user", "order_hour", "is_late_night", "fast_checkout", "is_high_value")
@@ -133,14 +134,13 @@ FLAG_COLS = ("is_new_user", "order_hour", "is_late_night", "fast_checkout", "is_
 
 @register("feat_flags", _w(FEAT_CTE, f"SELECT order_id, {', '.join(FLAG_COLS)} FROM feat"))
 def _flags(ctx: OrderContext) -> DataFrame:
-    return feature_frame(ctx).select("order_id", *FLAG_COLS)
+    return feature_frame(ctx, *FLAG_COLS).select("order_id", *FLAG_COLS)
 
 
 @register("feat_interactions", _w(FEAT_CTE, f"""
 SELECT order_id, {R6('velocity_amount_interaction')} AS velocity_amount_interaction, location_highvalue_risk FROM feat"""))
 def _interactions(ctx: OrderContext) -> DataFrame:
-    return features.rounded(feature_frame(ctx).select("order_id", "velocity_amount_interaction",
-                                                      "location_highvalue_risk"))
+    return features.rounded(feature_frame(ctx, "velocity_amount_interaction", "location_highvalue_risk").drop("split", "is_fraud"))
 
 
 @register("win_pct_rank", _w(FEAT_CTE, f"""
@@ -148,18 +148,18 @@ SELECT order_id, split, {R6('amount_pct_rank')} AS amount_pct_rank,
        {R6('CAST(2 * (SELECT count(*) FROM tr WHERE tr.order_amount < feat.order_amount) + (SELECT count(*) FROM tr WHERE tr.order_amount = feat.order_amount) AS DOUBLE) / CAST(2 * (SELECT count(*) FROM tr) AS DOUBLE)')} AS amount_pct_rank_train
 FROM feat"""))
 def _pct_rank(ctx: OrderContext) -> DataFrame:
-    ranked = features.pct_rank_of_train(feature_frame(ctx).select("order_id", "split", "order_amount", "amount_pct_rank"))
+    ranked = features.pct_rank_of_train(feature_frame(ctx, "order_amount", "amount_pct_rank").select("order_id", "split", "order_amount", "amount_pct_rank"))
     return features.rounded(ranked.select("order_id", "split", "amount_pct_rank", "amount_pct_rank_train"))
 
 
 @register("win_velocity_1h", _w(FEAT_CTE, "SELECT order_id, split, orders_per_user_last_hour FROM feat"))
 def _vel_1h(ctx: OrderContext) -> DataFrame:
-    return feature_frame(ctx).select("order_id", "split", "orders_per_user_last_hour")
+    return feature_frame(ctx, "orders_per_user_last_hour").select("order_id", "split", "orders_per_user_last_hour")
 
 
 @register("jn_known_fraud_address", _w(FEAT_CTE, "SELECT order_id, known_fraud_address FROM feat"))
 def _kfa(ctx: OrderContext) -> DataFrame:
-    return feature_frame(ctx).select("order_id", "known_fraud_address")
+    return feature_frame(ctx, "known_fraud_address").select("order_id", "known_fraud_address")
 
 
 @register("jn_user_stats_lookup", _w(FEAT_CTE, f"""
@@ -384,7 +384,7 @@ LONG_CTE = FEAT_CTE + f""", fl AS (
 
 
 def _long(ctx: OrderContext) -> DataFrame:
-    return drift.long_split(feature_frame(ctx), F.col("split") == "train", DRIFT_COLS)
+    return drift.long_split(feature_frame(ctx, *DRIFT_COLS), F.col("split") == "train", DRIFT_COLS)
 
 
 @register("drift_mean_shift", _w(LONG_CTE, f"""
@@ -422,7 +422,7 @@ def _gate(ctx: OrderContext) -> DataFrame:
 SELECT {', '.join(R6(c) + f' AS {c}' if c in DOUBLE_FEATURES else c for c in ('order_amount', 'orders_per_user_last_minute', 'is_fraud'))}
 FROM feat WHERE split = 'test'"""))
 def _align(ctx: OrderContext) -> DataFrame:
-    f = feature_frame(ctx)
+    f = feature_frame(ctx, "order_amount", "orders_per_user_last_minute", "amount_pct_rank", "order_hour")
     reference = f.filter(F.col("split") == "train").select("order_amount", "orders_per_user_last_minute", "is_fraud",
                                                            "amount_pct_rank")
     current = f.filter(F.col("split") == "test").select("is_fraud", "orders_per_user_last_minute", "order_amount",

@@ -390,7 +390,7 @@ def _sample(ctx: OrderContext) -> DataFrame:
 
 @register("srt_mart_order", _w(O.DIM_USERS_CTE, "SELECT user_id, total_spend_usd FROM dim_users ORDER BY total_spend_usd DESC"))
 def _sorted(ctx: OrderContext) -> DataFrame:
-    return marts.dim_users(ctx.staging, ctx.as_of).select("user_id", "total_spend_usd") \
+    return marts.dim_users(ctx.staging, ctx.as_of, cols=("user_id", "total_spend_usd")) \
                 .orderBy(F.col("total_spend_usd").desc(), F.col("user_id"))
 
 
@@ -564,7 +564,7 @@ PRODUCT_MEASURES = ("product_name", "category", "total_orders", "unique_buyers",
 
 @register("agg_product_dim", _w(O.DIM_PRODUCTS_CTE, f"SELECT {', '.join(PRODUCT_MEASURES)} FROM dim_products"))
 def _product_dim(ctx: OrderContext) -> DataFrame:
-    return marts.dim_products(ctx.staging, ctx.as_of).select(*PRODUCT_MEASURES)
+    return marts.dim_products(ctx.staging, ctx.as_of, PRODUCT_MEASURES)
 
 
 USER_MEASURES = ("user_id", "total_orders", "first_order_at", "last_order_at", "days_as_customer", "total_spend_usd",
@@ -576,7 +576,7 @@ USER_MEASURES = ("user_id", "total_orders", "first_order_at", "last_order_at", "
 
 @register("agg_user_dim", _w(O.DIM_USERS_CTE, f"SELECT {', '.join(USER_MEASURES)} FROM dim_users"))
 def _user_dim(ctx: OrderContext) -> DataFrame:
-    return marts.dim_users(ctx.staging, ctx.as_of).select(*USER_MEASURES)
+    return marts.dim_users(ctx.staging, ctx.as_of, cols=USER_MEASURES)
 
 
 STAR_CTE = (O.FACT_ORDERS_CTE
@@ -594,7 +594,8 @@ LEFT JOIN dim_time t USING (time_id)"""))
 def _star(ctx: OrderContext) -> DataFrame:
     stg_plus = stg_ops.staging_orders(ctx.processed, extra=("product_id", "quantity", "payment_method"))
     fact = marts.fact_orders(stg_plus)
-    j = marts.star_join(fact, marts.dim_users(ctx.staging, ctx.as_of), marts.dim_products(ctx.staging, ctx.as_of),
+    j = marts.star_join(fact, marts.dim_users(ctx.staging, ctx.as_of, cols=("user_id", "user_segment", "customer_value_tier")),
+                        marts.dim_products(ctx.staging, ctx.as_of, ("product_name", "category", "product_risk_tier")),
                         marts.dim_time(ctx.staging))
     return j.select("order_id", "user_id", "time_id", "user_segment", "customer_value_tier", "product_risk_tier",
                     "day_name", "is_business_hours")

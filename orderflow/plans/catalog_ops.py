@@ -299,29 +299,26 @@ def _display(ctx: OrderContext) -> DataFrame:
 @register("rule_product_risk_tier", _w(O.DIM_PRODUCTS_CTE,
           "SELECT product_name, category, fraud_rate_pct, product_risk_tier FROM dim_products"))
 def _tier(ctx: OrderContext) -> DataFrame:
-    return marts.dim_products(ctx.staging, ctx.as_of).select(
-        "product_name", "category", "fraud_rate_pct", "product_risk_tier")
+    return marts.dim_products(ctx.staging, ctx.as_of, ("product_name", "category", "fraud_rate_pct", "product_risk_tier"))
 
 
 @register("win_rank_in_category", _w(O.DIM_PRODUCTS_CTE,
           "SELECT product_name, category, total_orders, rank_in_category FROM dim_products"))
 def _rank_cat(ctx: OrderContext) -> DataFrame:
-    return marts.dim_products(ctx.staging, ctx.as_of).select(
-        "product_name", "category", "total_orders", "rank_in_category")
+    return marts.dim_products(ctx.staging, ctx.as_of, ("product_name", "category", "total_orders", "rank_in_category"))
 
 
 @register("win_rank_overall", _w(O.DIM_PRODUCTS_CTE,
           "SELECT product_name, category, total_revenue_usd, revenue_rank_overall FROM dim_products"))
 def _rank_all(ctx: OrderContext) -> DataFrame:
-    return marts.dim_products(ctx.staging, ctx.as_of).select(
-        "product_name", "category", "total_revenue_usd", "revenue_rank_overall")
+    return marts.dim_products(ctx.staging, ctx.as_of, ("product_name", "category", "total_revenue_usd", "revenue_rank_overall"))
 
 
 for _name, _cols in (("rule_reputation_score", "reputation_score"), ("rule_user_segment", "user_segment"),
                      ("rule_value_tier", "customer_value_tier")):
     def _mk(cols=_cols):
         def fn(ctx: OrderContext) -> DataFrame:
-            return marts.dim_users(ctx.staging, ctx.as_of).select("user_id", cols)
+            return marts.dim_users(ctx.staging, ctx.as_of, cols=("user_id", cols))
         return fn
     register(_name, _w(O.DIM_USERS_CTE, f"SELECT user_id, {_cols} FROM dim_users"))(_mk())
 
@@ -343,17 +340,19 @@ def _drivers(ctx: OrderContext) -> DataFrame:
 # -- agent: triage, evidence, decision, final label -----------------------------------
 
 AGENT_CTE = P + """, ipsig AS (
-  SELECT ip_address, count(*) AS ip_orders, SUM(CAST(is_fraud AS BIGINT)) AS ip_fraud_orders,
-         count(DISTINCT user_id) AS ip_users FROM processed GROUP BY ip_address
+  SELECT ip_address, count(DISTINCT user_id) AS ip_users FROM processed GROUP BY ip_address
+), earlier AS (
+  SELECT *, count(*) OVER w AS nb, SUM(CAST(is_fraud AS BIGINT)) OVER w AS fb FROM processed
+  WINDOW w AS (PARTITION BY ip_address ORDER BY epoch_us(timestamp) RANGE BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)
 ), ain AS (
   SELECT p.order_id, CAST(p.fraud_score AS DOUBLE) AS ens,
-         CAST(s.ip_fraud_orders AS DOUBLE) / CAST(s.ip_orders AS DOUBLE) AS gnn,
+         CASE WHEN nb > 0 THEN CAST(fb AS DOUBLE) / CAST(nb AS DOUBLE) ELSE 0.5 END AS gnn,
          s.ip_users > 5 AS is_proxy, p.account_age_days AS age, p.device_type AS dev,
          CAST(count(*) OVER (PARTITION BY p.user_id ORDER BY epoch_us(p.timestamp)
               RANGE BETWEEN 3599999999 PRECEDING AND CURRENT ROW) AS INT) AS vel,
          p.location_mismatch = 1 AS mis, p.amount,
-         p.timestamp AS ts, s.ip_fraud_orders AS f, s.ip_orders AS n
-  FROM processed p LEFT JOIN ipsig s USING (ip_address)
+         p.timestamp AS ts, CAST(CASE WHEN nb > 0 THEN fb ELSE 1 END AS BIGINT) AS f, CASE WHEN nb > 0 THEN nb ELSE 2 END AS n
+  FROM earlier p LEFT JOIN ipsig s USING (ip_address)
 ), agent AS (
   SELECT order_id, ens AS ensemble_score, gnn AS gnn_score,
          CASE WHEN ens > 0.9 AND gnn > 0.9 THEN 'FINAL_BLOCK' WHEN ens < 0.2 AND gnn < 0.2 THEN 'FINAL_APPROVE'
@@ -421,9 +420,15 @@ def _shadow(ctx: OrderContext) -> DataFrame:
 
 
 @register("feed_alerts", _w(P, """
-SELECT order_id, risk_level, CAST(to_json(struct_pack(
-  title := '🚨 ' || risk_level || ' Risk Fraud Detected', order_id := order_id,
-  fraud_score := CAST(fraud_score AS VARCHAR), risk_level := risk_level, reasoning := reasoning)) AS VARCHAR) AS payload
+SELECT order_id, risk_level, CAST(to_json(struct_pack(username := 'orderflow', icon_emoji := ':shield:', attachments := [struct_pack(
+  fallback := '🚨 ' || risk_level || ' FRAUD DETECTED: ' || order_id,
+  color := CASE risk_level WHEN 'CRITICAL' THEN '#ff0000' ELSE '#ffa500' END,
+  title := '🚨 ' || risk_level || ' Risk Fraud Detected',
+  fields := [struct_pack(title := 'Order ID', value := order_id, short := true),
+             struct_pack(title := 'Fraud Score', value := CAST(CAST(fraud_score AS DECIMAL(10,4)) AS VARCHAR), short := true),
+             struct_pack(title := 'Risk Level', value := risk_level, short := true),
+             struct_pack(title := 'Reasoning', value := reasoning, short := false)],
+  footer := 'orderflow', ts := epoch_us(timestamp) // 1000000)])) AS VARCHAR) AS payload
 FROM processed WHERE risk_level IN ('CRITICAL', 'HIGH')"""))
 def _alerts(ctx: OrderContext) -> DataFrame:
     return agent.alerts(ctx.processed)

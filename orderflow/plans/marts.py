@@ -8,6 +8,8 @@ partition key run over per-day or per-hour rows, bounded by the time span.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DecimalType
@@ -69,8 +71,10 @@ def fraud_daily(stg: DataFrame, as_of: Column) -> DataFrame:
     )
 
 
-def dim_products(stg: DataFrame, as_of: Column) -> DataFrame:
-    """One row per (product_name, category) with volume, revenue, fraud and ranks."""
+def dim_products(stg: DataFrame, as_of: Column, cols: Sequence[str] | None = None) -> DataFrame:
+    """One row per (product_name, category) with volume, revenue, fraud and ranks; only the columns
+    ``cols``, if they are named, and nothing that the others would need."""
+    asked = {"median_order_value_usd", "rank_in_category", "revenue_rank_overall"} & set(cols) if cols else {"median_order_value_usd", "rank_in_category", "revenue_rank_overall"}
     stats = stg.groupBy("product_name", "category").agg(
         F.count(F.lit(1)).alias("total_orders"),
         F.countDistinct("user_id").alias("unique_buyers"),
@@ -92,17 +96,23 @@ def dim_products(stg: DataFrame, as_of: Column) -> DataFrame:
              .drop("__vel_sum")
              .withColumn("product_risk_tier", rules.product_risk_tier("fraud_rate_pct")))
     # Exact medians from cumulative counts (no per-group value map in one task).
-    stats = join_null_safe(stats, group_median(stg, ["product_name", "category"], "order_amount",
-                                               "median_order_value_usd"), ["product_name", "category"], "left")
-    # One row per product, read by both rankings and the final join.
-    stats = cut_lineage(stats)
-    stats = with_rank(stats, ["category"], "total_orders", "rank_in_category", descending=True)
-    stats = with_rank(stats, [], "total_revenue_usd", "revenue_rank_overall", descending=True)
-    return stats.withColumn("dbt_updated_at", as_of)
-
-
-def dim_users(stg: DataFrame, as_of: Column, lookback_days: int = rules.LOOKBACK_DAYS) -> DataFrame:
-    """One row per user: history, spend, fraud, behaviour, reputation, segment, tier."""
+    if "median_order_value_usd" in asked:
+        stats = join_null_safe(stats, group_median(stg, ["product_name", "category"], "order_amount",
+                                                   "median_order_value_usd"), ["product_name", "category"], "left")
+    ranks = {"rank_in_category": (["category"], "total_orders"), "revenue_rank_overall": ([], "total_revenue_usd")}
+    if asked & set(ranks):
+        # One row per product, read by the rankings and the final join.
+        stats = cut_lineage(stats.select(*[c for c in stats.columns if not cols or c in (*cols, "product_name", "category") or c in [v for r, (_, v) in ranks.items() if r in asked]]))
+    for name, (parts, value) in ranks.items():
+        if name in asked:
+            stats = with_rank(stats, parts, value, name, descending=True)
+    stats = stats.withColumn("dbt_updated_at", as_of)
+    return stats.select(*cols) if cols else stats
+
+
+def dim_users(stg: DataFrame, as_of: Column, lookback_days: int = rules.LOOKBACK_DAYS, cols: Sequence[str] | None = None) -> DataFrame:
+    """One row per user: history, spend, fraud, behaviour, reputation, segment, tier; only the columns
+    ``cols``, if they are named."""
     recent = F.col("order_timestamp") > as_of - F.expr(f"INTERVAL {lookback_days} DAYS")
     stats = stg.groupBy("user_id").agg(
         F.count(F.lit(1)).alias("total_orders"),
@@ -124,12 +134,15 @@ def dim_users(stg: DataFrame, as_of: Column, lookback_days: int = rules.LOOKBACK
         count_if(recent).alias("orders_last_30d"),
         sum_if(recent, "order_amount").alias("spend_last_30d_usd"),
     )
-    stats = join_null_safe(stats, group_median(stg, ["user_id"], "order_amount", "median_order_value_usd"),
-                           ["user_id"], "left")
+    if not cols or "median_order_value_usd" in cols:
+        stats = join_null_safe(stats, group_median(stg, ["user_id"], "order_amount", "median_order_value_usd"),
+                               ["user_id"], "left")
+    else:
+        stats = stats.withColumn("median_order_value_usd", F.lit(None).cast("decimal(18,3)"))
     stats = (stats
              .withColumn("days_as_customer", whole_days("last_order_at", "first_order_at"))
              .withColumn("fraud_rate_pct", ratio_round(F.col("fraud_order_count") * 100, "total_orders", 2, 10)))
-    return stats.select(
+    out = stats.select(
         "user_id", "total_orders", "first_order_at", "last_order_at", "days_as_customer",
         "total_spend_usd", "avg_order_value_usd", "max_single_order_usd", "median_order_value_usd",
         "fraud_order_count", "fraud_rate_pct", "avg_fraud_score", "max_fraud_score",
@@ -143,6 +156,7 @@ def dim_users(stg: DataFrame, as_of: Column, lookback_days: int = rules.LOOKBACK
         rules.customer_value_tier("total_spend_usd").alias("customer_value_tier"),
         as_of.alias("dbt_updated_at"),
     )
+    return out.select(*cols) if cols else out
 
 
 def fct_fraud_orders(stg: DataFrame, as_of: Column) -> DataFrame:
