@@ -383,7 +383,7 @@ LONG_CTE = FEAT_CTE + f""", fl AS (
 )"""
 
 
-def _long(ctx: OrderContext) -> DataFrame:
+def long_features(ctx: OrderContext) -> DataFrame:
     return drift.long_split(feature_frame(ctx, *DRIFT_COLS), F.col("split") == "train", DRIFT_COLS)
 
 
@@ -396,17 +396,17 @@ SELECT feature, {O.mean6('CASE WHEN is_ref = 1 THEN value END')} AS ref_mean,
        round(stddev_samp(CASE WHEN is_ref = 0 THEN value END), 6) AS cur_std
 FROM lg GROUP BY feature) m"""))
 def _mean_shift(ctx: OrderContext) -> DataFrame:
-    return drift.mean_shift(_long(ctx))
+    return drift.mean_shift(long_features(ctx))
 
 
 @register("drift_ks_wasserstein", _w(LONG_CTE, "SELECT feature, n_ref, n_cur, ks_stat, wasserstein, drifted FROM coldrift"))
 def _ks(ctx: OrderContext) -> DataFrame:
-    return drift.column_drift(cut_lineage(_long(ctx)))
+    return drift.column_drift(cut_lineage(long_features(ctx)))
 
 
 @register("drift_share", _w(LONG_CTE, "SELECT n_columns, n_drifted, CAST(n_current AS BIGINT) AS n_current, drift_share, dataset_drift FROM share"))
 def _share(ctx: OrderContext) -> DataFrame:
-    return drift.drift_share(drift.column_drift(cut_lineage(_long(ctx))))
+    return drift.drift_share(drift.column_drift(cut_lineage(long_features(ctx))))
 
 
 @register("drift_gate", _w(LONG_CTE, """
@@ -415,7 +415,7 @@ SELECT CAST(n_current AS BIGINT) AS n_current, drift_share, CASE WHEN n_current
        CASE WHEN (CASE WHEN n_current >= 50 THEN drift_share ELSE 0.0 END) > 0.3 OR (n_current >= 50 AND dataset_drift)
             THEN 'RETRAIN' ELSE 'SKIP' END AS decision FROM share"""))
 def _gate(ctx: OrderContext) -> DataFrame:
-    return drift.gate(drift.drift_share(drift.column_drift(cut_lineage(_long(ctx)))))
+    return drift.gate(drift.drift_share(drift.column_drift(cut_lineage(long_features(ctx)))))
 
 
 @register("prj_align_columns", _w(FEAT_CTE, f"""

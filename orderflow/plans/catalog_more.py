@@ -10,7 +10,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from orderflow.functions.exact import ratio_round
-from orderflow.operators import agent
+from orderflow.functions.scalars import one_row
+from orderflow.operators import agent, drift, evaluation
 from orderflow.operators import staging as stg_ops
 from orderflow.operators.aggregates import count_if, mode_smallest
 from orderflow.operators.stats import group_median
@@ -19,7 +20,7 @@ from orderflow.plans import marts
 from orderflow.plans import oracle as O
 from orderflow.operators import forecast as fc
 from orderflow.plans.catalog_forecast import FORECAST_CTE, demand_forecast
-from orderflow.plans.catalog_ml import FEAT_CTE, feature_frame
+from orderflow.plans.catalog_ml import EVAL_CTE, FEAT_CTE, LONG_CTE, feature_frame, long_features, scored_frame
 from orderflow.plans.catalog_ops import AGENT_CTE
 from orderflow.plans.context import OrderContext
 from orderflow.plans.catalog_base import register
@@ -250,12 +251,15 @@ def _snk_console(ctx: OrderContext) -> DataFrame:
 
 
 @register("snk_dead_letter", _w(O.RAW, f"""
-SELECT order_id, amount, user_id, timestamp,
+SELECT order_id, amount, sha256('orderflow-' || user_id) AS user_id, timestamp,
        CASE WHEN NOT coalesce(amount > 0 AND amount < 100000, false) THEN 'NULL_OR_BAD_AMOUNT'
             WHEN user_id IS NULL THEN 'NULL_USER' ELSE 'NULL_OR_FUTURE_TIMESTAMP' END AS reject_reason
 FROM raw WHERE NOT {O.GUARD}"""))
 def _snk_dead(ctx: OrderContext) -> DataFrame:
-    return ctx.rejected.select("order_id", "amount", "user_id", "timestamp", "reject_reason")
+    path = os.path.join(run_root(ctx, "deadletter"), "dead_letter")
+    dead = stg_ops.mask_pii(ctx.rejected).withColumn("order_date", F.to_date("timestamp"))
+    sinks.write_partitions(dead, path, 0)
+    return sinks.read_table(ctx.spark, path).select("order_id", "amount", "user_id", "timestamp", "reject_reason")
 
 
 FEEDBACK_CTE = AGENT_CTE + """, feedback AS (
@@ -271,29 +275,58 @@ def feedback_rows(ctx: OrderContext) -> DataFrame:
         (F.col("decision") == "FINAL_BLOCK").alias("actual_label"))
 
 
-@register("snk_event_logs", _w(FEEDBACK_CTE, f"""
-SELECT 'shadow' AS log, order_id AS key, CAST(fraud_score AS DECIMAL(18,4)) AS value FROM processed
-UNION ALL SELECT 'features', order_id, CAST(amount AS DECIMAL(18,4)) FROM processed
-UNION ALL SELECT 'feedback', order_id, CAST(CAST(actual_label AS INT) AS DECIMAL(18,4)) FROM feedback
-UNION ALL SELECT 'performance', 'orders', CAST(count(*) AS DECIMAL(18,4)) FROM processed
-UNION ALL SELECT 'performance', 'fraud_orders', CAST({O.cnt_if('is_fraud')} AS DECIMAL(18,4)) FROM processed"""))
+# The evaluation and the drift of one model version, in one statement: the feature CTEs go after the agent's.
+PERFORMANCE_CTE = (EVAL_CTE + ", " + LONG_CTE[LONG_CTE.index("dedup AS ("):] + FEEDBACK_CTE[len(AGENT_CTE):] + """, perf AS (
+  SELECT (SELECT SUM(CAST(pos_eq AS DOUBLE) / CAST(p_tot AS DOUBLE) * (CAST(tps AS DOUBLE) / CAST(tps + fps AS DOUBLE))) FROM cum) AS pr_auc,
+         CASE WHEN tp + fp > 0 THEN CAST(tp AS DOUBLE) / (tp + fp) ELSE 0.0 END AS precision_score,
+         CASE WHEN tp + fn > 0 THEN CAST(tp AS DOUBLE) / (tp + fn) ELSE 0.0 END AS recall_score,
+         CASE WHEN 2 * tp + fp + fn > 0 THEN CAST(2 * tp AS DOUBLE) / (2 * tp + fp + fn) ELSE 0.0 END AS f1_score,
+         (SELECT CASE WHEN n_current >= 50 THEN drift_share ELSE 0.0 END FROM share) AS drift_score,
+         (SELECT CAST(n_current >= 50 AND dataset_drift AS INT) FROM share) AS drift_detected
+  FROM (SELECT SUM(CASE WHEN y_score >= t AND y_true = 0 THEN 1 ELSE 0 END) AS fp,
+               SUM(CASE WHEN y_score < t AND y_true = 1 THEN 1 ELSE 0 END) AS fn,
+               SUM(CASE WHEN y_score >= t AND y_true = 1 THEN 1 ELSE 0 END) AS tp
+        FROM ev, (SELECT threshold AS t FROM best_cost) b) c
+)""")
+METRICS = ("pr_auc", "f1_score", "precision_score", "recall_score", "drift_score", "drift_detected")
+
+
+def performance_rows(ctx: OrderContext) -> DataFrame:
+    """One row of the performance log: the evaluation at the cheapest threshold, and the drift of the features."""
+    evaluated = scored_frame(ctx)
+    auc = one_row(evaluation.pr_roc_auc(evaluated))
+    best = one_row(evaluation.best_cost_threshold(evaluated).select("threshold")).threshold
+    hit = one_row(evaluation.confusion(evaluated, F.lit(best)))
+    gate = one_row(drift.gate(drift.drift_share(drift.column_drift(cut_lineage(long_features(ctx))))))
+    values = (auc.pr_auc, hit.f1, hit.precision, hit.recall, gate.drift_score, int(gate.drift_detected))
+    return ctx.spark.createDataFrame([("ensemble_champion", "current", *map(float, values))], "model_name string, model_version string, " + ", ".join(f"{m} double" for m in METRICS))
+
+
+@register("snk_event_logs", _w(PERFORMANCE_CTE, f"""
+SELECT 'shadow' AS log, order_id AS key, 'champion_score' AS measure, CAST(fraud_score AS DECIMAL(18,4)) AS value FROM processed
+UNION ALL SELECT 'shadow', order_id, 'challenger_score', CAST({O.rnd('f', 'n', 4)} AS DECIMAL(18,4)) FROM agent
+UNION ALL SELECT 'shadow', order_id, 'score_diff', CAST({O.rnd("abs(CAST(round(ensemble_score * 10000) AS BIGINT) * n - f * 10000)", 'n * 10000', 4)} AS DECIMAL(18,4)) FROM agent
+UNION ALL SELECT 'features', order_id, 'amount', CAST(amount AS DECIMAL(18,4)) FROM processed
+UNION ALL SELECT 'feedback', order_id, 'actual_label', CAST(CAST(actual_label AS INT) AS DECIMAL(18,4)) FROM feedback
+{' '.join(f"UNION ALL SELECT 'performance', 'ensemble_champion', '{m}', CAST(round({m}, 4) AS DECIMAL(18,4)) FROM perf" for m in METRICS)}"""))
 def _snk_logs(ctx: OrderContext) -> DataFrame:
     root = run_root(ctx, "logs")
     p = ctx.processed
-    shadow = p.join(agent.ip_signals(p), "ip_address").select(
+    units = (F.col("fraud_score") * 10000).cast("long")
+    shadow = agent.with_ring_score(p).select(
         "timestamp", "order_id", F.col("fraud_score").alias("champion_score"),
-        (F.col("ip_fraud_orders").cast("double") / F.col("ip_orders").cast("double")).alias("challenger_score"))
+        ratio_round("ip_fraud_orders", "ip_orders", 4).alias("challenger_score"),
+        ratio_round(F.abs(units * F.col("ip_orders") - F.col("ip_fraud_orders") * 10000), F.col("ip_orders") * 10000, 4).alias("score_diff"))
     inputs = p.select("timestamp", "order_id", "amount", "orders_per_user_1m", "location_mismatch", "device_type", "fraud_score")
-    counts = p.agg(F.count(F.lit(1)).alias("orders"), count_if(F.col("is_fraud")).alias("fraud_orders"))
-    performance = counts.select(F.inline(F.array(*[F.struct(F.lit(c).alias("metric"), F.col(c).cast("decimal(18,4)").alias("value")) for c in ("orders", "fraud_orders")])))
-    logs = {"shadow": (shadow, "order_id", "champion_score"), "features": (inputs, "order_id", "amount"),
-            "feedback": (feedback_rows(ctx), "order_id", "actual_label"), "performance": (performance, "metric", "value")}
+    logs = {"shadow": (shadow, "order_id", ("champion_score", "challenger_score", "score_diff")), "features": (inputs, "order_id", ("amount",)),
+            "feedback": (feedback_rows(ctx), "order_id", ("actual_label",)), "performance": (performance_rows(ctx), "model_name", METRICS)}
     out = None
-    for name, (rows, key, value) in logs.items():
+    for name, (rows, key, measures) in logs.items():
         path = os.path.join(root, name)
         sinks.append_log(rows, path)
-        value = F.col(value).cast("int") if name == "feedback" else F.col(value)
-        back = ctx.spark.read.parquet(path).select(F.lit(name).alias("log"), F.col(key).alias("key"), value.cast("decimal(18,4)").alias("value"))
+        number = lambda c: (F.col(c).cast("int") if c == "actual_label" else F.round(F.col(c), 4)).cast("decimal(18,4)")
+        each = F.inline(F.array(*[F.struct(F.lit(m).alias("measure"), number(m).alias("value")) for m in measures]))
+        back = ctx.spark.read.parquet(path).select(F.lit(name).alias("log"), F.col(key).alias("key"), each)
         out = back if out is None else out.unionByName(back)
     return out
 
@@ -480,15 +513,15 @@ def _rollup(ctx: OrderContext) -> DataFrame:
 
 @register("udf_score_struct", _w(P, """
 SELECT order_id, coalesce(s > 0.5, false) AS is_fraud, coalesce(s, CAST(0 AS DOUBLE)) AS fraud_score,
-       CASE WHEN s > 0.8 THEN 'CRITICAL' WHEN s > 0.4 THEN 'HIGH' ELSE 'LOW' END AS risk_level FROM (
-  SELECT order_id, round(least(CAST(1 AS DOUBLE), CAST(0.05 AS DOUBLE) + CAST(0.25 AS DOUBLE) * location_mismatch
+       CASE WHEN s > 0.8 THEN 'CRITICAL' WHEN s > 0.4 THEN 'HIGH' ELSE 'LOW' END AS risk_level, reasoning FROM (
+  SELECT order_id, """ + O.REASONING + """ AS reasoning, round(least(CAST(1 AS DOUBLE), CAST(0.05 AS DOUBLE) + CAST(0.25 AS DOUBLE) * location_mismatch
       + CASE WHEN CAST(amount AS DOUBLE) > 1000 THEN CAST(0.35 AS DOUBLE) ELSE CAST(0 AS DOUBLE) END
       + CASE WHEN hour(timestamp) BETWEEN 0 AND 5 THEN CAST(0.10 AS DOUBLE) ELSE CAST(0 AS DOUBLE) END
       + CAST(0.03 AS DOUBLE) * least(orders_per_user_1m, 10)), 4) AS s FROM processed) t"""))
 def _score_struct(ctx: OrderContext) -> DataFrame:
     p = ctx.processed.withColumn("amount", F.col("amount").cast("double"))
     return p.select("order_id", order_stream.score_struct().alias("r")).select(
-        "order_id", "r.is_fraud", "r.fraud_score", "r.risk_level")
+        "order_id", "r.is_fraud", "r.fraud_score", "r.risk_level", "r.reasoning")
 
 
 # -- remaining aggregates ---------------------------------------------------------------------
@@ -497,11 +530,7 @@ def _score_struct(ctx: OrderContext) -> DataFrame:
 SELECT date_trunc('hour', order_timestamp) AS hour_bucket, category, count(*) AS actual_orders,
        CAST(SUM(order_amount) AS DECIMAL(18,2)) AS actual_revenue_usd FROM stg GROUP BY 1, 2"""))
 def _hourly_cat(ctx: OrderContext) -> DataFrame:
-    return marts_hourly(ctx.staging)
-
-
-def marts_hourly(stg: DataFrame) -> DataFrame:
-    return stg.groupBy(F.date_trunc("hour", "order_timestamp").alias("hour_bucket"), "category").agg(
+    return ctx.staging.groupBy(F.date_trunc("hour", "order_timestamp").alias("hour_bucket"), "category").agg(
         F.count(F.lit(1)).alias("actual_orders"),
         F.sum("order_amount").cast("decimal(18,2)").alias("actual_revenue_usd"))
 

@@ -140,7 +140,7 @@ def _valid(ctx: OrderContext) -> DataFrame:
 
 
 REJECT_SQL = _w(O.RAW, f"""
-SELECT {RAW_COLS},
+SELECT {RAW_COLS.replace("user_id", "sha256('orderflow-' || user_id) AS user_id").replace("ip_address", "sha256('orderflow-' || ip_address) AS ip_address")},
        CASE WHEN NOT coalesce(amount > 0 AND amount < 100000, false) THEN 'NULL_OR_BAD_AMOUNT'
             WHEN user_id IS NULL THEN 'NULL_USER' ELSE 'NULL_OR_FUTURE_TIMESTAMP' END AS reject_reason
 FROM raw WHERE NOT {O.GUARD}""")
@@ -148,7 +148,7 @@ FROM raw WHERE NOT {O.GUARD}""")
 
 @register("flt_rejected_orders", REJECT_SQL)
 def _rejected(ctx: OrderContext) -> DataFrame:
-    return ctx.rejected
+    return stg_ops.mask_pii(ctx.rejected)
 
 
 @register("prj_pii_mask", _w(O.RAW, f"""

@@ -109,18 +109,11 @@ def time_band(processed: DataFrame, center: Column, hours: int = 6) -> DataFrame
                     .select("order_id", "timestamp", "amount", "category")
 
 
-def recent_table(processed: DataFrame, as_of: Column, hours: int = 24, limit: int | None = None) -> DataFrame:
-    """Drift input: last ``hours`` of (amount, velocity, label) with a positive amount.
-
-    ``limit`` reproduces the optional row cap (ordered by time and id so it is
-    deterministic); by default the whole slice is used.
-    """
+def recent_table(processed: DataFrame, as_of: Column, hours: int = 24) -> DataFrame:
+    """Drift input: last ``hours`` of (amount, velocity, label) with a positive amount."""
     amount = F.coalesce(F.col("amount"), F.col("order_amount"))
-    out = (processed.filter(since(as_of, hours) & (F.col("order_amount") > 0))
-           .select("order_id", "timestamp", amount.alias("order_amount"),
-                   F.col("orders_per_user_1m").alias("velocity"),
-                   F.col("is_fraud").cast("int").alias("is_fraud")))
-    if limit is not None:
-        out = out.orderBy(F.col("timestamp").desc(), F.col("order_id")).limit(limit)
-    return out
+    return (processed.filter(since(as_of, hours) & (F.col("order_amount") > 0))
+            .select("order_id", "timestamp", amount.alias("order_amount"),
+                    F.col("orders_per_user_1m").alias("velocity"),
+                    F.col("is_fraud").cast("int").alias("is_fraud")))
 
