@@ -12,9 +12,9 @@ Queries and vectors meet in blocks: every block of queries with every block of
 vectors, and only the k best of each pair of blocks go on.
 
 Defined cases: rows without an id or vector, or with a null, NaN or infinite
-component, take no part; shorter vectors are filled with zeros; of rows with
-one id the smallest vector counts; ties go to the smaller id. Scores must stay
-below 2**63.
+component, take no part; shorter vectors are filled with zeros; rows that share an
+id are candidates each, but not of one another, and queries of one id have one list
+of best; ties go to the smaller id. Scores must stay below 2**63.
 """
 
 from __future__ import annotations
@@ -34,11 +34,11 @@ _TILE, _FIRST = 32, 64
 
 
 def integer_vectors(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
-    """(vec_id, v): usable rows, one for each id, components as longs."""
+    """(vec_id, v): usable rows, components as longs."""
     x = F.transform(F.col(vector_col), lambda c: c.cast("double"))
     rows = vectors.select(F.col(id_col).cast("long").alias("vec_id"), x.alias("x")).filter(F.col("vec_id").isNotNull() & F.col("x").isNotNull())
     rows = rows.filter(F.forall("x", lambda c: c.isNotNull() & ~F.isnan(c) & (F.abs(c) < F.lit(float("inf")))))
-    return rows.groupBy("vec_id").agg(F.min(F.transform("x", lambda c: F.floor(c * SCALE))).alias("v"))
+    return rows.select("vec_id", F.transform("x", lambda c: F.floor(c * SCALE)).alias("v"))
 
 
 def choose_pivots(points: np.ndarray, n: int = PIVOTS) -> np.ndarray:
@@ -126,7 +126,7 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = K) -> DataFrame:
     if not facts.n or not asked:
         return vectors.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score long")
     dims, longest2 = max(int(facts.dims), 1), float(facts.longest2)
-    sample = vectors.orderBy(F.xxhash64("vec_id"), "vec_id").limit(PIVOT_SAMPLE).collect()
+    sample = vectors.orderBy(F.xxhash64("vec_id"), "vec_id", "v").limit(PIVOT_SAMPLE).collect()
     points = np.array([list(r.v) + [0] * (dims - len(r.v)) for r in sample], float)
     pivots = choose_pivots(lifted(points, longest2))
 
@@ -138,7 +138,7 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = K) -> DataFrame:
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), lists], names=["vec_id", "v", "far"])
 
     v_blocks, q_blocks = -(-facts.n // VECTOR_BLOCK), -(-asked // QUERY_BLOCK)
-    block = lambda n: F.pmod(F.xxhash64("vec_id"), F.lit(n)).cast("int")
+    block = lambda n: F.pmod(F.xxhash64("vec_id", "v"), F.lit(n)).cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
     table = vectors.mapInArrow(measure, "vec_id long, v array<long>, far array<double>")
     left = table.withColumn("v_block", block(v_blocks)).withColumn("q_block", every(q_blocks))

@@ -11,16 +11,12 @@ from orderflow.llm import warc
 
 
 def brute_top(vectors, k=5):
-    usable = {}
-    for i, v in vectors:
-        if i is not None and v is not None and all(x is not None and math.isfinite(x) for x in v):
-            w = [math.floor(256 * float(np.float32(x))) for x in v]
-            usable[i] = min(usable.get(i, w), w)
+    usable = [(i, [math.floor(256 * float(np.float32(x))) for x in v]) for i, v in vectors
+              if i is not None and v is not None and all(x is not None and math.isfinite(x) for x in v)]
     out = []
-    for q in usable:
-        if q % 50 == 0:
-            score = sorted((-sum(a * b for a, b in zip(usable[q], usable[c])), c) for c in usable if c != q)
-            out += [(q, r + 1, c, -s) for r, (s, c) in enumerate(score[:k])]
+    for q in {i for i, _ in usable if i % 50 == 0}:
+        score = sorted((-sum(a * b for a, b in zip(mine, v)), c) for i, mine in usable if i == q for c, v in usable if c != q)
+        out += [(q, r + 1, c, -s) for r, (s, c) in enumerate(score[:k])]
     return sorted(out)
 
 
@@ -40,6 +36,18 @@ def test_top_k_equals_brute_force(spark, monkeypatch):
     assert top(spark, vectors) == brute_top(vectors)
 
 
+def test_rows_of_one_id_equal_the_sql(spark, tmp_path):
+    import duckdb
+    from orderflow.llm.registry import OP2_SQL, QUERIES
+    rng = random.Random(6)
+    rows = [(rng.choice([0, 1, 2, 3, 50, 51]), [float(rng.randint(-3, 3)), float(rng.randint(-3, 3))]) for _ in range(40)] + [(1, [5.0, 0.0]), (1, [1.0, 0.0]), (50, [1.0, 0.0])]
+    spark.createDataFrame(rows, "vec_id long, embedding array<float>").write.parquet(str(tmp_path / "embeddings.parquet"))
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW embeddings AS SELECT * FROM read_parquet('{tmp_path}/embeddings.parquet/*.parquet')")
+    got = [(r.query_id, r["rank"], r.vec_id, r.score) for r in QUERIES["op2_exact_top_k"](spark, str(tmp_path)).collect()]
+    assert sorted(got) == sorted(con.execute(f"SELECT query_id, rank, vec_id, score FROM ({OP2_SQL})").fetchall())
+
+
 def test_top_k_of_few_and_none(spark):
     few = [(0, [1.0, 2.0]), (1, [0.5, 0.5]), (50, [1.0, 0.0])]
     assert top(spark, few) == brute_top(few)
