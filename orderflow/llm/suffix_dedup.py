@@ -1,7 +1,8 @@
 """Suffix-array dedup by bucket-pointer refinement, sharded over Spark.
 
 Removes every byte covered by a string of ``LENGTH`` bytes that also starts in
-a document with a smaller id. Exact: whole texts, all strings, bytes compared.
+a document with a smaller id: whole texts, all strings. Contexts and strings of two places meet
+by 64-bit hashes of their bytes; a shard compares the bytes of equal hashes.
 
 Sorting all suffixes at once is not distributed work, so the suffixes that can
 decide are bucketed by a q-gram first (q = ``GRAM``):
@@ -24,7 +25,8 @@ decide are bucketed by a q-gram first (q = ``GRAM``):
   once for equal strings of a block, to the shard of their own hash.
 
 Blocks and shards have a size in bytes, their number follows the input. A
-document is in the block of its id's hash, so a lost task is redone alike.
+row is in the block of its id's and text's hash, so a lost task is redone alike, and rows
+without an id, or of one id, are dealt like others.
 
 Defined cases: a null text is empty; a document with a null id is never a
 smaller one and is compared with all others; rows with one id are one
@@ -455,7 +457,7 @@ def find_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     size = source.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     blocks, shards = max(1, -(-size // BLOCK_BYTES)), max(1, -(-size // SHARD_BYTES))
     # A few large blocks a partition would be dealt unevenly by their hash; many small ones are not.
-    source = source.withColumn("block", F.pmod(F.xxhash64("doc_id"), F.lit(blocks)))
+    source = source.withColumn("block", F.pmod(F.xxhash64("doc_id", "text"), F.lit(blocks)))
 
     grams = source.groupBy("block").applyInArrow(send_grams(shards), MESSAGE)
     shared = grams.groupBy("shard").applyInArrow(shared_grams, MESSAGE)
