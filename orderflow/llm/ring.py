@@ -87,7 +87,7 @@ def shard(docs: DataFrame, shards: int = SHARDS, virtual: int = VIRTUAL, id_col:
 
     ids = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.octet_length(text), F.lit(0)).cast("long").alias("bytes"),
                       F.coalesce(F.crc32(F.encode(text, "UTF-8")), F.lit(0)).cast("long").alias("text_crc32"))
-    rows = ids.withColumn("spot", F.xxhash64("doc_id")).withColumn("arc", arc)
+    rows = ids.withColumn("spot", F.when(F.col("doc_id").isNull(), F.xxhash64("text_crc32", "bytes")).otherwise(F.xxhash64("doc_id"))).withColumn("arc", arc)
     counted = {r.arc: r["count"] for r in rows.groupBy("arc").count().collect()}     # at most shards x virtual rows
     counts = [counted.get(a, 0) for a in range(len(points))]
     total = sum(counts)
