@@ -48,3 +48,12 @@ def docs(spark, texts):
 @pytest.fixture(scope="session")
 def no_docs(docs):
     return docs.limit(0)
+
+
+def thue_morse(n: int) -> tuple[str, str]:
+    """Two different strings of ``n`` (a power of two) letters that every polynomial hash modulo 2**64
+    takes for one, from 1,024 letters on."""
+    word = "a"
+    while len(word) < n:
+        word += word.translate({97: 98, 98: 97})
+    return word, word.translate({97: 98, 98: 97})
