@@ -209,7 +209,7 @@ def estimate_pairs(rows: DataFrame, near: Near, keep: int | None) -> DataFrame:
 
     A pair needs an outsider and two different parts. ``keep`` bounds the pairs written for
     each outsider and bucket to its likeliest ones; with None the pairs' connected groups are
-    written instead, as one edge for each further member.
+    written instead, as one edge from each further member to the smallest class.
     """
     floor, m, limit = least_equal(near), near.registers, near.percent / 100
 
@@ -246,19 +246,23 @@ def estimate_pairs(rows: DataFrame, near: Near, keep: int | None) -> DataFrame:
                 continue
             i, j, estimate = (np.concatenate(x) for x in zip(*found))
             if keep is None:
-                root = connected(len(table), i, j)
-                i = np.flatnonzero(root != np.arange(len(table)))
-                j, estimate = root[i], np.ones(len(i))
-            else:
-                # an outsider pair counts for both sides; a row's best ones, then the smaller id
-                both = [(i, j), (j[get["outside"][j] > 0], i[get["outside"][j] > 0])]
-                value = np.concatenate([estimate, estimate[get["outside"][j] > 0]])
-                i, j = (np.concatenate(x) for x in zip(*both))
-                order = np.lexsort((get["class_id"][j], -value, i))
-                i, j, estimate = i[order], j[order], value[order]
-                start = np.flatnonzero(np.append(True, i[1:] != i[:-1])) if len(i) else np.zeros(0, int)
-                rank = np.arange(len(i)) - np.repeat(start, np.diff(np.append(start, len(i))))
-                i, j, estimate = i[rank < keep], j[rank < keep], estimate[rank < keep]
+                # The edges lead to the group's smallest class: buckets of other bands that hold it say the same.
+                root, ids = connected(len(table), i, j), get["class_id"]
+                least = np.full(len(table), np.iinfo(np.int64).max)
+                np.minimum.at(least, root, ids)
+                some = np.flatnonzero(ids != least[root])
+                a, b = np.unique(np.stack([ids[some], least[root[some]]]), axis=1)
+                yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.array(np.ones(len(a)))], names=["a", "b", "estimate"])
+                continue
+            # an outsider pair counts for both sides; a row's best ones, then the smaller id
+            both = [(i, j), (j[get["outside"][j] > 0], i[get["outside"][j] > 0])]
+            value = np.concatenate([estimate, estimate[get["outside"][j] > 0]])
+            i, j = (np.concatenate(x) for x in zip(*both))
+            order = np.lexsort((get["class_id"][j], -value, i))
+            i, j, estimate = i[order], j[order], value[order]
+            start = np.flatnonzero(np.append(True, i[1:] != i[:-1])) if len(i) else np.zeros(0, int)
+            rank = np.arange(len(i)) - np.repeat(start, np.diff(np.append(start, len(i))))
+            i, j, estimate = i[rank < keep], j[rank < keep], estimate[rank < keep]
             yield pa.RecordBatch.from_arrays([pa.array(get["class_id"][i]), pa.array(get["class_id"][j]), pa.array(estimate)], names=["a", "b", "estimate"])
 
     return (rows.select("band", "key", "chunk", "outside", "class_id", "part", "n", "bands")
