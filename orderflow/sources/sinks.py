@@ -35,12 +35,17 @@ def _folders(spark: SparkSession, path: str, pattern: str):
     return fs, [f.getPath() for f in (fs.globStatus(hadoop(f"{path}/{pattern}")) or [])]
 
 
+def remove(spark: SparkSession, path: str, pattern: str) -> None:
+    """Remove the folders under ``path`` that match."""
+    fs, found = _folders(spark, path, pattern)
+    for folder in found:
+        fs.delete(folder, True)
+
+
 def clear_batch(spark: SparkSession, path: str, batch_id: int) -> None:
     """Remove what an earlier attempt at a batch has written, under whatever date."""
     for pattern in (f"batch_id={batch_id}", f"*/batch_id={batch_id}"):
-        fs, found = _folders(spark, path, pattern)
-        for folder in found:
-            fs.delete(folder, True)
+        remove(spark, path, pattern)
 
 
 def expire(spark: SparkSession, path: str, column: str, gone: Callable[[str], bool]) -> list[str]:
@@ -60,10 +65,10 @@ def read_table(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(path).withColumn("batch_id", F.col("batch_id").cast("long"))
 
 
-def read_table_or_none(spark: SparkSession, path: str, where: Column) -> DataFrame | None:
+def read_table_or_none(spark: SparkSession, path: str, where: Column, batches: bool = True) -> DataFrame | None:
     """The rows that match, or None if nothing has been written there yet."""
     try:
-        return read_table(spark, path).filter(where)
+        return (read_table(spark, path) if batches else spark.read.parquet(path)).filter(where)
     except AnalysisException as e:
         if e.getCondition() in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
             return None
