@@ -40,3 +40,18 @@ def test_scan_prunes_columns(spark):
     assert "GreaterThanOrEqual(p_partkey" not in text and "LessThanOrEqual(p_partkey" not in text
     # The panel needs only timestamps, so the velocity window is pruned away.
     assert "Window" not in text
+
+
+def jobs_of(spark, name: str) -> int:
+    """Spark jobs that a query runs, building included."""
+    group = f"count-{name}"
+    spark.sparkContext.setJobGroup(group, name)
+    QUERIES[name](spark, SF_SMALL).write.format("noop").mode("overwrite").save()
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    return len(spark.sparkContext.statusTracker().getJobIdsForGroup(group))
+
+
+def test_a_column_of_a_mart_or_of_the_features_runs_only_its_own_jobs(spark):
+    assert jobs_of(spark, "rule_value_tier") <= 12 < jobs_of(spark, "mart_dim_users")
+    assert jobs_of(spark, "rule_product_risk_tier") <= 12 < jobs_of(spark, "mart_dim_products")
+    assert jobs_of(spark, "feat_amount_zscore") <= 30 and jobs_of(spark, "feat_flags") <= 35 < jobs_of(spark, "feat_matrix")
