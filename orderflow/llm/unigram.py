@@ -334,3 +334,24 @@ def encode_documents(docs: DataFrame, model_path: str, id_col: str = "doc_id", t
 
     schema = "doc_id long, n_bytes long, n_pieces long, " + "ids array<int>, " * with_ids + "ids_sha256 string, round_trip boolean"
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, schema)
+
+
+def decode_documents(encoded: DataFrame, model_path: str, id_col: str = "doc_id", ids_col: str = "ids") -> DataFrame:
+    """(doc_id, text) of every row: the text of its piece ids, byte pieces joined to characters and
+    markers turned to blanks, without the blank of the leading marker; one map.
+
+    Null or empty ids give an empty text; ids that the model lacks, or null among them, are left out; bytes
+    that are no UTF-8 become the replacement character; other columns are not looked at.
+    """
+    model = encoded.sparkSession.sparkContext.broadcast(Model.read(model_path))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = len(model.value.pieces)
+        for batch in batches:
+            for a in range(0, len(batch), 1000):
+                part = batch.slice(a, 1000)
+                ids = [np.array([i for i in row or () if i is not None and 0 <= i < known], np.int64) for row in part.column(1).to_pylist()]
+                texts = [model.value.decode_bytes(i).tobytes().removeprefix(b" ").decode(errors="replace") for i in ids]
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(texts, pa.string())], names=["doc_id", "text"])
+
+    return encoded.select(F.col(id_col).cast("long").alias("doc_id"), F.col(ids_col).cast("array<int>").alias("ids")).mapInArrow(run, "doc_id long, text string")

@@ -99,3 +99,18 @@ def test_registered_encoding_returns_the_ids(spark):
     rows = QUERIES["op9_sentencepiece"](spark, "/root/testdata/sf0.001").limit(50).collect()
     assert rows and all(len(r.ids) == r.n_pieces for r in rows)
     assert all(hashlib.sha256(np.array(r.ids, "<i4").tobytes()).hexdigest() == r.ids_sha256 for r in rows)
+
+
+def test_decoding_gives_the_texts_back(spark, docs, texts):
+    back = u.decode_documents(u.encode_documents(docs, PIECES), PIECES)
+    assert sorted(map(tuple, back.collect()), key=str) == sorted(((i, (t or "").replace(u.MARK, " ")) for i, t in texts), key=str)
+
+
+def test_decoding_of_odd_ids(spark, model):
+    whole = u.Encoder(model).encode(["a b"])[0].tolist()
+    lone = int(model.byte_id[0xE2])
+    rows = [(1, whole), (2, None), (3, []), (4, [None, -1, 10**9]), (5, whole + [None]), (None, whole[-1:]), (6, [lone])]
+    df = spark.createDataFrame([(i, x, "t") for i, x in rows], "doc_id long, ids array<int>, text string")
+    got = {r.doc_id: r.text for r in u.decode_documents(df, PIECES).collect()}
+    assert (got[1], got[2], got[3], got[4], got[5]) == ("a b", "", "", "", "a b") and got[None] == "b" and got[6] == "\ufffd"
+    assert u.decode_documents(df.limit(0), PIECES).collect() == []
