@@ -8,10 +8,9 @@ or a user. Pairwise edges are never built.
   N(o) = N_ip(o) + N_user(o) - N_ip_and_user(o), each minus the order itself.
   So a GraphSAGE-style mean over neighbours is exact, and a hub IP costs one
   aggregate row.
-* Connected components are found by min-label propagation through the
-  attribute nodes plus pointer jumping (an order takes its label's label),
-  so a long chain needs about log(diameter) rounds instead of diameter
-  rounds. A reliable checkpoint every few rounds keeps the lineage short.
+* Connected components: every attribute becomes a star around its smallest
+  order, then ``components`` contracts stars until no edge is left. The edge
+  set shrinks every round, and a hub is no single task.
 """
 
 from __future__ import annotations
@@ -20,10 +19,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from orderflow.functions.scalars import one_row
+from orderflow.operators.components import HUB_ROWS, HUBS, components, hub_keys, split_join
 from orderflow.session import cut_lineage
 
 UNKNOWN_IP = "unknown"
-CHECKPOINT_EVERY = 4
 
 
 def incidence(orders: DataFrame, key: str = "order_id", ip: str = "ip_address", user: str = "user_id") -> DataFrame:
@@ -87,34 +86,15 @@ def neighbour_features(orders: DataFrame, key: str = "order_id") -> DataFrame:
                      F.col("hop1_mean_degree").alias("degree"), "hop1_mean", "hop2_mean")
 
 
-def connected_components(orders: DataFrame, key: str = "order_id") -> DataFrame:
+def connected_components(orders: DataFrame, key: str = "order_id", hubs: int = HUBS, least: int = HUB_ROWS) -> DataFrame:
     """(order, component) with the component labelled by its smallest order key."""
     inc = cut_lineage(incidence(orders, key))
-    labels = cut_lineage(orders.select(key, F.col(key).alias("label")).distinct())
-    i = 0
-    while True:  # labels only decrease, so this ends within the largest diameter
-        node_min = inc.join(labels, key).groupBy("node").agg(F.min("label").alias("nl"))
-        via = inc.join(node_min, "node").groupBy(key).agg(F.min("nl").alias("nl"))
-        hop = labels.join(via, key, "left").select(
-            key, F.least(F.col("label"), F.coalesce(F.col("nl"), F.col("label"))).alias("label"))
-        # Pointer jumping: labels are orders of the same component, so taking
-        # the label's own label is safe and halves chains every round.
-        parent = labels.select(F.col(key).alias("__p"), F.col("label").alias("__pl"))
-        new = hop.join(parent, hop["label"] == parent["__p"], "left").select(
-            key, F.least(F.col("label"), F.coalesce(F.col("__pl"), F.col("label"))).alias("label"))
-        if (i + 1) % CHECKPOINT_EVERY == 0:
-            new = cut_lineage(new)
-        else:
-            new = new.persist()
-        changed = new.join(labels.withColumnRenamed("label", "old"), key) \
-                     .filter(F.col("label") != F.col("old")).limit(1).count()
-        if labels.is_cached:
-            labels.unpersist()
-        labels = new
-        i += 1
-        if changed == 0:
-            break
-    return labels.withColumnRenamed("label", "component")
+    centre = cut_lineage(inc.groupBy("node").agg(F.min(key).alias("b"), F.count(F.lit(1)).alias("__n")))
+    edges = split_join(inc, centre.drop("__n"), "node", hub_keys(centre, "node", hubs, least)).select(F.col(key).alias("a"), "b")
+    found = cut_lineage(components(edges, hubs, least).withColumnRenamed("v", key))
+    # An order id is a row each here, so this join has no hot key.
+    return (orders.select(key).distinct().join(found, key, "left")
+            .select(key, F.coalesce("component", key).alias("component")))
 
 
 def rings(orders: DataFrame, key: str = "order_id") -> DataFrame:
