@@ -84,3 +84,32 @@ def test_held_out_accuracy(spark):
     learned = q.fit(docs, labels.filter("doc_id % 2 = 0"))
     judged = q.assess(docs, learned).join(labels, "doc_id").filter("doc_id % 2 = 1 AND NOT base_failed").collect()
     assert np.mean([(r.score >= 0.5) == bool(r.quality) for r in judged]) >= 0.95
+
+
+def test_node_arrays_equal_a_plain_walk():
+    """Recursive descent, row by row, gives what the gathers over the node arrays give; leaves are reached,
+    values on a threshold go left, and a constrained feature never raises the score."""
+    rng = np.random.default_rng(3)
+    x = np.round(rng.normal(size=(400, 4)), 1)
+    y = (x[:, 0] - x[:, 1] + 0.3 * rng.normal(size=400) > 0).astype(float)
+    nodes = trees.boost(x, y, rounds=12, depth=4, monotone={1: -1})
+
+    def walk(k, row, steps=0):
+        if nodes.left[k] == k:
+            return nodes.value[k], steps
+        return walk(nodes.left[k] if row[nodes.feature[k]] <= nodes.threshold[k] else nodes.right[k], row, steps + 1)
+
+    on_cut = x[: len(nodes.threshold)].copy()
+    on_cut[:, nodes.feature[0]] = nodes.threshold[0]
+    rows = np.concatenate([x, on_cut, rng.normal(size=(100, 4)) * 50])
+    want = []
+    for row in rows:
+        found = [walk(r, row) for r in nodes.roots]
+        assert max(s for _, s in found) <= nodes.depth
+        want.append(nodes.base + sum(v for v, _ in found))
+    assert len(nodes.roots) == 12 and len(set(want)) > 20
+    assert np.allclose(nodes.margin(rows), want, rtol=0, atol=1e-12)
+
+    risen = rows.copy()
+    risen[:, 1] += 1.5
+    assert (nodes.margin(risen) <= nodes.margin(rows) + 1e-12).all()
