@@ -10,7 +10,7 @@ from orderflow.plans.registry import ORACLE, QUERIES
 
 import scripts.check_oracle as chk  # noqa: E402
 
-NAMES = ("flt_rejected_orders", "snk_dead_letter")
+NAMES = ("flt_rejected_orders", "prj_pii_mask", "snk_dead_letter")
 
 
 @pytest.fixture(scope="module")
