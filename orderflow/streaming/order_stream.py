@@ -196,8 +196,8 @@ def batch_clock(spark: SparkSession, out: StreamOutputs, batch_id: int, now: Col
     return F.timestamp_micros(F.lit(us))
 
 
-def process_batch(batch: DataFrame, batch_id: int, out: StreamOutputs, now: Column | None = None) -> None:
-    """One micro-batch: judge, accept, score, write, commit."""
+def process_batch(batch: DataFrame, batch_id: int, out: StreamOutputs, now: Column | None = None, key: str | None = None) -> None:
+    """One micro-batch: judge, accept, score, write, commit. Without ``key`` the session has to name one."""
     spark = batch.sparkSession
     last = out.last_commit(spark)
     if last is not None and last.batch_id >= batch_id:
@@ -212,7 +212,7 @@ def process_batch(batch: DataFrame, batch_id: int, out: StreamOutputs, now: Colu
         reason = reject_reason(clock)
         if mark is not None:
             reason = F.coalesce(reason, F.when(F.unix_micros("timestamp") < mark, F.lit(LATE)))
-        judged = stg_ops.mask_pii(batch.withColumn("reject_reason", reason))
+        judged = stg_ops.mask_pii(batch.withColumn("reject_reason", reason), key)
         dead = judged.filter(F.col("reject_reason").isNotNull())
         sinks.write_partitions(dead.withColumn("order_date", F.to_date("timestamp")), out.dead_letter, batch_id)
 
@@ -267,7 +267,7 @@ def forget(spark: SparkSession, out: StreamOutputs, batch_id: int, newest: int |
 
 
 def run_available(spark: SparkSession, source_path: str, root: str, now: Column | None = None,
-                  max_files_per_trigger: int | None = None) -> StreamOutputs:
+                  max_files_per_trigger: int | None = None, key: str | None = None) -> StreamOutputs:
     """Process everything currently in ``source_path`` and stop (replays, tests).
 
     Restarting with the same ``root`` resumes from its checkpoint: files
@@ -277,7 +277,7 @@ def run_available(spark: SparkSession, source_path: str, root: str, now: Column
     decoded = ingest.decode_orders(ingest.file_order_stream(spark, source_path, max_files_per_trigger))
     q = (decoded.writeStream
          .option("checkpointLocation", os.path.join(root, "_checkpoint"))
-         .foreachBatch(lambda batch, batch_id: process_batch(batch, batch_id, out, now))
+         .foreachBatch(lambda batch, batch_id: process_batch(batch, batch_id, out, now, key))
          .trigger(availableNow=True)
          .start())
     q.awaitTermination()

@@ -7,10 +7,14 @@ import pytest
 
 from orderflow.operators import staging
 from orderflow.plans.registry import ORACLE, QUERIES
+from orderflow.sources import ingest
+from orderflow.streaming import order_stream
 
 import scripts.check_oracle as chk  # noqa: E402
 
-NAMES = ("flt_rejected_orders", "prj_pii_mask", "snk_dead_letter")
+NAMES = ("flt_rejected_orders", "prj_pii_mask", "snk_dead_letter", "snk_foreach_batch", "snk_lake_archive", "stream_checkpoint",
+         "stream_guard_split", "stream_idempotent", "stream_minute_rollup", "stream_multi_sink", "stream_score",
+         "stream_ttl_features", "stream_velocity", "stream_watermark")
 
 
 @pytest.fixture(scope="module")
@@ -43,3 +47,9 @@ def test_query_on_a_cluster_matches_its_sql(cluster, tables, name):
     got = chk.rows_of(df.columns, [tuple(r) for r in df.collect()])
     res = con.execute(ORACLE[name])
     assert got and got == chk.rows_of([x[0] for x in res.description], res.fetchall())
+
+
+def test_a_stream_without_a_key_is_still_an_error_on_a_cluster(cluster, tmp_path):
+    row = cluster.createDataFrame([("{}",)], "value string")
+    with pytest.raises(RuntimeError, match="not set"):
+        order_stream.process_batch(ingest.decode_orders(row), 0, order_stream.StreamOutputs(str(tmp_path)))
