@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from orderflow.functions.scalars import one_row
-from orderflow.session import cut_lineage
+from orderflow.session import cut_estimates
 
 HUBS, HUB_ROWS = 256, 100_000
 
@@ -50,15 +50,15 @@ def contract(edges: DataFrame, number: int, hubs: int = HUBS, least: int = HUB_R
     ways = edges.select(F.explode(F.array(F.struct(F.col("a").alias("v"), F.col("b").alias("w")),
                                           F.struct(F.col("b").alias("v"), F.col("a").alias("w")))).alias("e")).select("e.*")
     first = ways.groupBy("v").agg(F.min(rank("w")).alias("first"), F.count(F.lit(1)).alias("__n"))
-    stars = cut_lineage(first.select("v", F.least("first", rank("v"))["w"].alias("star"), "__n"))
+    stars = cut_estimates(first.select("v", F.least("first", rank("v"))["w"].alias("star"), "__n"))
     many = hub_keys(stars, "v", hubs, least)
     moved = edges
     for end in ("a", "b"):
         to = stars.select(F.col("v").alias(end), F.col("star").alias(f"__{end}"))
         moved = split_join(moved, to, end, many).drop(end)
         if many and end == "a":
-            moved = cut_lineage(moved)
-    return stars.drop("__n"), cut_lineage(distinct_edges(moved, "__a", "__b"))
+            moved = cut_estimates(moved)
+    return stars.drop("__n"), cut_estimates(distinct_edges(moved, "__a", "__b"))
 
 
 def distinct_edges(rows: DataFrame, a: str, b: str) -> DataFrame:
@@ -77,7 +77,7 @@ def components(edges: DataFrame, hubs: int = HUBS, least: int = HUB_ROWS) -> Dat
     Edges may repeat, run both ways or be loops; edges with a null end link nothing. A vertex
     that only loops is in no row.
     """
-    left = cut_lineage(distinct_edges(edges, "a", "b"))
+    left = cut_estimates(distinct_edges(edges, "a", "b"))
     steps: list[DataFrame] = []
     while not left.isEmpty():
         stars, left = contract(left, len(steps), hubs, least)
@@ -88,6 +88,6 @@ def components(edges: DataFrame, hubs: int = HUBS, least: int = HUB_ROWS) -> Dat
     while steps:
         up = roots.select(F.col("v").alias("star"), F.col("star").alias("root"))
         # A star that no edge left is a whole component.
-        roots = cut_lineage(_counted_join(steps.pop(), up, "star", hubs, least).select("v", F.coalesce("root", "star").alias("star")))
+        roots = cut_estimates(_counted_join(steps.pop(), up, "star", hubs, least).select("v", F.coalesce("root", "star").alias("star")))
     smallest = roots.groupBy("star").agg(F.min("v").alias("component"))
     return _counted_join(roots, smallest, "star", hubs, least).select("v", "component")

@@ -90,3 +90,14 @@ def test_an_address_with_a_third_of_the_orders(spark):
         spark.conf.set("spark.sql.adaptive.enabled", kept)
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
     assert sum(sizes) == total and max(sizes) <= 2 * total / len(sizes)
+
+
+def test_the_planners_estimates_stay_small_round_after_round(spark):
+    """The estimated size of a join is the product of its sides'; kept from round to round it grew to thousands of digits."""
+    left = distinct_edges(spark.createDataFrame([(f"c{i:03}", f"c{i + 1:03}") for i in range(100)], "a string, b string"), "a", "b")
+    for number in range(3):
+        stars, left = contract(left, number)
+    for df in (stars, left):
+        size = df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
+        assert len(str(size)) < 40
+    assert sorted(left.columns) == ["a", "b"] and 0 < left.count() < 100
